@@ -49,6 +49,12 @@ rate_sample AS (
          'ws-' || CAST(user_id AS VARCHAR) AS workspace,
          value AS rate
   FROM events
+)""",
+    "sample_arrivals": f"""
+sample_arrivals AS (
+  SELECT {U("'rs:' || CAST(event_id AS VARCHAR)")} AS uuid,
+         make_timestamp(epoch_us(ts) + CASE WHEN event_id % 17 = 0 THEN 2 * {DAY} ELSE 0 END) AS arrived_at
+  FROM events
 )""",
     "message_copies": """
 message_copies AS (
@@ -108,8 +114,8 @@ requested_intervals AS (
   SELECT {U("'iv:' || CAST(event_id AS VARCHAR)")} AS interval_id,
          'ws-' || CAST(user_id AS VARCHAR) AS workspace,
          {U("'item:' || event_type")} AS item_id,
-         make_timestamp(epoch_us(ts) - 90 * 60 * {SEC}) AS start,
-         make_timestamp(epoch_us(ts) + 45 * 60 * {SEC}) AS "end"
+         make_timestamp(epoch_us(ts) - {90 * 60 * SEC}) AS start,
+         make_timestamp(epoch_us(ts) + {45 * 60 * SEC}) AS "end"
   FROM events
 )""",
 }

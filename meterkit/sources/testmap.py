@@ -71,6 +71,21 @@ def rate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sample_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rate_sample`` plus ``arrived_at``: every 17th sample arrives two days late."""
+    e = read(spark, sf_dir, "events")
+    late = F.when(F.col("event_id") % 17 == 0, F.lit(2 * DAY_US)).otherwise(F.lit(0))
+    return e.select(
+        _u("rs:", F.col("event_id")).alias("uuid"),
+        F.col("ts").alias("sample_time"),
+        _u("item:", F.col("event_type")).alias("item_id"),
+        _user(F.col("event_id"), F.col("user_id")).alias("user"),
+        F.concat(F.lit("ws-"), F.col("user_id").cast("string")).alias("workspace"),
+        F.col("value").alias("rate"),
+        from_us(to_us(F.col("ts")) + late).alias("arrived_at"),
+    )
+
+
 def _message_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events once (ingest_seq 2·id) plus a later re-send of every 7th id (2·id+1)."""
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")

@@ -50,7 +50,8 @@ def prices_at(prices: DataFrame, items: DataFrame, at) -> DataFrame:
     )
 
 
-_LATEST_CONFIGURED = [F.col("configured_at").desc(), F.col("valid_from").desc(), F.col("uuid").asc()]
+def _latest_configured() -> list:
+    return [F.col("configured_at").desc(), F.col("valid_from").desc(), F.col("uuid").asc()]
 
 
 def effective_prices(prices: DataFrame, items: DataFrame, at, known_at=None) -> DataFrame:
@@ -60,7 +61,7 @@ def effective_prices(prices: DataFrame, items: DataFrame, at, known_at=None) ->
     p = _valid_at(prices, at)
     if known_at is not None:
         p = p.filter(F.col("configured_at") <= F.lit(known_at).cast("timestamp_ntz"))
-    w = Window.partitionBy("item_id").orderBy(*_LATEST_CONFIGURED)
+    w = Window.partitionBy("item_id").orderBy(*_latest_configured())
     best = p.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     it = small_dim(items.select(F.col("uuid").alias("item_id"), "sku"))
     return best.join(it, "item_id").select("uuid", "sku", "item_id", "price", "valid_from", "valid_until", "configured_at")
@@ -84,7 +85,7 @@ def price_timeline(prices: DataFrame) -> DataFrame:
         (F.col("valid_from") <= F.col("piece_start"))
         & (F.col("valid_until").isNull() | (F.col("piece_start") < F.col("valid_until")))
     )
-    wb = Window.partitionBy("item_id", "piece_start").orderBy(*_LATEST_CONFIGURED)
+    wb = Window.partitionBy("item_id", "piece_start").orderBy(*_latest_configured())
     return (
         cover.withColumn("_rn", F.row_number().over(wb))
         .filter(F.col("_rn") == 1)
@@ -220,7 +221,7 @@ def upsert_prices(prices: DataFrame, items: DataFrame, config: DataFrame, config
         .withColumn("next_is_new", F.lead("is_new").over(Window.partitionBy("item_id").orderBy("valid_from")))
         .select("item_id", "valid_from", "next_from", "next_is_new")
     )
-    tie = Window.partitionBy("item_id", "valid_from").orderBy(*_LATEST_CONFIGURED)
+    tie = Window.partitionBy("item_id", "valid_from").orderBy(*_latest_configured())
     result = (
         allp.join(nxt, ["item_id", "valid_from"], "left")
         .withColumn("_rank", F.row_number().over(tie))

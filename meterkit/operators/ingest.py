@@ -22,42 +22,40 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) == "", F.lit(None)).otherwise(c)
 
 
-def _user(c: Column) -> tuple[Column, Column]:
-    """(canonical user uuid or NULL, is_bad): an empty or missing user is NULL, not an error."""
-    raw = _blank_to_null(c)
-    parsed = canonical_uuid(raw)
-    return parsed, raw.isNotNull() & parsed.isNull()
+def _missing(*cols: str) -> Column:
+    out = None
+    for c in cols:
+        m = _blank_to_null(F.col(c)).isNull() if c in ("sku", "workspace") else F.col(c).isNull()
+        out = m if out is None else (out | m)
+    return out
 
 
 def parse_event_messages(messages: DataFrame) -> DataFrame:
     """V1/V4: typed usage events with a ``reason`` column (NULL = valid).
 
     Times: ISO-8601 text, naive = UTC, offsets converted. Checks in order: uuid, missing
-    fields, unparseable time, event_start > event_end, bad user."""
-    uid = canonical_uuid(F.col("uuid"))
-    start = parse_ts(F.col("event_start"))
-    end = parse_ts(F.col("event_end"))
-    user, bad_user = _user(F.col("user"))
+    fields, unparseable time, event_start > event_end, bad user (an empty user is NULL).
+    Parsed values are computed once as columns; the checks read those columns."""
+    parsed = messages.select(
+        "*",
+        canonical_uuid(F.col("uuid")).alias("_uid"),
+        parse_ts(F.col("event_start")).alias("_start"),
+        parse_ts(F.col("event_end")).alias("_end"),
+        _blank_to_null(F.col("user")).alias("_user_raw"),
+    ).withColumn("_user", canonical_uuid(F.col("_user_raw")))
     reason = (
-        F.when(uid.isNull(), F.lit("bad_uuid"))
-        .when(
-            _blank_to_null(F.col("sku")).isNull()
-            | _blank_to_null(F.col("workspace")).isNull()
-            | F.col("quantity").isNull()
-            | F.col("event_start").isNull()
-            | F.col("event_end").isNull(),
-            F.lit("missing_field"),
-        )
-        .when(start.isNull() | end.isNull(), F.lit("bad_time"))
-        .when(start > end, F.lit("end_before_start"))
-        .when(bad_user, F.lit("bad_user"))
+        F.when(F.col("_uid").isNull(), F.lit("bad_uuid"))
+        .when(_missing("sku", "workspace", "quantity", "event_start", "event_end"), F.lit("missing_field"))
+        .when(F.col("_start").isNull() | F.col("_end").isNull(), F.lit("bad_time"))
+        .when(F.col("_start") > F.col("_end"), F.lit("end_before_start"))
+        .when(F.col("_user_raw").isNotNull() & F.col("_user").isNull(), F.lit("bad_user"))
     )
-    return messages.select(
-        F.coalesce(uid, F.col("uuid")).alias("uuid"),
-        start.alias("event_start"),
-        end.alias("event_end"),
+    return parsed.select(
+        F.coalesce(F.col("_uid"), F.col("uuid")).alias("uuid"),
+        F.col("_start").alias("event_start"),
+        F.col("_end").alias("event_end"),
         F.col("sku"),
-        user.alias("user"),
+        F.col("_user").alias("user"),
         F.col("workspace"),
         F.col("quantity").cast("double").alias("quantity"),
         F.col("ingest_seq"),
@@ -67,26 +65,23 @@ def parse_event_messages(messages: DataFrame) -> DataFrame:
 
 def parse_sample_messages(messages: DataFrame) -> DataFrame:
     """V2: typed rate samples with a ``reason`` column (NULL = valid)."""
-    uid = canonical_uuid(F.col("uuid"))
-    t = parse_ts(F.col("sample_time"))
-    user, bad_user = _user(F.col("user"))
+    parsed = messages.select(
+        "*",
+        canonical_uuid(F.col("uuid")).alias("_uid"),
+        parse_ts(F.col("sample_time")).alias("_t"),
+        _blank_to_null(F.col("user")).alias("_user_raw"),
+    ).withColumn("_user", canonical_uuid(F.col("_user_raw")))
     reason = (
-        F.when(uid.isNull(), F.lit("bad_uuid"))
-        .when(
-            _blank_to_null(F.col("sku")).isNull()
-            | _blank_to_null(F.col("workspace")).isNull()
-            | F.col("rate").isNull()
-            | F.col("sample_time").isNull(),
-            F.lit("missing_field"),
-        )
-        .when(t.isNull(), F.lit("bad_time"))
-        .when(bad_user, F.lit("bad_user"))
+        F.when(F.col("_uid").isNull(), F.lit("bad_uuid"))
+        .when(_missing("sku", "workspace", "rate", "sample_time"), F.lit("missing_field"))
+        .when(F.col("_t").isNull(), F.lit("bad_time"))
+        .when(F.col("_user_raw").isNotNull() & F.col("_user").isNull(), F.lit("bad_user"))
     )
-    return messages.select(
-        F.coalesce(uid, F.col("uuid")).alias("uuid"),
-        t.alias("sample_time"),
+    return parsed.select(
+        F.coalesce(F.col("_uid"), F.col("uuid")).alias("uuid"),
+        F.col("_t").alias("sample_time"),
         F.col("sku"),
-        user.alias("user"),
+        F.col("_user").alias("user"),
         F.col("workspace"),
         F.col("rate").cast("double").alias("rate"),
         F.col("ingest_seq"),
@@ -124,13 +119,26 @@ def resolve_items(rows: DataFrame, items: DataFrame) -> DataFrame:
     return rows.join(it, "sku", "left")
 
 
-def first_wins(rows: DataFrame, key: str | list[str], stored: DataFrame | None = None) -> DataFrame:
+def first_wins(
+    rows: DataFrame, key: str | list[str], stored: DataFrame | None = None, reason: str | None = None
+) -> DataFrame:
     """Keep the earliest arrival (lowest ``ingest_seq``) per key, then drop keys
     already stored. ``row_number() = 1`` keeps one row per key and map task before the
-    shuffle, so a repeated key does not concentrate its copies."""
+    shuffle, so a repeated key does not concentrate its copies.
+
+    With ``reason`` (parsed rows that still carry their reject reason) the earliest *valid*
+    copy wins. Validity is tested after the window so the test is not pushed below the
+    parse, which would evaluate the parse twice."""
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(F.col("ingest_seq").asc())
-    first = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    order = [F.col("ingest_seq").asc()]
+    if reason is not None:
+        order = [F.col(reason).isNotNull().asc()] + order
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = rows.withColumn("_rn", F.row_number().over(w))
+    cond = F.col("_rn") == 1
+    if reason is not None:
+        cond = cond & F.col(reason).isNull()
+    first = first.filter(cond).drop("_rn", *([reason] if reason else []))
     if stored is not None:
         first = first.join(stored.select(*keys), keys, "left_anti")
     return first
@@ -142,7 +150,7 @@ def ingest_events(messages: DataFrame, items: DataFrame, stored: DataFrame | Non
     Returns ``events`` (billing_event rows to append), ``stubs`` (items to add) and
     ``quarantine``."""
     parsed = parse_event_messages(messages)
-    good = first_wins(valid(parsed), "uuid", stored)
+    good = first_wins(parsed, "uuid", stored, reason="reason")
     stubs = stub_items(good, items)
     with_item = resolve_items(good, items).withColumn(
         "item_id", F.coalesce(F.col("item_id"), stub_item_id(F.col("sku")))
@@ -154,7 +162,7 @@ def ingest_events(messages: DataFrame, items: DataFrame, stored: DataFrame | Non
 def ingest_samples(messages: DataFrame, items: DataFrame, stored: DataFrame | None = None) -> dict[str, DataFrame]:
     """R3 batch body (storage part): samples to append, stub items, quarantine."""
     parsed = parse_sample_messages(messages)
-    good = first_wins(valid(parsed), "uuid", stored)
+    good = first_wins(parsed, "uuid", stored, reason="reason")
     stubs = stub_items(good, items)
     with_item = resolve_items(good, items).withColumn(
         "item_id", F.coalesce(F.col("item_id"), stub_item_id(F.col("sku")))

@@ -15,7 +15,17 @@ PRICE_TYPE = "decimal(38,12)"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has cores (a small file
+    with one row group), so per-row derivation runs on every core. Large inputs already
+    have many splits and are left alone; filters and column pruning still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _u(prefix: str, col: Column) -> Column:

@@ -49,10 +49,9 @@ def uuid5_col(name: Column, namespace: str = ESTIMATE_NAMESPACE) -> Column:
 def canonical_uuid(text: Column) -> Column:
     """Canonical lower-case UUID text, or NULL when ``text`` is not a UUID.
 
-    Accepts what a UUID parser accepts: optional ``urn:uuid:`` prefix, optional braces,
-    hyphens anywhere, any case; exactly 32 hex digits must remain.
-    """
-    stripped = F.regexp_replace(F.lower(F.trim(text)), r"^(urn:)?(uuid:)?", "")
-    stripped = F.regexp_replace(stripped, r"^\{(.*)\}$", "$1")
-    hex32 = F.regexp_replace(stripped, "-", "")
-    return F.when(hex32.rlike("^[0-9a-f]{32}$"), _hyphenate(hex32))
+    Accepts what Python's ``uuid.UUID(text)`` accepts: ``urn:`` and ``uuid:`` removed,
+    braces stripped from both ends, hyphens removed, any case; exactly 32 hex digits must
+    remain. Surrounding blanks are not accepted."""
+    h = F.replace(F.replace(text, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
+    h = F.lower(F.replace(F.regexp_replace(h, r"^[{}]+|[{}]+$", ""), F.lit("-"), F.lit("")))
+    return F.when(h.rlike("^[0-9a-f]{32}$"), _hyphenate(h))

@@ -39,7 +39,7 @@ def parse_ts(text: Column) -> Column:
     Unparseable text gives NULL (callers quarantine it). Requires a UTC session, which
     every query function sets.
     """
-    return F.try_to_timestamp(F.trim(text)).cast("timestamp_ntz")
+    return F.try_to_timestamp(text).cast("timestamp_ntz")
 
 
 def iso_z(ts: Column) -> Column:

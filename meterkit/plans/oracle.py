@@ -276,7 +276,7 @@ SELECT interval_id, uuid, sample_time, rate FROM (
   SELECT *, row_number() OVER (PARTITION BY interval_id ORDER BY t DESC, uuid DESC) AS rn FROM j WHERE t <= a) WHERE rn = 1
 UNION
 SELECT interval_id, uuid, sample_time, rate FROM (
-  SELECT *, row_number() OVER (PARTITION BY interval_id ORDER BY t ASC, uuid DESC) AS rn FROM j WHERE t >= e) WHERE rn = 1""",
+  SELECT *, row_number() OVER (PARTITION BY interval_id ORDER BY t ASC, uuid ASC) AS rn FROM j WHERE t >= e) WHERE rn = 1""",
     )
     out["rate_at"] = with_tables(
         ["rate_sample", "requested_intervals"],

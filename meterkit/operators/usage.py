@@ -94,13 +94,16 @@ def usage_query(
     limit: int | None = FUNCTION_PAGE_SIZE,
     time_aggregation: str | None = None,
     mode: str = "contained",
+    ordered: bool | None = None,
 ) -> DataFrame:
     """Q1–Q8 and A1–A3: the usage query with all its facets.
 
     ``start``/``end`` select events contained in the range (``event_start >= start`` and
     ``event_end < end``); ``mode="overlap"`` selects events overlapping it instead (Q4x).
     With ``time_aggregation`` the filters, order, limit and cursor apply to the aggregated
-    rows. ``limit=None`` returns every row in order.
+    rows. ``limit=None`` returns every matching row; it is sorted only with ``ordered=True``
+    (a full sort of a fact table is a range shuffle of all of it, so it is opt-in when no
+    page size bounds the result).
     """
     if time_aggregation in (None, ""):
         period = None
@@ -157,8 +160,10 @@ def usage_query(
         rows = _keyset_after(rows, found[0].asDict())
 
     rows = rows.select(*EVENT_COLUMNS)
-    ordered = rows.orderBy(*ORDER_KEYS)
-    return ordered.limit(limit) if limit is not None else ordered
+    if limit is not None:
+        # top-k: TakeOrderedAndProject keeps k rows per task, no global sort
+        return rows.orderBy(*ORDER_KEYS).limit(limit)
+    return rows.orderBy(*ORDER_KEYS) if ordered else rows
 
 
 def usage_export(rows: DataFrame) -> DataFrame:

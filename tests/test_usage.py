@@ -71,7 +71,7 @@ def test_g3_paging_aggregated(spark, size, pages):
 
 def test_g4_keyset_paging_visits_every_event_once(spark):
     rows = [(f"p{i}", f"2025-01-01 0{i % 3}:00", f"2025-01-01 0{i % 3}:05", "i1", None, "w", 1) for i in range(5)]
-    full = [r.uuid for r in q(spark, rows, limit=None).collect()]
+    full = [r.uuid for r in q(spark, rows, limit=None, ordered=True).collect()]
     seen, sizes, after = [], [], None
     while True:
         page = q(spark, rows, limit=2, after=after).collect()

@@ -30,6 +30,13 @@ def _missing(*cols: str) -> Column:
     return out
 
 
+def _parsed_rows(parsed: DataFrame, *cols: Column) -> DataFrame:
+    """The parsed row as the output of a one-row generator. A later filter on ``reason``
+    (``valid``/``quarantine``) then stays above it instead of being pushed below the parse,
+    where it would evaluate the parse a second time."""
+    return parsed.select(F.inline(F.array(F.struct(*cols))))
+
+
 def parse_event_messages(messages: DataFrame) -> DataFrame:
     """V1/V4: typed usage events with a ``reason`` column (NULL = valid).
 
@@ -50,7 +57,8 @@ def parse_event_messages(messages: DataFrame) -> DataFrame:
         .when(F.col("_start") > F.col("_end"), F.lit("end_before_start"))
         .when(F.col("_user_raw").isNotNull() & F.col("_user").isNull(), F.lit("bad_user"))
     )
-    return parsed.select(
+    return _parsed_rows(
+        parsed,
         F.coalesce(F.col("_uid"), F.col("uuid")).alias("uuid"),
         F.col("_start").alias("event_start"),
         F.col("_end").alias("event_end"),
@@ -77,7 +85,8 @@ def parse_sample_messages(messages: DataFrame) -> DataFrame:
         .when(F.col("_t").isNull(), F.lit("bad_time"))
         .when(F.col("_user_raw").isNotNull() & F.col("_user").isNull(), F.lit("bad_user"))
     )
-    return parsed.select(
+    return _parsed_rows(
+        parsed,
         F.coalesce(F.col("_uid"), F.col("uuid")).alias("uuid"),
         F.col("_t").alias("sample_time"),
         F.col("sku"),

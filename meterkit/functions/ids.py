@@ -31,19 +31,22 @@ def uuid5_col(name: Column, namespace: str = ESTIMATE_NAMESPACE) -> Column:
     """RFC 4122 version-5 UUID of ``name`` (UTF-8) in ``namespace``, as lower-case text.
 
     sha1(namespace bytes || name bytes), first 16 bytes, version nibble 5 and the
-    variant bits 10xx in the high nibble of byte 8.
-    """
+    variant bits 10xx in the high nibble of byte 8. Assembled in one flat ``concat`` so
+    the digest is read a few times, not re-derived through nested expressions."""
     ns_hex = uuid.UUID(namespace).hex
-    digest = F.sha1(F.concat(F.unhex(F.lit(ns_hex)), F.encode(name, "UTF-8")))
-    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    hex32 = F.concat(
-        F.substring(digest, 1, 12),
-        F.lit("5"),
-        F.substring(digest, 14, 3),
-        variant,
-        F.substring(digest, 18, 15),
+    d = F.sha1(F.concat(F.unhex(F.lit(ns_hex)), F.encode(name, "UTF-8")))
+    return F.concat(
+        F.substring(d, 1, 8),
+        F.lit("-"),
+        F.substring(d, 9, 4),
+        F.lit("-5"),
+        F.substring(d, 14, 3),
+        F.lit("-"),
+        F.translate(F.substring(d, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab"),
+        F.substring(d, 18, 3),
+        F.lit("-"),
+        F.substring(d, 21, 12),
     )
-    return _hyphenate(hex32)
 
 
 def canonical_uuid(text: Column) -> Column:

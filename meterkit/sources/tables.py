@@ -58,12 +58,22 @@ class TableStore:
         return p.getFileSystem(conf).exists(p)
 
     # -- read
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, time_from=None, time_until=None) -> DataFrame:
+        """A table. For facts, ``time_from``/``time_until`` bound the time column
+        (``event_start`` / ``sample_time``) to [from, until) and prune month partitions."""
         schema = schemas.TABLES[name]
         if name in APPEND_ONLY:
             if name in FACT_LAYOUT:
                 schema = StructType(schema.fields + [StructField(MONTH_COL, StringType(), True)])
             df = self.spark.read.schema(schema).parquet(self._path(name))
+            if name in FACT_LAYOUT:
+                tcol = F.col(FACT_LAYOUT[name][0])
+                if time_from is not None:
+                    lo = F.lit(time_from).cast("timestamp_ntz")
+                    df = df.filter((F.col(MONTH_COL) >= F.date_format(lo, "yyyy-MM")) & (tcol >= lo))
+                if time_until is not None:
+                    hi = F.lit(time_until).cast("timestamp_ntz")
+                    df = df.filter((F.col(MONTH_COL) <= F.date_format(hi, "yyyy-MM")) & (tcol < hi))
             return df.select(*schemas.TABLES[name].fieldNames())
         version = self.spark.read.parquet(self._pointer(name)).first()["version"]
         return self.spark.read.schema(schema).parquet(f"{self._path(name)}/v={version}")

@@ -134,3 +134,17 @@ def test_hot_key_matches_rowwise_rule(spark):
     assert [(r.event_start, r.event_end) for r in got] == [(a, b) for a, b, _ in exp]
     for r, (_, _, q) in zip(got, exp):
         assert abs(r.quantity - q) <= 1e-6 * max(1.0, abs(q))
+
+
+def test_month_partitions_pruned(spark):
+    store = TableStore(spark, scratch_path(spark, f"test-prune-{uuidlib.uuid4().hex}"))
+    store.create_all()
+    ev = spark.createDataFrame(
+        [(f"e{m}", T(f"2025-{m:02d}-10"), T(f"2025-{m:02d}-10 01:00"), "i", None, "w", 1.0) for m in range(1, 7)],
+        schemas.BILLING_EVENT,
+    )
+    store.append("billing_event", ev)
+    df = store.read("billing_event", time_from="2025-03-01 00:00:00", time_until="2025-05-01 00:00:00")
+    p = plan(df)
+    assert "PartitionFilters" in p and "_month" in " ".join(l for l in p.splitlines() if "PartitionFilters" in l)
+    assert sorted(r.uuid for r in df.collect()) == ["e3", "e4"]

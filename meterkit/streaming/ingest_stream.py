@@ -16,6 +16,8 @@ stored but closed windows are not re-estimated (R5), which ``estimate_drift`` au
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,16 +60,32 @@ def dedupe_within_watermark(stream: DataFrame, time_col: str, delay: str = "1 da
 
 
 class EventBatch:
-    """R1 body: validate, de-duplicate (first wins, not stored yet), stub items, append."""
+    """R1 body: validate, de-duplicate (first wins, not stored yet), stub items, append.
 
-    def __init__(self, store: TableStore):
+    By default each batch is checked against every stored uuid (exact, like a primary key;
+    reads the whole uuid column). With ``dedup_by_time=True`` only stored events whose
+    ``event_start`` lies in the batch's range are read (month partitions pruned, row groups
+    skipped): exact for re-sent messages, which repeat their payload, but a reused uuid with
+    a different start time is then not caught."""
+
+    def __init__(self, store: TableStore, dedup_by_time: bool = False):
         self.store = store
+        self.dedup_by_time = dedup_by_time
+
+    def _stored(self, batch: DataFrame) -> DataFrame:
+        if not self.dedup_by_time:
+            return self.store.read("billing_event")
+        parsed = ingest.valid(ingest.parse_event_messages(batch))
+        lo, hi = parsed.agg(F.min("event_start"), F.max("event_start")).first()
+        if lo is None:
+            return self.store.read("billing_event").limit(0)
+        return self.store.read("billing_event", time_from=lo, time_until=hi + dt.timedelta(microseconds=1))
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
         try:
             items = self.store.read("billing_item")
-            out = ingest.ingest_events(batch, items, self.store.read("billing_event"))
+            out = ingest.ingest_events(batch, items, self._stored(batch))
             stubs = out["stubs"].persist()
             if stubs.limit(1).count() > 0:
                 self.store.replace("billing_item", _materialised_union(self.store, items, stubs, epoch_id))
@@ -95,17 +113,27 @@ class WorkspaceBatch:
 
 
 class SampleBatch:
-    """R3 body: store new samples, then estimate the closed hours of the keys in the batch."""
+    """R3 body: store new samples, then estimate the closed hours of the keys in the batch.
+    ``dedup_by_time`` as for ``EventBatch`` (range of ``sample_time``)."""
 
-    def __init__(self, store: TableStore, lookback_hours: int | None = None):
+    def __init__(self, store: TableStore, dedup_by_time: bool = False):
         self.store = store
-        self.lookback_hours = lookback_hours
+        self.dedup_by_time = dedup_by_time
+
+    def _stored(self, batch: DataFrame) -> DataFrame:
+        if not self.dedup_by_time:
+            return self.store.read("rate_sample")
+        parsed = ingest.valid(ingest.parse_sample_messages(batch))
+        lo, hi = parsed.agg(F.min("sample_time"), F.max("sample_time")).first()
+        if lo is None:
+            return self.store.read("rate_sample").limit(0)
+        return self.store.read("rate_sample", time_from=lo, time_until=hi + dt.timedelta(microseconds=1))
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
         try:
             items = self.store.read("billing_item")
-            out = ingest.ingest_samples(batch, items, self.store.read("rate_sample"))
+            out = ingest.ingest_samples(batch, items, self._stored(batch))
             stubs = out["stubs"].persist()
             if stubs.limit(1).count() > 0:
                 items = _materialised_union(self.store, items, stubs, epoch_id)

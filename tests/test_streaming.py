@@ -67,7 +67,7 @@ def test_time_ordered_batches_equal_batch_estimates(spark):
         rows.append((_u(100 + n), t, ws, float(rnd.randint(0, 50))))
     rows.sort(key=lambda r: r[1])
     store = new_store(spark)
-    body = st.SampleBatch(store)
+    body = st.SampleBatch(store, dedup_by_time=True)
     for b in range(4):
         part = rows[b * 15 : (b + 1) * 15]
         body(sample_msgs(spark, [(u, t.isoformat(), "testsku", ws, r) for u, t, ws, r in part], seq0=b * 100), b)
@@ -104,6 +104,18 @@ def test_event_batch_first_wins_and_stubs(spark):
     assert [r.reason for r in store.read("event_quarantine").collect()] == ["bad_uuid"]
 
 
+def test_event_batch_time_bounded_dedup(spark):
+    store = new_store(spark)
+    body = st.EventBatch(store, dedup_by_time=True)
+    u = _u(600)
+    m = spark.createDataFrame(
+        [(u, "2025-01-01T00:00:00", "2025-01-01T00:05:00", "testsku", None, "w", 1.0, 1)], schemas.EVENT_MESSAGE
+    )
+    body(m, 0)
+    body(m, 1)  # the same message again (a replay) is dropped
+    assert store.read("billing_event").count() == 1
+
+
 def test_workspace_batch(spark):
     store = new_store(spark)
     body = st.WorkspaceBatch(store)

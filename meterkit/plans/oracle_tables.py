@@ -89,7 +89,7 @@ billing_item_price AS (
          CASE WHEN k < 8 THEN make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + (k + 1) * 10 * {DAY}) END
            AS valid_until,
          make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + k * 10 * {DAY}) AS configured_at
-  FROM billing_item, (SELECT unnest(range(0, 9)) AS k) ks
+  FROM (SELECT uuid, sku, unnest(range(0, 9)) AS k FROM billing_item) bk
   UNION ALL
   SELECT {U("'price:' || sku || ':c'")}, uuid,
          CAST(CAST(2 * length(sku) + 1 AS DOUBLE) / 100 AS DECIMAL(38,12)),

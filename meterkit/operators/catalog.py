@@ -117,12 +117,18 @@ def price_usage(events: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def account_charges(priced: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Charges per account and UTC month (events of unmapped workspaces are left out)."""
+    """Charges per account and UTC month (events of unmapped workspaces are left out).
+
+    Charges are first summed per (workspace, month), map-side combined, so the join to the
+    workspace map sees one row per workspace-month however many events a workspace has."""
     month = F.trunc(F.col("event_start").cast("date"), "month").cast("timestamp_ntz")
+    per_ws = priced.groupBy("workspace", month.alias("month")).agg(
+        F.sum("charge").alias("charge"), F.count(F.lit(1)).alias("events")
+    )
     return (
-        priced.join(accounts.select("workspace", "account"), "workspace")
-        .groupBy("account", month.alias("month"))
-        .agg(F.sum("charge").alias("charge"), F.count(F.lit(1)).alias("events"))
+        per_ws.join(accounts.select("workspace", "account"), "workspace")
+        .groupBy("account", "month")
+        .agg(F.sum("charge").alias("charge"), F.sum("events").alias("events"))
     )
 
 

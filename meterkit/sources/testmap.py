@@ -21,13 +21,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer splits than the cluster has cores (a small file
     with one row group), so per-row derivation runs on every core. Large inputs already
-    have many splits and are left alone; filters and column pruning still reach the scan."""
+    have many splits and are left alone; filters and column pruning still reach the scan.
+    Sessions without an RDD view (Spark Connect) are left as they are."""
     import os
 
     if os.environ.get("MK_SPREAD", "1") == "0":
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view on this kind of session
+        return df
+    if splits < cores:
         return df.repartition(cores)
     return df
 

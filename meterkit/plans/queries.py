@@ -247,6 +247,9 @@ def estimate_drift(spark, d):
     """R5 audit: estimates made when only samples before a time were known, compared with
     a recompute over all samples."""
     arrivals = tm.sample_arrivals(spark, d)
+    # only keys touched by late data can drift; both runs are restricted to them
+    touched = timeseries.late_keys(arrivals, "arrived_at", ESTIMATED_UNTIL)
+    arrivals = arrivals.join(touched, timeseries.KEYS, "left_semi")
     samples = arrivals.drop("arrived_at")
     early = arrivals.filter(F.col("arrived_at") < F.lit(ESTIMATED_UNTIL).cast("timestamp_ntz")).drop("arrived_at")
     stored = _estimates(spark, d, early)

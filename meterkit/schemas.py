@@ -46,6 +46,16 @@ RATE_SAMPLE = _s(
     ("workspace", StringType(), False),
     ("rate", DoubleType(), False),
 )
+# per-key estimation state: one row with ``resume_at`` per key that has one, plus the key's
+# pending samples (from the last one at or before the resume point onward)
+ESTIMATE_STATE = _s(
+    ("workspace", StringType(), False),
+    ("item_id", StringType(), False),
+    ("resume_at", TS, True),
+    ("uuid", StringType(), True),
+    ("sample_time", TS, True),
+    ("rate", DoubleType(), True),
+)
 QUARANTINE = _s(("uuid", StringType(), True), ("ingest_seq", LongType(), True), ("reason", StringType(), False))
 
 # messages as they arrive (text fields); ingest_seq is the source position
@@ -84,4 +94,5 @@ TABLES = {
     "rate_sample": RATE_SAMPLE,
     "event_quarantine": QUARANTINE,
     "sample_quarantine": QUARANTINE,
+    "estimate_state": ESTIMATE_STATE,
 }

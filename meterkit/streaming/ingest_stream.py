@@ -93,6 +93,8 @@ class EventBatch:
             self.store.append("event_quarantine", out["quarantine"].join(
                 self.store.read("event_quarantine").select("uuid", "ingest_seq"), ["uuid", "ingest_seq"], "left_anti"))
             stubs.unpersist()
+            # resume points move with the batch's valid events (also on a replay)
+            advance_resume(self.store, ingest.ingest_events(batch, self.store.read("billing_item"))["events"], epoch_id)
         finally:
             batch.unpersist()
 
@@ -107,14 +109,19 @@ class WorkspaceBatch:
         current = self.store.read("workspace_account")
         added = ingest.workspace_map(batch, current)
         if added.limit(1).count() > 0:
-            path = scratch_path(self.store.spark, f"workspace_account_e{epoch_id}")
+            path = _scratch(self.store, "workspace_account")
             current.unionByName(added).write.mode("overwrite").parquet(path)
             self.store.replace("workspace_account", self.store.spark.read.parquet(path))
 
 
 class SampleBatch:
     """R3 body: store new samples, then estimate the closed hours of the keys in the batch.
-    ``dedup_by_time`` as for ``EventBatch`` (range of ``sample_time``)."""
+
+    Estimation reads only the batch and the ``estimate_state`` rows of the batch's keys
+    (resume point and pending samples), never the sample or event history, so its cost
+    follows the batch, not the store. ``dedup_by_time`` as for ``EventBatch`` (range of
+    ``sample_time``). A store with history but no state is bootstrapped once with
+    ``rebuild_estimate_state``."""
 
     def __init__(self, store: TableStore, dedup_by_time: bool = False):
         self.store = store
@@ -142,21 +149,113 @@ class SampleBatch:
             self.store.append("sample_quarantine", out["quarantine"].join(
                 self.store.read("sample_quarantine").select("uuid", "ingest_seq"), ["uuid", "ingest_seq"], "left_anti"))
             stubs.unpersist()
-            estimates = estimates_for_batch(
-                self.store.read("rate_sample"), self.store.read("billing_event"), self.store.read("billing_item"),
-                ingest.valid(ingest.parse_sample_messages(batch)),
-            )
-            self.store.append("billing_event", estimates)
+            # the batch's own valid samples (first copy per uuid) drive estimation, also on a
+            # replay after a failure, when they are already stored
+            batch_samples = ingest.ingest_samples(batch, self.store.read("billing_item"))["samples"]
+            estimate_batch(self.store, batch_samples, epoch_id)
         finally:
             batch.unpersist()
 
 
-def estimates_for_batch(samples: DataFrame, events: DataFrame, items: DataFrame, batch_samples: DataFrame) -> DataFrame:
-    """T6 + T4 for the keys of one micro-batch.
+def estimate_batch(store: TableStore, batch_samples: DataFrame, epoch_id: int) -> None:
+    """T6 + T4 for the keys of one micro-batch, from the estimation state.
+
+    ``upto`` per key = hour of the key's latest sample in the batch (R4). Windows run from
+    the key's resume point (its latest event end, else the hour of its first sample). New
+    estimates are appended unless their id is stored already (checked within their own time
+    range), then the state moves on; so a replay after a failure at any step adds nothing."""
+    spark = store.spark
+    bs = batch_samples.select(*KEYS, "uuid", "sample_time", "rate")
+    upto = bs.groupBy(*KEYS).agg(from_us(floor_div(to_us(F.max("sample_time")), HOUR_US) * F.lit(HOUR_US)).alias("upto"))
+    keys = upto.select(*KEYS)
+    state = store.read("estimate_state")
+    mine = state.join(keys, KEYS, "left_semi")
+    resume_old = mine.filter(F.col("resume_at").isNotNull()).select(*KEYS, "resume_at")
+    pending = mine.filter(F.col("uuid").isNotNull()).select(*KEYS, "uuid", "sample_time", "rate")
+    cand = pending.unionByName(bs.join(pending.select("uuid"), "uuid", "left_anti"))
+    cand_path = _scratch(store, "estimate_cand")
+    cand.write.mode("overwrite").parquet(cand_path)
+    cand = spark.read.parquet(cand_path)
+    first = cand.groupBy(*KEYS).agg(F.min("sample_time").alias("_first"))
+    resume = first.join(resume_old, KEYS, "left").select(
+        *KEYS,
+        F.coalesce(
+            F.col("resume_at"), from_us(floor_div(to_us(F.col("_first")), HOUR_US) * F.lit(HOUR_US))
+        ).alias("resume_at"),
+    )
+    est = timeseries.hourly_estimates(cand, store.read("billing_item"), resume=resume, upto=upto)
+    est_path = _scratch(store, "estimate_new")
+    est.select(
+        "uuid", "event_start", "event_end", "item_id", F.lit(None).cast("string").alias("user"), "workspace", "quantity"
+    ).write.mode("overwrite").parquet(est_path)
+    est = spark.read.parquet(est_path)
+    lo, hi = est.agg(F.min("event_start"), F.max("event_start")).first()
+    if lo is not None:
+        stored = store.read("billing_event", time_from=lo, time_until=hi + dt.timedelta(microseconds=1))
+        store.append("billing_event", est.join(stored.select("uuid"), "uuid", "left_anti"))
+    # the state moves on only after the estimates are stored
+    ends = est.groupBy(*KEYS).agg(F.max("event_end").alias("_end"))
+    new_resume = ends.join(resume_old, KEYS, "full_outer").select(
+        *KEYS, F.greatest(F.col("_end"), F.col("resume_at")).alias("resume_at")
+    )
+    new_state = state.join(keys, KEYS, "left_anti").unionByName(state_rows(new_resume, pending_after(cand, new_resume)))
+    state_path = _scratch(store, "estimate_state")
+    new_state.write.mode("overwrite").parquet(state_path)
+    store.replace("estimate_state", spark.read.parquet(state_path))
+
+
+def pending_after(samples: DataFrame, resume: DataFrame) -> DataFrame:
+    """Samples still needed per key: from the last one at or before the resume point onward
+    (all of them when the key has no resume point yet)."""
+    s = samples.join(resume, KEYS, "left")
+    cut = s.filter(F.col("sample_time") <= F.col("resume_at")).groupBy(*KEYS).agg(F.max("sample_time").alias("_cut"))
+    return (
+        s.join(cut, KEYS, "left")
+        .filter(F.col("_cut").isNull() | (F.col("sample_time") >= F.col("_cut")))
+        .select(*KEYS, "uuid", "sample_time", "rate")
+    )
+
 
-    ``upto`` per key = hour of the key's latest sample in the batch (R4). Only samples from
-    the last one at or before the resume point onward are read. New estimates are those
-    whose id is not stored yet, so a replayed batch adds nothing."""
+def state_rows(resume: DataFrame, pending: DataFrame) -> DataFrame:
+    r = resume.filter(F.col("resume_at").isNotNull()).select(
+        *KEYS, "resume_at", F.lit(None).cast("string").alias("uuid"),
+        F.lit(None).cast("timestamp_ntz").alias("sample_time"), F.lit(None).cast("double").alias("rate"),
+    )
+    p = pending.select(*KEYS, F.lit(None).cast("timestamp_ntz").alias("resume_at"), "uuid", "sample_time", "rate")
+    return r.unionByName(p)
+
+
+def rebuild_estimate_state(store: TableStore) -> None:
+    """Bootstrap (or repair) the estimation state from the stored history in one pass."""
+    events = store.read("billing_event")
+    resume = events.groupBy(*KEYS).agg(F.max("event_end").alias("resume_at"))
+    samples = store.read("rate_sample").select(*KEYS, "uuid", "sample_time", "rate")
+    st = state_rows(resume, pending_after(samples, resume))
+    path = _scratch(store, "estimate_state_rebuild")
+    st.write.mode("overwrite").parquet(path)
+    store.replace("estimate_state", store.spark.read.parquet(path))
+
+
+def advance_resume(store: TableStore, events: DataFrame, epoch_id: int) -> None:
+    """A directly reported event moves its key's resume point (T6: any event counts)."""
+    ends = events.groupBy(*KEYS).agg(F.max("event_end").alias("_end"))
+    if ends.limit(1).count() == 0:
+        return
+    state = store.read("estimate_state")
+    old = state.filter(F.col("resume_at").isNotNull()).join(ends.select(*KEYS), KEYS, "left_semi").select(*KEYS, "resume_at")
+    moved = ends.join(old, KEYS, "full_outer").select(*KEYS, F.greatest(F.col("_end"), F.col("resume_at")).alias("resume_at"))
+    keep = state.filter(F.col("resume_at").isNull()).unionByName(
+        state.filter(F.col("resume_at").isNotNull()).join(ends.select(*KEYS), KEYS, "left_anti")
+    )
+    new_state = keep.unionByName(state_rows(moved, state.limit(0).select(*KEYS, "uuid", "sample_time", "rate")))
+    path = _scratch(store, "estimate_state_ev")
+    new_state.write.mode("overwrite").parquet(path)
+    store.replace("estimate_state", store.spark.read.parquet(path))
+
+
+def estimates_for_batch(samples: DataFrame, events: DataFrame, items: DataFrame, batch_samples: DataFrame) -> DataFrame:
+    """Recompute T6 + T4 for the keys of a batch from the full history of those keys (a
+    repair path; the streaming body uses the estimation state instead)."""
     it = items.select(F.col("uuid").alias("item_id"), "sku")
     keyed = batch_samples.join(it, "sku").select(*KEYS, "sample_time")
     upto = keyed.groupBy(*KEYS).agg(
@@ -164,18 +263,7 @@ def estimates_for_batch(samples: DataFrame, events: DataFrame, items: DataFrame,
     )
     key_samples = samples.join(upto.select(*KEYS), KEYS, "left_semi")
     resume = timeseries.resume_points(key_samples, events.join(upto.select(*KEYS), KEYS, "left_semi"))
-    # the segment crossing the resume point starts at the last sample at or before it
-    cut = (
-        key_samples.join(resume, KEYS)
-        .filter(F.col("sample_time") <= F.col("resume_at"))
-        .groupBy(*KEYS)
-        .agg(F.max("sample_time").alias("cut"))
-    )
-    needed = (
-        key_samples.join(cut, KEYS, "left")
-        .filter(F.col("cut").isNull() | (F.col("sample_time") >= F.col("cut")))
-        .drop("cut")
-    )
+    needed = pending_after(key_samples.select(*KEYS, "uuid", "sample_time", "rate"), resume)
     est = timeseries.hourly_estimates(needed, items, resume=resume, upto=upto)
     fresh = est.join(events.select("uuid"), "uuid", "left_anti")
     return fresh.select(
@@ -183,8 +271,16 @@ def estimates_for_batch(samples: DataFrame, events: DataFrame, items: DataFrame,
     )
 
 
+def _scratch(store: TableStore, name: str) -> str:
+    """A fixed staging folder per store and purpose (overwritten by each batch)."""
+    import hashlib
+
+    tag = hashlib.md5(store.root.encode()).hexdigest()[:12]
+    return scratch_path(store.spark, f"stage-{tag}-{name}")
+
+
 def _materialised_union(store: TableStore, items: DataFrame, stubs: DataFrame, epoch_id: int) -> DataFrame:
-    path = scratch_path(store.spark, f"billing_item_e{epoch_id}")
+    path = _scratch(store, "billing_item")
     items.unionByName(stubs.select(*schemas.BILLING_ITEM.fieldNames())).write.mode("overwrite").parquet(path)
     return store.spark.read.parquet(path)
 

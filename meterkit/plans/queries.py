@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.functions import iso_z, md5_uuid, to_us
+from meterkit.functions import to_us
 from meterkit.operators import access, catalog, ingest, timeseries, usage
 from meterkit.session import ensure_utc
 from meterkit.sources import testmap as tm
@@ -479,4 +479,4 @@ def queries() -> dict[str, Q]:
     return dict(REGISTRY)
 
 
-__all__ = ["queries", "md5_uuid", "iso_z"]
+__all__ = ["queries"]

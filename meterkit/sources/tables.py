@@ -10,8 +10,6 @@ so readers never see a half-written table.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,4 +133,4 @@ def default_root(spark: SparkSession) -> str:
     return scratch_path(spark, "tables")
 
 
-__all__ = ["TableStore", "read_jdbc", "write_jdbc", "default_root", "os"]
+__all__ = ["TableStore", "read_jdbc", "write_jdbc", "default_root"]

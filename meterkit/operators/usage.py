@@ -178,7 +178,7 @@ def usage_export(rows: DataFrame) -> DataFrame:
     )
 
 
-def _top1_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def _first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row per key. ``row_number() = 1`` plans a per-partition group limit before the
     shuffle, so a hot key sends one row per map task, not all of its rows."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -191,7 +191,7 @@ def latest_events(events: DataFrame, keys: list[str] | None = None) -> DataFrame
     keys = keys if keys is not None else ["workspace", "item_id"]
     if not keys:
         return events.orderBy(F.col("event_end").desc(), F.col("uuid").desc()).limit(1)
-    return _top1_per_key(events, keys, [F.col("event_end").desc(), F.col("uuid").desc()])
+    return _first_per_key(events, keys, [F.col("event_end").desc(), F.col("uuid").desc()])
 
 
 def earliest_samples(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -199,7 +199,7 @@ def earliest_samples(samples: DataFrame, keys: list[str] | None = None) -> DataF
     keys = keys if keys is not None else ["workspace", "item_id"]
     if not keys:
         return samples.orderBy("sample_time", "uuid").limit(1)
-    return _top1_per_key(samples, keys, [F.col("sample_time").asc(), F.col("uuid").asc()])
+    return _first_per_key(samples, keys, [F.col("sample_time").asc(), F.col("uuid").asc()])
 
 
 def compact_daily(events: DataFrame) -> DataFrame:

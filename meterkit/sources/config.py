@@ -22,13 +22,20 @@ log = logging.getLogger(__name__)
 
 
 def read_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(config items, config prices) or None when the file does not exist."""
+    """(config items, config prices) or None when the file does not exist. A document that
+    is not a JSON object is an error."""
     try:
-        doc = spark.read.schema(schemas.CONFIG).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-        doc.first()
+        raw = spark.read.text(path, wholetext=True)
+        raw.first()
     except AnalysisException:
         log.warning("configuration file %s not found; continuing without it", path)
         return None
+    checked = raw.select(
+        F.when(F.trim(F.col("value")).startswith("{"), F.col("value")).alias("value")
+    )
+    if checked.filter(F.col("value").isNull()).limit(1).count() > 0:
+        raise ValueError(f"configuration {path} is not a JSON object - check the format")
+    doc = checked.select(F.from_json("value", schemas.CONFIG).alias("d")).select("d.*")
     return config_frames(doc)
 
 

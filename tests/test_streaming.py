@@ -180,6 +180,33 @@ def test_config_load(spark):
     assert store.read("billing_item_price").count() == 2
 
 
+def test_read_config_file(spark):
+    import pytest
+
+    from meterkit.sources.config import read_config
+
+    root = scratch_path(spark, f"test-config-{uuidlib.uuid4().hex}")
+    os.makedirs(root, exist_ok=True)
+    good = os.path.join(root, "good.json")
+    with open(good, "w") as f:
+        json.dump({"items": [{"sku": "my-sku", "name": "my product", "unit": "GB-s"}],
+                   "prices": [{"sku": "my-sku", "valid_from": "2025-01-01T00:00:00Z", "price": 12.34}]}, f, indent=2)
+    items, prices = read_config(spark, good)
+    assert [tuple(r) for r in items.collect()] == [("my-sku", "my product", "GB-s")]
+    assert [(r.seq, r.sku, str(r.price)) for r in prices.collect()] == [(0, "my-sku", "12.340000000000")]
+    only_items = os.path.join(root, "items.json")
+    with open(only_items, "w") as f:
+        json.dump({"items": []}, f)
+    items, prices = read_config(spark, only_items)
+    assert items.count() == 0 and prices.count() == 0
+    assert read_config(spark, os.path.join(root, "missing.json")) is None
+    bad = os.path.join(root, "bad.json")
+    with open(bad, "w") as f:
+        json.dump([{"items": []}], f)
+    with pytest.raises(ValueError):
+        read_config(spark, bad)
+
+
 def test_file_stream_validates_like_batch(spark):
     root = scratch_path(spark, f"test-stream-{uuidlib.uuid4().hex}")
     src = os.path.join(root, "in")

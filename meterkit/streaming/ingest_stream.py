@@ -120,12 +120,13 @@ class SampleBatch:
     Estimation reads only the batch and the ``estimate_state`` rows of the batch's keys
     (resume point and pending samples), never the sample or event history, so its cost
     follows the batch, not the store. ``dedup_by_time`` as for ``EventBatch`` (range of
-    ``sample_time``). A store with history but no state is bootstrapped once with
-    ``rebuild_estimate_state``."""
+    ``sample_time``). ``split_us`` as for ``hourly_estimates``. A store with history but no
+    state is bootstrapped once with ``rebuild_estimate_state``."""
 
-    def __init__(self, store: TableStore, dedup_by_time: bool = False):
+    def __init__(self, store: TableStore, dedup_by_time: bool = False, split_us: int = HOUR_US):
         self.store = store
         self.dedup_by_time = dedup_by_time
+        self.split_us = split_us
 
     def _stored(self, batch: DataFrame) -> DataFrame:
         if not self.dedup_by_time:
@@ -152,12 +153,12 @@ class SampleBatch:
             # the batch's own valid samples (first copy per uuid) drive estimation, also on a
             # replay after a failure, when they are already stored
             batch_samples = ingest.ingest_samples(batch, self.store.read("billing_item"))["samples"]
-            estimate_batch(self.store, batch_samples, epoch_id)
+            estimate_batch(self.store, batch_samples, epoch_id, self.split_us)
         finally:
             batch.unpersist()
 
 
-def estimate_batch(store: TableStore, batch_samples: DataFrame, epoch_id: int) -> None:
+def estimate_batch(store: TableStore, batch_samples: DataFrame, epoch_id: int, split_us: int = HOUR_US) -> None:
     """T6 + T4 for the keys of one micro-batch, from the estimation state.
 
     ``upto`` per key = hour of the key's latest sample in the batch (R4). Windows run from
@@ -183,7 +184,7 @@ def estimate_batch(store: TableStore, batch_samples: DataFrame, epoch_id: int) -
             F.col("resume_at"), from_us(floor_div(to_us(F.col("_first")), HOUR_US) * F.lit(HOUR_US))
         ).alias("resume_at"),
     )
-    est = timeseries.hourly_estimates(cand, store.read("billing_item"), resume=resume, upto=upto)
+    est = timeseries.hourly_estimates(cand, store.read("billing_item"), resume=resume, upto=upto, split_us=split_us)
     est_path = _scratch(store, "estimate_new")
     est.select(
         "uuid", "event_start", "event_end", "item_id", F.lit(None).cast("string").alias("user"), "workspace", "quantity"

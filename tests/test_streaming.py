@@ -67,7 +67,7 @@ def test_time_ordered_batches_equal_batch_estimates(spark):
         rows.append((_u(100 + n), t, ws, float(rnd.randint(0, 50))))
     rows.sort(key=lambda r: r[1])
     store = new_store(spark)
-    body = st.SampleBatch(store, dedup_by_time=True)
+    body = st.SampleBatch(store, dedup_by_time=True, split_us=600_000_000)
     for b in range(4):
         part = rows[b * 15 : (b + 1) * 15]
         body(sample_msgs(spark, [(u, t.isoformat(), "testsku", ws, r) for u, t, ws, r in part], seq0=b * 100), b)

@@ -19,7 +19,6 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,8 +35,9 @@ def ensure_utc(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting must point at shared storage and is only read. Where it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    On a cluster this setting must point at shared storage and is only read; where it is unset
+    there this raises, because executors would each write to a disk of their own. A single-JVM
+    ``local`` session without the setting gets a fresh scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -46,15 +46,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if not configured and sc is not None:
         configured = sc.getCheckpointDir()
-    if configured:
-        if sc is not None and sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="meterkit-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    if sc is not None:
-        sc.setCheckpointDir(local)
-    return local
+    if not configured:
+        master = sc.master if sc is not None else ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="meterkit-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

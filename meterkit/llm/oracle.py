@@ -45,3 +45,20 @@ s AS (SELECT doc_id, len(ws) n_words, coalesce(list_sum(list_transform(ws, lambd
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT ({" OR ".join(over)}) kept, {", ".join(COVERS)} FROM b"""
+
+
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def decontamination(documents: str = "documents") -> str:
+    split = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ITEM_WORD}')"
+    return f"""WITH d AS (SELECT row_number() OVER () r, doc_id, {split} ws FROM {documents}),
+b AS (SELECT item_id, ws, least(13, len(ws)) w FROM (SELECT item_id, {split} ws FROM benchmark) WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, w, unnest(list_transform(range(1, len(ws) - w + 2), lambda i: array_to_string(ws[i : i + w - 1], ' '))) gram FROM b),
+dw AS (SELECT r, w, unnest(list_transform(range(1, len(ws) - w + 2), lambda i:
+  {{'i': i, 'gram': array_to_string(ws[i : i + w - 1], ' ')}}), recursive := true) FROM d JOIN (SELECT DISTINCT w FROM win) ON len(ws) >= w),
+f AS (SELECT dw.r, dw.i, dw.w, win.item_id FROM dw JOIN win USING (w, gram)),
+h AS (SELECT r, count(DISTINCT i + o) n FROM (SELECT DISTINCT r, i, w FROM f) JOIN range(0, 13) s(o) ON o < w GROUP BY r),
+t AS (SELECT r, count(*) n, string_agg(item_id, ',' ORDER BY item_id) ids FROM (SELECT DISTINCT r, item_id::VARCHAR item_id FROM f WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT n_words, coalesce(h.n, 0) n_hit, coalesce(t.n, 0) n_items, sha256(coalesce(t.ids, '')) items_sha256,
+  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meterkit.llm import oracle, quality
+from meterkit.llm import decontam, langid, oracle, quality
 from meterkit.llm.common import table
 
 
@@ -14,9 +15,21 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_signals(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition,)}
+    return {f.__name__: f for f in (op1_repetition, op5_language_id, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repetition": oracle.repetition()}
+    return {"op1_repetition": oracle.repetition(), "op8_decontamination": oracle.decontamination()}

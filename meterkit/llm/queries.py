@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import decontam, langid, oracle, quality
+from meterkit.llm import bpe, decontam, langid, oracle, quality
 from meterkit.llm.common import table
 
 
@@ -15,6 +15,17 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_signals(table(spark, sf_dir, "documents"))
 
 
+def _bpe() -> tuple[str, str]:
+    """(rank file, split pattern) of the byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *_bpe())
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
@@ -28,7 +39,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op5_language_id, op8_decontamination)}
+    return {f.__name__: f for f in (op1_repetition, op4_byte_bpe, op5_language_id, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

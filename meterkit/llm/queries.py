@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, decontam, langid, oracle, quality
+from meterkit.llm import bpe, decontam, langid, oracle, pii, quality
 from meterkit.llm.common import table
 
 
@@ -38,8 +38,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), pii.train())
+    counts = [F.expr(f"cast(size(filter(split(base, ','), x -> startswith(x, '{k}:'))) as bigint)").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op4_byte_bpe, op5_language_id, op8_decontamination)}
+    return {f.__name__: f for f in (op1_repetition, op4_byte_bpe, op5_language_id, op8_decontamination, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,8 @@ right and right to left) run over each window, a softmax over both states labels
 position, and the document's distribution is the mean over all its positions, so whole texts
 count at any length. The network is trained here, in numpy, by backpropagation through time on a
 bounded sample of labelled rows: at most ``SAMPLE_DOCS`` documents of each language, picked by a
-hash of the document, ``SAMPLE_WINDOWS`` windows of each. Gates and candidate use the softsign
+hash of the document in ``SALTS`` equal parts (so no task ranks a whole language), and
+``SAMPLE_WINDOWS`` windows of each. Gates and candidate use the softsign
 curve, which needs no exponentials.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. A null lang never
@@ -30,6 +31,7 @@ WINDOW = 64
 HIDDEN = 8
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 6
+SALTS = 16
 MIN_SCORE = 0.4
 PAD = 256
 RUN = 2048  # windows in one numpy step
@@ -136,7 +138,6 @@ def _gradients(p: dict[str, np.ndarray], windows: np.ndarray, target: np.ndarray
         d_state = p[f"{d}o"] @ dl
         gx, gu = np.zeros_like(p[f"{d}x"]), np.zeros_like(p[f"{d}u"])
         h_dim, carry = gu.shape[0], 0
-        one_hot = np.zeros((len(target), PAD + 1), np.float32)
         for t in range(len(trace) - 1, -1, -1):
             soft, z, r, un, c = trace[t]
             h = states[t]
@@ -145,9 +146,8 @@ def _gradients(p: dict[str, np.ndarray], windows: np.ndarray, target: np.ndarray
             dc = dh * (1 - z) * _d_soft(c)
             dr = dc * un * 0.5 * _d_soft(soft[h_dim:])
             du = np.concatenate([dz, dr, dc * r])
-            one_hot[each, xs[t]] = 1
-            gx += (np.concatenate([dz, dr, dc]) @ one_hot).T
-            one_hot[each, xs[t]] = 0
+            for j, row in enumerate((*dz, *dr, *dc)):
+                gx[:, j] += np.bincount(xs[t], row, PAD + 1)
             gu += h @ du.T
             carry = dh * z + p[f"{d}u"] @ du
         g[f"{d}x"], g[f"{d}u"] = gx, gu
@@ -180,16 +180,16 @@ def fit(samples: list[tuple[str, bytes]], hidden: int = HIDDEN, epochs: int = 3,
 
 
 def labelled_sample(df: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", docs: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> list[tuple[str, bytes]]:
-    """The bounded training sample: per language the ``docs`` documents of lowest hash, ``windows``
+    """The bounded training sample: per language at most ``docs`` documents by hash, ``windows``
     stretches of WINDOW characters of each at hashed places. Only those stretches reach the driver."""
     place = f"1 + pmod(xxhash64(`{key_col}`, i), greatest(1, length(`{text_col}`) - {WINDOW} + 1))"
     cuts = F.expr(f"transform(sequence(1, {windows}), i -> substring(`{text_col}`, cast({place} as int), {WINDOW}))")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "key"))
+    rank = F.row_number().over(Window.partitionBy("lang", F.pmod("order", F.lit(SALTS))).orderBy("order", "key"))
     picked = (
         df.where(F.col(lang_col).isNotNull() & F.col(key_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
         .select(F.col(lang_col).alias("lang"), F.xxhash64(key_col).alias("order"), F.col(key_col).alias("key"), cuts.alias("cuts"))
         .withColumn("rank", rank)
-        .where(F.col("rank") <= docs)
+        .where(F.col("rank") <= max(1, docs // SALTS))
         .select("lang", "order", "key", "cuts")
     )
     rows = sorted(picked.collect(), key=lambda r: (r.lang, r.order, str(r.key), r.cuts))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, decontam, langid, oracle, pii, quality
+from meterkit.llm import bpe, decontam, htmltext, jaccard, langid, oracle, pii, quality
 from meterkit.llm.common import table
 
 
@@ -15,7 +15,12 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_signals(table(spark, sf_dir, "documents"))
 
 
-def _bpe() -> tuple[str, str]:
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def byte_vocabulary() -> tuple[str, str]:
     """(rank file, split pattern) of the byte-level vocabulary."""
     import public_tokenizers
 
@@ -23,7 +28,7 @@ def _bpe() -> tuple[str, str]:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *_bpe())
+    return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *byte_vocabulary())
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,14 +43,24 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), pii.train())
     counts = [F.expr(f"cast(size(filter(split(base, ','), x -> startswith(x, '{k}:'))) as bigint)").alias(f"n_{k}") for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op4_byte_bpe, op5_language_id, op8_decontamination, op10_personal_data)}
+    return {f.__name__: f for f in (op1_repetition, op2_main_text, op4_byte_bpe, op5_language_id, op8_decontamination, op9_ngram_jaccard, op10_personal_data, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside Spark tasks.
 
-A text is cut by the vocabulary's split pattern; each distinct piece is encoded once per task. A
-recursive query holds one row per (piece, position, token), joins neighbouring tokens with the
-merge table, contracts each piece's leftmost pair of least rank and goes on with the pieces that
-changed until none does. Where no merge that contains the new token has a smaller rank than the
-token itself, all its occurrences in the piece are contracted in one round, left to right: the
-one-by-one order would take them next anyway. Only contracted positions are written back (the
-recursion is keyed by piece and position), so its memory is that of the pieces. Decoding joins
-token rows with the vocabulary and concatenates by an ordered aggregation.
+A text is cut by the vocabulary's split pattern. A piece that is a token is that token; of the
+others each distinct one is encoded once while a worker remembers it. A recursive query holds one
+row per (piece, position, token), joins neighbouring tokens with the merge table, contracts each
+piece's leftmost pair of least rank and goes on with the pieces that changed until none does.
+
+Pieces beyond ``SHORT`` bytes take a second form of the query, with the same results, for its
+memory and rounds: only contracted positions are written back (the recursion is keyed by piece
+and position), and where no merge that contains the new token has a smaller rank than the token
+itself, all its occurrences in the piece are contracted in one round, left to right, since the
+one-by-one order would take them next anyway. Decoding joins token rows with the vocabulary and
+concatenates by an ordered aggregation.
 
 The ranks are read once on the driver from a path that is a parameter and broadcast; a vocabulary
 file is some hundred thousand rows whatever the corpus is (``VOCAB_BYTES`` bounds it).
@@ -31,11 +34,25 @@ from meterkit.llm.common import blocks, map_arrow, texts_of
 
 VOCAB_BYTES = 64 << 20
 CHUNK_BYTES = 256 << 10  # of distinct pieces in one recursive query; a longer piece stands alone
-CACHE_PIECES = 250_000
+CACHE_BYTES = 60 << 20  # of remembered pieces with their ids and bytes, twice at most
+SHORT = 64
 DECODE = """
 SELECT s.row, string_agg(v.hex, '' ORDER BY s.pos) FROM
   (SELECT row, unnest(ids) id, generate_subscripts(ids, 1) pos FROM coded) s JOIN vocab v USING (id) GROUP BY s.row"""
 ENCODE = """
+WITH RECURSIVE t(piece, pos, tok, done) AS (
+  SELECT piece, pos, tok, false FROM pieces
+  UNION ALL
+  (WITH pair AS (
+     SELECT piece, pos, tok, lead(tok) OVER w nxt, lead(pos) OVER w nxt_pos FROM t
+     WHERE NOT done WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+   best AS (
+     SELECT piece, min(id::BIGINT << 32 | pos) least, arg_min(nxt_pos, id::BIGINT << 32 | pos) gone
+     FROM pair JOIN merges ON tok = left_id AND nxt = right_id GROUP BY piece)
+   SELECT piece, pos, CASE WHEN pos = least & 4294967295 THEN (least >> 32)::INT ELSE tok END, least IS NULL
+   FROM pair LEFT JOIN best USING (piece) WHERE pos IS DISTINCT FROM gone))
+SELECT piece, tok FROM t WHERE done ORDER BY piece, pos"""
+ENCODE_LONG = """
 WITH RECURSIVE t(piece, pos, tok) USING KEY (piece, pos) AS (
   SELECT piece::INT, pos::INT, tok::INT FROM pieces
   UNION
@@ -55,7 +72,7 @@ WITH RECURSIVE t(piece, pos, tok) USING KEY (piece, pos) AS (
      SELECT piece, pos, nxt_pos, id FROM pick WHERE NOT twin
      UNION ALL SELECT piece, pos, nxt_pos, id FROM odd WHERE taken)
    SELECT piece, pos, id FROM done UNION ALL SELECT piece, nxt_pos, -1 FROM done))
-SELECT piece, list(tok ORDER BY pos) FROM t WHERE tok >= 0 GROUP BY piece"""
+SELECT piece, tok FROM t WHERE tok >= 0 ORDER BY piece, pos"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,28 +105,42 @@ class Encoder:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows")
         known = pd.DataFrame({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]})
         self.db.execute("CREATE TABLE vocab AS SELECT id::INT id, hex FROM known")
+        self.ranks = ranks
         self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.size = 0
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece (none of them empty)."""
         raw = [p.encode() for p in pieces]
-        out: list[list[int]] = []
-        start = 0
-        while start < len(raw):
-            stop, size = start, 0
-            while stop < len(raw) and (stop == start or size + len(raw[stop]) <= CHUNK_BYTES):
-                size += len(raw[stop])
-                stop += 1
-            part = raw[start:stop]
-            n = np.fromiter(map(len, part), np.int64, len(part))
-            at = np.arange(size) - np.repeat(np.cumsum(n) - n, n)
-            tokens = self.byte_id[np.frombuffer(b"".join(part), np.uint8)]
-            self.db.register("pieces", pa.table({"piece": np.repeat(np.arange(len(part)), n), "pos": at, "tok": tokens}))
-            got = dict(self.db.execute(ENCODE).fetchall())
-            self.db.unregister("pieces")
-            out += [got[i] for i in range(len(part))]
-            start = stop
+        out: list = [None] * len(raw)
+        rest = []
+        for i, r in enumerate(raw):
+            if r in self.ranks:
+                out[i] = [self.ranks[r]]
+            else:
+                rest.append(i)
+        for query, some in ((ENCODE, [i for i in rest if len(raw[i]) <= SHORT]), (ENCODE_LONG, [i for i in rest if len(raw[i]) > SHORT])):
+            start = 0
+            while start < len(some):
+                stop, size = start, 0
+                while stop < len(some) and (stop == start or size + len(raw[some[stop]]) <= CHUNK_BYTES):
+                    size += len(raw[some[stop]])
+                    stop += 1
+                for i, ids in zip(some[start:stop], self._contract(query, [raw[i] for i in some[start:stop]])):
+                    out[i] = ids
+                start = stop
         return out
 
+    def _contract(self, query: str, part: list[bytes]) -> list[list[int]]:
+        n = np.fromiter(map(len, part), np.int64, len(part))
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        rows = {"piece": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": at.astype(np.int32), "tok": self.byte_id[np.frombuffer(b"".join(part), np.uint8)]}
+        self.db.register("pieces", pa.table(rows))
+        got = self.db.execute(query).fetchnumpy()
+        self.db.unregister("pieces")
+        return [x.tolist() for x in np.split(got["tok"], np.flatnonzero(np.diff(got["piece"])) + 1)]
+
     def decode_rows(self, ids: list) -> list[bytes]:
         """The bytes of each list of ids; unknown ids raise."""
         out = [b""] * len(ids)
@@ -128,12 +159,21 @@ class Encoder:
         return out
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Encode (and decode again) the pieces that are not in the cache yet."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.cache]
-        if not new:
-            return
-        coded = self.encode_pieces(new)
-        self.cache.update(zip(new, zip(map(len, coded), (" ".join(map(str, ids)) for ids in coded), self.decode_rows(coded))))
+        """Have all the pieces in the cache. What was not used for a whole cache's length is forgotten."""
+        if self.size > CACHE_BYTES:
+            self.older, self.cache, self.size = self.cache, {}, 0
+        new = []
+        for p in dict.fromkeys(pieces):
+            if p not in self.cache:
+                if p in self.older:
+                    self.cache[p] = self.older[p]
+                    self.size += 4 * len(p) + 200
+                else:
+                    new.append(p)
+        if new:
+            coded = self.encode_pieces(new)
+            self.cache.update(zip(new, zip(map(len, coded), (" ".join(map(str, ids)) for ids in coded), self.decode_rows(coded))))
+            self.size += sum(8 * len(p) + 300 for p in new)
 
     def pieces_of(self, text: str) -> list[str]:
         return self.split(text)
@@ -161,8 +201,6 @@ def _share(df: DataFrame, path: str, pattern: str):
 def _cut(encoder: Encoder, texts: list[str]) -> list[list[str]]:
     """The pieces of each text, all of them in the encoder's cache."""
     cut = [encoder.pieces_of(t) for t in texts]
-    if len(encoder.cache) > CACHE_PIECES:
-        encoder.cache.clear()
     encoder.learn(p for row in cut for p in row)
     return cut
 

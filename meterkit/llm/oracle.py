@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from meterkit.llm.chat import CLOSE, END, OPEN, PARTS, TRAINED
+from meterkit.llm.lines import MIN_WORDS as RUN_WORDS
+from meterkit.llm.lines import UNIT
 from meterkit.llm.quality import COVERS, DUP_PERCENT, LINE_PERCENT, MIN_WORDS, TOP_PERCENT
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,3 +65,42 @@ h AS (SELECT r, count(DISTINCT i + o) n FROM (SELECT DISTINCT r, i, w FROM f) JO
 t AS (SELECT r, count(*) n, string_agg(item_id, ',' ORDER BY item_id) ids FROM (SELECT DISTINCT r, item_id::VARCHAR item_id FROM f WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT n_words, coalesce(h.n, 0) n_hit, coalesce(t.n, 0) n_items, sha256(coalesce(t.ids, '')) items_sha256,
   coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+
+def repeated_passages() -> str:
+    unit = UNIT.replace("\n", "\\n")
+    return f"""WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '{unit}') us FROM documents),
+u AS (SELECT r, doc_id, i, unit, sum(length(unit)) OVER (PARTITION BY r ORDER BY i) e,
+  regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') ws
+  FROM (SELECT r, doc_id, unnest(us) unit, generate_subscripts(us, 1) i FROM d)),
+w AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) place FROM u WHERE len(ws) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(ws, ' ') ORDER BY doc_id NULLS LAST, r, place) k FROM w),
+q AS (SELECT *, place - row_number() OVER (PARTITION BY r ORDER BY place) run FROM o WHERE k > 1),
+s AS (SELECT r, min(e - length(unit)) a, max(e) b, count(*) n FROM q GROUP BY r, run HAVING sum(len(ws)) >= {RUN_WORDS}),
+t AS (SELECT r, sum(n)::BIGINT n, string_agg(a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a) spans FROM s GROUP BY r),
+x AS (SELECT u.r, string_agg(unit, '' ORDER BY i) kept FROM u WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.r = u.r AND u.e > s.a AND u.e <= s.b) GROUP BY u.r)
+SELECT doc_id, coalesce(t.n, 0) n_removed, coalesce(t.spans, '') removed, length(coalesce(x.kept, '')) n_kept_chars, sha256(coalesce(x.kept, '')) kept_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN x USING (r)"""
+
+
+def preference_format() -> str:
+    mark = lambda s: "'" + s.replace("\n", "' || chr(10) || '") + "'"
+    role, text = "coalesce(role, 'unknown')", "coalesce(text, '')"
+    render = f"{mark(OPEN)} || {role} || {mark(CLOSE)} || {text} || {mark(END)}"
+    head, body = f"(length({role}) + {len(OPEN + CLOSE)})", f"(length({text}) + {len(END)})"
+    mask = f"CASE WHEN role IS NOT DISTINCT FROM '{TRAINED}' THEN {head} || ':0,' || {body} || ':1' ELSE ({head} + {body}) || ':0' END"
+    side = lambda n: f"""{n} AS (SELECT p.id, string_agg({render}, '' ORDER BY pos) x, string_agg({mask}, ',' ORDER BY pos) m
+  FROM k p JOIN t ON t.conv_id = p.{n}_id WHERE pos > p.n GROUP BY p.id)"""
+    return f"""WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+f AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY role, text ORDER BY ((conv_id % {PARTS}) + {PARTS}) % {PARTS}, conv_id) - 1 i FROM t WHERE pos = 1),
+p AS (SELECT row_number() OVER () id, max(conv_id) FILTER (i % 2 = 0) chosen_id, max(conv_id) FILTER (i % 2 = 1) rejected_id FROM f GROUP BY role, text, i // 2),
+b AS (SELECT id, a.pos, a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AND b.pos IS NOT NULL same
+  FROM p JOIN t a ON a.conv_id = chosen_id LEFT JOIN t b ON b.conv_id = rejected_id AND b.pos = a.pos WHERE rejected_id IS NOT NULL),
+c AS (SELECT id, coalesce(min(pos) FILTER (NOT same) - 1, max(pos)) n FROM b GROUP BY id),
+k AS (SELECT p.*, coalesce(c.n, 0) n FROM p LEFT JOIN c USING (id)),
+{side("chosen")}, {side("rejected")},
+q AS (SELECT k.id, string_agg({render}, '' ORDER BY pos) x FROM k JOIN t ON t.conv_id = k.chosen_id WHERE pos <= k.n GROUP BY k.id)
+SELECT chosen_id, rejected_id, k.n n_prompt_turns, coalesce(q.x, '') prompt, coalesce(chosen.x, '') chosen, coalesce(chosen.m, '') chosen_mask,
+  CASE WHEN rejected_id IS NOT NULL THEN coalesce(rejected.x, '') END rejected, CASE WHEN rejected_id IS NOT NULL THEN coalesce(rejected.m, '') END rejected_mask
+FROM k LEFT JOIN q USING (id) LEFT JOIN chosen USING (id) LEFT JOIN rejected USING (id)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, decontam, htmltext, jaccard, langid, oracle, pii, quality
+from meterkit.llm import bpe, chat, decontam, htmltext, jaccard, langid, lines, oracle, pii, quality
 from meterkit.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(pages).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    span = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    units = F.expr("coalesce(aggregate(removed, 0L, (n, s) -> n + s.units), 0L)")
+    kept = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", units.alias("n_removed"), F.coalesce(F.array_join(span, ","), F.lit("")).alias("removed"), F.length(kept).cast("bigint").alias("n_kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def byte_vocabulary() -> tuple[str, str]:
     """(rank file, split pattern) of the byte-level vocabulary."""
     import public_tokenizers
@@ -37,6 +45,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = chat.conversations(table(spark, sf_dir, "conversations"))
+    return chat.preference_examples(chat.pairs_by_first_turn(convs), convs)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
@@ -60,8 +73,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_main_text, op4_byte_bpe, op5_language_id, op8_decontamination, op9_ngram_jaccard, op10_personal_data, pipeline)}
+    return {f.__name__: f for f in (op1_repetition, op2_main_text, op3_repeated_passages, op4_byte_bpe, op5_language_id, op7_preference_format, op8_decontamination, op9_ngram_jaccard, op10_personal_data, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repetition": oracle.repetition(), "op8_decontamination": oracle.decontamination()}
+    return {
+        "op1_repetition": oracle.repetition(),
+        "op3_repeated_passages": oracle.repeated_passages(),
+        "op7_preference_format": oracle.preference_format(),
+        "op8_decontamination": oracle.decontamination(),
+    }

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meterkit.llm import bpe, decontam, jaccard, langid, pii
-from meterkit.llm.common import table, written
+from meterkit.llm.common import fresh, quoted, table, written
 from meterkit.llm.queries import byte_vocabulary
 
 
@@ -19,8 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: not ``und``, and a mean probability of MIN_SCORE at
     least. The model learns from the labelled documents that are not held out."""
     model = langid.train(docs)
-    found = langid.predict(docs, model, lang_name="__lang", score_name="__score")
-    return found.where(f"__lang <> '{langid.UNKNOWN}' and __score >= {langid.MIN_SCORE}").select(*docs.columns)
+    lang, score = fresh(docs, "__lang"), fresh(docs, "__score")
+    found = langid.predict(docs, model, lang_name=lang, score_name=score)
+    return found.where(f"{lang} <> '{langid.UNKNOWN}' and {score} >= {langid.MIN_SCORE}").select(*quoted(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if "n_chars" not in docs.columns:
         return clean
     kind = docs.schema["n_chars"].dataType
-    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(kind)).select(*docs.columns)
+    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(kind)).select(*quoted(docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

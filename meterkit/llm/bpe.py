@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meterkit.llm.common import blocks, map_arrow, texts_of
+from meterkit.llm.common import blocks, fields, map_arrow, texts_of
 
 VOCAB_BYTES = 64 << 20
 CHUNK_BYTES = 256 << 10  # of distinct pieces in one recursive query; a longer piece stands alone
@@ -205,12 +205,9 @@ def _cut(encoder: Encoder, texts: list[str]) -> list[list[str]]:
     return cut
 
 
-def _fields(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "ids") -> DataFrame:
-    """``df`` with the token ids of each text."""
+    """``df`` with the token ids of each text (a column of that name is replaced)."""
+    df = df.drop(name)
     key, shared = _share(df, path, pattern)
 
     def run(batches):
@@ -220,11 +217,12 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", name:
             ids = [np.fromstring(" ".join(encoder.cache[p][1] for p in row), np.int32, sep=" ") for row in cut]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*block.schema.names, name])
 
-    return map_arrow(df, run, f"{_fields(df)}, `{name}` array<int>")
+    return map_arrow(df, run, f"{fields(df)}, `{name}` array<int>")
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """``df`` with the bytes that each list of ids stands for."""
+    """``df`` with the bytes that each list of ids stands for (a column of that name is replaced)."""
+    df = df.drop(name)
     key, shared = _share(df, path, pattern)
 
     def run(batches):
@@ -235,13 +233,14 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", name: s
             out = [None if x is None else next(raw) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, name])
 
-    return map_arrow(df, run, f"{_fields(df)}, `{name}` binary")
+    return map_arrow(df, run, f"{fields(df)}, `{name}` binary")
 
 
 def token_digests(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``df`` without its text, with the number of tokens, a digest of the ids and one of the bytes
     decoded from them. A document's bytes are those of its pieces' tokens in order, so each
-    distinct piece is decoded once."""
+    distinct piece is decoded once. Columns of those names are replaced."""
+    df = df.drop("n_tokens", "ids_sha256", "decoded_sha256")
     key, shared = _share(df, path, pattern)
     rest = df.drop(text_col)
     keep = rest.columns
@@ -259,5 +258,5 @@ def token_digests(df: DataFrame, path: str, pattern: str, text_col: str = "text"
             kept = [block.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=names)
 
-    fields = f"{_fields(rest)}, " if keep else ""
-    return map_arrow(df, run, f"{fields}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    head = f"{fields(rest)}, " if keep else ""
+    return map_arrow(df, run, f"{head}n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -56,6 +56,24 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x if x is not None else "" for x in batch.column(column).to_pylist()]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it while ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names that may hold dots, for select."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def fields(df: DataFrame) -> str:
+    """The schema of ``df`` as a DDL string."""
+    return ", ".join(f"{q} {f.dataType.simpleString()}" for q, f in zip(quoted(df.columns), df.schema.fields))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a new folder under the shared checkpoint folder and read again (cuts lineage)."""
     spark = df.sparkSession

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meterkit.llm.common import blocks, map_arrow
+from meterkit.llm.common import blocks, fields, map_arrow
 
 WINDOW = 13
 MIN_SHARE = 20  # contaminated: MIN_SHARE * hit words >= words
@@ -230,7 +230,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", w
             n, hit, _ = _judge(indexes(), block.column(text_col).to_pylist())
             yield block.filter(pa.array(~is_contaminated(n, hit)))
 
-    return map_arrow(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+    return map_arrow(df, run, fields(df))
 
 
 def longest_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

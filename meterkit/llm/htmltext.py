@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meterkit.llm.common import blocks, map_arrow, texts_of
+from meterkit.llm.common import blocks, fields, map_arrow, texts_of
 
 #: Fixed sets of element names of the HTML standard.
 BLOCKS = frozenset(
@@ -230,14 +230,15 @@ def main_texts(tree, pages: list[str]) -> list[str]:
 
 
 def extract(df: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
-    """``df`` without its html, with the main text of each page."""
+    """``df`` without its html, with the main text of each page (a column of that name is replaced)."""
     tree = train()
-    keep = [f for f in df.schema.fields if f.name != html_col]
-    names = [f.name for f in keep]
+    rest = df.drop(html_col, name)
+    names = rest.columns
+    head = f"{fields(rest)}, " if names else ""
 
     def run(batches):
         for block in blocks(batches, html_col):
             texts = main_texts(tree, texts_of(block, html_col))
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, name])
 
-    return map_arrow(df, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{name}` string"]))
+    return map_arrow(df, run, f"{head}`{name}` string")

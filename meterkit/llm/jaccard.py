@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterkit.llm.common import blocks, map_arrow, mix64, texts_of, word_table, written
+from meterkit.llm.common import blocks, fresh, map_arrow, mix64, texts_of, word_table, written
 from meterkit.llm.components import components
 
 RATIO = 1.5  # of a size band's ends
@@ -390,12 +390,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     """``df`` with one document of each component, the one whose id is the component's. Documents
     with an empty set stay. Of rows that repeat a kept id with the same text one stays."""
     found = written(component_ids(df, id_col, text_col, n, percent), "component-ids")
-    key = F.col(id_col)
-    gone = found.where("n_shingles > 0").where(~key.eqNullSafe(F.col("component_id"))).select(key.alias("__id")).distinct()
+    key, other = F.col(id_col), fresh(df, "__id")
+    gone = found.where("n_shingles > 0").where(~key.eqNullSafe(F.col("component_id"))).select(key.alias(other)).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = df.join(gone, key.eqNullSafe(F.col("__id")), "left_anti")
-    again = found.groupBy(key.alias("__id")).agg(F.count("*").alias("__rows")).where("__rows > 1").select("__id")
+    left = df.join(gone, key.eqNullSafe(F.col(other)), "left_anti")
+    again = found.groupBy(key.alias(other)).agg(F.count("*").alias("rows")).where("rows > 1").select(other)
     if again.isEmpty():
         return left
-    same = key.eqNullSafe(F.col("__id"))
+    same = key.eqNullSafe(F.col(other))
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

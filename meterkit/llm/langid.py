@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterkit.llm.common import blocks, map_arrow, texts_of
+from meterkit.llm.common import blocks, fields, map_arrow
 
 UNKNOWN = "und"
 WINDOW = 64
@@ -154,7 +154,7 @@ def _gradients(p: dict[str, np.ndarray], windows: np.ndarray, target: np.ndarray
     return loss, g
 
 
-def fit(samples: list[tuple[str, bytes]], hidden: int = HIDDEN, epochs: int = 3, batch: int = 256, rate: float = 0.02, seed: int = 7) -> dict:
+def fit(samples: list[tuple[str, bytes]], hidden: int = HIDDEN, steps: int = 120, batch: int = 256, rate: float = 0.02, seed: int = 7) -> dict:
     """Train on (lang, bytes of a window) rows with Adam. Returns {"langs": [...], "params": {...}}."""
     langs = sorted({lang for lang, _ in samples})
     if not langs:
@@ -164,14 +164,13 @@ def fit(samples: list[tuple[str, bytes]], hidden: int = HIDDEN, epochs: int = 3,
     target = np.array([k for k, _ in cut])
     windows = np.stack([w for _, w in cut]) if cut else np.zeros((0, WINDOW), np.int16)
     p = _init(rng, len(langs), hidden)
-    m, v, step = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
+    m, v = {k: 0.0 for k in p}, {k: 0.0 for k in p}
     weight = 1 / np.maximum(1, np.bincount(target, minlength=len(langs)))
     share = weight[target] / weight[target].sum() if len(target) else None
-    total = epochs * max(1, len(target) // batch)
-    for step in range(1, total + 1) if len(target) else ():
-        pick = rng.choice(len(target), size=min(batch, len(target)), p=share)  # languages drawn evenly
+    for step in range(1, steps + 1) if len(target) else ():
+        pick = rng.choice(len(target), size=batch, p=share)  # languages drawn evenly
         _, g = _gradients(p, windows[pick], target[pick])
-        now = rate * min(1.0, 2 * (1 - step / (total + 1)))
+        now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
@@ -226,15 +225,17 @@ def predict_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.n
 
 
 def predict(df: DataFrame, model: dict, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """``df`` with the predicted language and its mean probability added at the end."""
+    """``df`` with the predicted language and its mean probability added at the end (columns of
+    those names are replaced)."""
+    df = df.drop(lang_name, score_name)
+
     def run(batches):
         for block in blocks(batches, text_col):
             lang, score = predict_texts(model, block.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(lang, pa.string()), pa.array(score)], names=names)
 
     names = [*df.columns, lang_name, score_name]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_arrow(df, run, f"{fields}, `{lang_name}` string, `{score_name}` double")
+    return map_arrow(df, run, f"{fields(df)}, `{lang_name}` string, `{score_name}` double")
 
 
 def held_out(key: str = "doc_id"):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterkit.llm.common import blocks, map_arrow, mix64, texts_of, written
+from meterkit.llm.common import blocks, fields, fresh, map_arrow, mix64, texts_of, written
 
 MIN_WORDS = 25
 BROADCAST_BYTES = 32 << 20
@@ -148,11 +148,13 @@ def without(text: str | None, removed: list[dict] | None) -> str | None:
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with repeated passages taken out of its text, and ``removed``: their (start, end, units)
-    in the original text."""
-    runs = written(repeated_runs(df, id_col, text_col, min_words), "removed").select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "removed")
+    in the original text (a column of that name is replaced)."""
+    df = df.drop("removed")
+    key, tag = fresh(df, "__id"), fresh(df, "__hash")
+    runs = written(repeated_runs(df, id_col, text_col, min_words), "removed").select(F.col("id").alias(key), F.col("hash").alias(tag), "removed")
     size = runs.agg(F.coalesce(F.sum(F.size("removed") * 24 + 24), F.lit(0)).alias("n")).first().n
     runs = F.broadcast(runs) if size <= BROADCAST_BYTES else runs
-    both = df.join(runs, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left").drop("__id", "__hash")
+    both = df.join(runs, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(tag)), "left").drop(key, tag)
     place = both.columns.index(text_col)
 
     def run(batches):
@@ -160,4 +162,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
             kept = [without(t, r) for t, r in zip(block.column(text_col).to_pylist(), block.column("removed").to_pylist())]
             yield block.set_column(place, text_col, pa.array(kept, pa.string()))
 
-    return map_arrow(both, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields))
+    return map_arrow(both, run, fields(both))

@@ -104,3 +104,16 @@ q AS (SELECT k.id, string_agg({render}, '' ORDER BY pos) x FROM k JOIN t ON t.co
 SELECT chosen_id, rejected_id, k.n n_prompt_turns, coalesce(q.x, '') prompt, coalesce(chosen.x, '') chosen, coalesce(chosen.m, '') chosen_mask,
   CASE WHEN rejected_id IS NOT NULL THEN coalesce(rejected.x, '') END rejected, CASE WHEN rejected_id IS NOT NULL THEN coalesce(rejected.m, '') END rejected_mask
 FROM k LEFT JOIN q USING (id) LEFT JOIN chosen USING (id) LEFT JOIN rejected USING (id)"""
+
+
+def ngram_jaccard() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all({low}, '{WORD}') ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))) END g FROM d),
+g AS MATERIALIZED (SELECT r, len(g) n, unnest(g) gram FROM s),
+l AS MATERIALIZED (SELECT a.r a, b.r b FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+t(r, x) AS (SELECT r, r FROM s UNION SELECT t.r, l.b FROM t JOIN l ON l.a = t.x)
+SELECT any_value(s.doc_id) doc_id, any_value(len(s.g)) n_shingles, min(o.doc_id) component_id
+FROM t JOIN s ON s.r = t.r JOIN s o ON o.r = t.x GROUP BY t.r"""

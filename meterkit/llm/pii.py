@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meterkit.llm.common import blocks, map_arrow, texts_of
+from meterkit.llm.common import blocks, fields, map_arrow, texts_of
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret"]
@@ -455,4 +455,4 @@ def redact(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
             column = pa.array([None if old is None else new for old, new in zip(block.column(text_col).to_pylist(), clean)], pa.string())
             yield block.set_column(place, text_col, column)
 
-    return map_arrow(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+    return map_arrow(df, run, fields(df))

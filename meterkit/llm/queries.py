@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, chat, decontam, htmltext, jaccard, langid, lines, oracle, pii, quality
+from meterkit.llm import bpe, chat, decontam, htmltext, jaccard, langid, lines, oracle, pii, quality, warc
 from meterkit.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), keep=["page_id"])
+    return made.drop("record").withColumn("refers_to", F.col("response_id")).drop("response_id")
+
+
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = chat.conversations(table(spark, sf_dir, "conversations"))
     return chat.preference_examples(chat.pairs_by_first_turn(convs), convs)
@@ -73,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_main_text, op3_repeated_passages, op4_byte_bpe, op5_language_id, op7_preference_format, op8_decontamination, op9_ngram_jaccard, op10_personal_data, pipeline)}
+    return {f.__name__: f for f in (op1_repetition, op2_main_text, op3_repeated_passages, op4_byte_bpe, op5_language_id, op6_warc_derivatives, op7_preference_format, op8_decontamination, op9_ngram_jaccard, op10_personal_data, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -82,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_repeated_passages": oracle.repeated_passages(),
         "op7_preference_format": oracle.preference_format(),
         "op8_decontamination": oracle.decontamination(),
+        "op9_ngram_jaccard": oracle.ngram_jaccard(),
     }

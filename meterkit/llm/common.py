@@ -31,9 +31,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of bounded size."""
+    """``mapInArrow`` over batches of bounded size, also for column names that hold dots."""
     bound_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    names = df.columns
+    if not any("." in n or "`" in n for n in names):
+        return df.mapInArrow(fn, schema)
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(lambda batches: fn(b.rename_columns(names) for b in batches), schema)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -82,8 +82,7 @@ def _signals(texts: list[str]) -> dict[str, np.ndarray]:
     word_hash, base = mix64(ids), np.uint64(0x9E3779B97F4A7C15 | 1)
     n_all = len(ids)
     roll = word_hash + mix64(doc + (1 << 40))
-    end = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) if n_all else np.zeros(0, np.int64)
-    last = end[doc] if n_all else end  # last word of the own document
+    last = np.cumsum(np.bincount(doc, minlength=n_docs))[doc] - 1  # last word of the own document
     at = np.arange(n_all)
     with np.errstate(over="ignore"):
         for n in range(2, 11):

@@ -13,11 +13,16 @@ is how often the keys occur among the documents around it; empty segments cost m
 steer the choice: any allocation of K+1 units meets every linked partner, so no cap or sample
 decides a result. A set close above a band's end also looks up its units in the band below.
 
-Identical sets are one class (a 128-bit digest of the set). Sets that meet under a key are tied to
-one member, the hub, not paired with each other; the ties are verified exactly on the sets and
-linked classes contract into components. A key whose members are still in different components
-then gets the pairs between its components verified, so no link is lost, and members that are
-already connected are never paired. Copies inside a block of documents are tied to a hub before
+Identical sets are one class (a 128-bit digest of the set). A first pass over all texts finds the
+classes that meet another one under a key; only their sets are gathered. Counting the elements of
+those sets gives each class its number of elements that no other has, u: it shares at most n-u
+elements with any other, which rules out most pairs of loosely similar copies without a look at
+them (a class that no partner of any size could link to is dropped). Then the members of a key are
+tied to one of them, the hub with the smallest u (the likely origin of a group of copies), not
+paired with each other; ties are verified exactly on the sets and linked classes contract into
+components. A key whose members are still in different components gets the pairs between its
+components verified that n, u and the sizes leave possible, so no link is lost, and members that
+are already connected are never paired. Groups inside a block of documents are tied to a hub before
 the shuffle, so a large group reaches it as one row per block and key.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing. A
@@ -245,26 +250,36 @@ def tie_block(key, c1, c2, kind):
     )
 
 
-def _ties(batches):
-    """From rows sorted by key and kind: a tie of every member with its key's hub, where one looks up."""
-    last = None  # the key at the end of the batch before, and its hub
+def _hubs(batches, whole: bool = False):
+    """From batches sorted by key and kind: the batch's columns and those of each row's hub, for the
+    rows that their key's hub has to meet; with ``whole`` for all rows of keys with more than one."""
+    last = None  # the hub at the end of the batch before
     for batch in batches:
-        key, c1, c2, kind = (batch.column(i).to_numpy() for i in range(4))
-        if not len(key):
+        n = batch.num_rows
+        if not n:
             continue
-        opens = np.ones(len(key), bool)
-        opens[1:] = key[1:] != key[:-1]
+        cols = {f: batch.column(f).to_numpy() for f in batch.schema.names}
+        opens = np.ones(n, bool)
+        opens[1:] = cols["key"][1:] != cols["key"][:-1]
         hub = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-        h1, h2, hk = c1[hub], c2[hub], kind[hub]
-        if last is not None and key[0] == last[0]:
-            head = hub == 0
-            h1, h2, hk = np.where(head, last[1], h1), np.where(head, last[2], h2), np.where(head, last[3], hk)
-        last = (key[-1], h1[-1], h2[-1], hk[-1])
-        use = (hk <= NEAR_PROBE) & ((c1 != h1) | (c2 != h2)) & ((hk == EXACT_PROBE) | (kind != NEAR))
-        a1, a2, b1, b2 = c1[use], c2[use], h1[use], h2[use]
-        turn = (a1 > b1) | ((a1 == b1) & (a2 > b2))
-        a1, a2, b1, b2 = np.where(turn, b1, a1), np.where(turn, b2, a2), np.where(turn, a1, b1), np.where(turn, a2, b2)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a1, a2, b1, b2)], names=["a1", "a2", "b1", "b2"])
+        head = {f: c[hub] for f, c in cols.items()}
+        if last is not None and cols["key"][0] == last["key"]:
+            head = {f: np.where(hub == 0, last[f], c) for f, c in head.items()}
+        last = {f: c[-1] for f, c in head.items()}
+        if whole:  # the first and last key may go on in another batch
+            edge = (cols["key"] == cols["key"][0]) | (cols["key"] == cols["key"][-1])
+            use = edge | (np.bincount(hub, minlength=n)[hub] > 1)
+            use &= head["kind"] <= NEAR_PROBE
+        else:
+            use = (head["kind"] <= NEAR_PROBE) & ((cols["c1"] != head["c1"]) | (cols["c2"] != head["c2"])) & ((head["kind"] == EXACT_PROBE) | (cols["kind"] != NEAR))
+        yield {f: c[use] for f, c in cols.items()}, {f: c[use] for f, c in head.items()}
+
+
+def _met(batches):
+    """The classes that meet another one under a key."""
+    for row, hub in _hubs(batches):
+        both = np.unique(np.stack([np.concatenate([row[f], hub[f]]) for f in ("c1", "c2")]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["c1", "c2"])
 
 
 # ---- the join ----
@@ -313,38 +328,81 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int)
     return found.dropDuplicates(["c1", "c2"]).select(F.struct("c1", "c2").alias("c"), "n", "items")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, checked on the sets themselves."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, both): sizes and shared elements of the pairs' sets."""
     left = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     right = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    near = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    near = near.withColumn("both", F.size(F.array_intersect("ia", "ib")))
-    return near.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).cast("bigint").alias("both"))
+
+
+def _reaches(percent: int) -> str:
+    return f"100 * both >= {percent} * (na + nb - both)"
 
 
-def _open_pairs(sets: DataFrame, label: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of classes in different components that still meet under a key, for classes whose
-    component has a tie that failed."""
-    mine = sets.join(label, sets["c"] == label["node"]).select("c.c1", "c.c2", "root.c1", "root.c2", "items").toDF("c1", "c2", "r1", "r2", "items")
+def _alone(sets: DataFrame) -> DataFrame:
+    """(c, u): how many elements of each set are in no other set."""
+    single = sets.select("c", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("c").alias("c")).where("n = 1")
+    return single.groupBy("c").agg(F.count("*").alias("u"))
 
+
+def possible(percent: int, a: str = "a", b: str = "b") -> str:
+    """SQL: by sizes n and own elements u, the sets could reach the threshold."""
+    return f"{100 + percent} * least(n{a} - u{a}, n{b} - u{b}) >= {percent} * (n{a} + n{b}) and 100 * least(n{a}, n{b}) >= {percent} * greatest(n{a}, n{b})"
+
+
+def _set_rows(sets: DataFrame, bands: Bands) -> DataFrame:
+    """Index rows and look-ups of gathered sets (c, n, u, items), with n and u."""
     def run(batches):
         for block in batches:
             items = block.column("items")
+            c1, c2, own = (block.column(f).to_numpy() for f in ("c1", "c2", "u"))
             size = np.diff(items.offsets.to_numpy()).astype(np.int64)
             h = items.flatten().to_numpy().view(np.uint64)
-            c1, c2, r1, r2 = (block.column(i).to_numpy() for i in range(4))
-            key, who, _, kind = block_rows(bands, size, np.cumsum(size) - size, h, np.arange(len(size)), c2)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, c1[who], c2[who], r1[who], r2[who], kind)], names=["key", "c1", "c2", "r1", "r2", "kind"])
+            at = np.arange(len(size))
+            key, who, _, kind = block_rows(bands, size, np.cumsum(size) - size, h, at, at)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, c1[who], c2[who], kind, size[who], own[who])], names=["key", "c1", "c2", "kind", "n", "u"])
+
+    return map_arrow(sets.select("c.c1", "c.c2", "u", "items"), run, "key long, c1 long, c2 long, kind long, n long, u long")
+
+
+def _hub_rows(rows: DataFrame) -> DataFrame:
+    """Every row of a key that more than one row has, with the hub it meets (its class, n and u);
+    the hub's own row names itself."""
+    def run(batches):
+        for row, hub in _hubs(batches, whole=True):
+            cols = [pa.array(row[f]) for f in ("key", "c1", "c2", "kind", "n", "u")] + [pa.array(hub[f]) for f in ("c1", "c2", "n", "u")]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "c1", "c2", "kind", "n", "u", "h1", "h2", "nh", "uh"])
+
+    found = map_arrow(rows.repartition("key").sortWithinPartitions("key", "kind", "u", "c1", "c2"), run, "key long, c1 long, c2 long, kind long, n long, u long, h1 long, h2 long, nh long, uh long")
+    return found.select("key", F.struct("c1", "c2").alias("c"), "kind", "n", "u", F.struct(F.col("h1").alias("c1"), F.col("h2").alias("c2")).alias("h"), "nh", "uh")
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """To be broadcast if it has few rows, else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _open_pairs(rows: DataFrame, label: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that meet under a key, could be linked and are in different components.
 
-    rows = map_arrow(mine, run, "key long, c1 long, c2 long, r1 long, r2 long, kind long")
-    rows = written(rows.select("key", F.struct("c1", "c2").alias("c"), F.struct("r1", "r2").alias("root"), "kind"), "open-rows")
+    A set shares o elements with its key's hub, u with no set and v = n-o-u with others only, so two
+    sets of a key share min(o)+min(v) elements at most; where the tie to the hub was ruled out, o and
+    v are n-u at most."""
+    root = _bounded(label.select(F.col("node").alias("c"), "root"))
+    shared = _bounded(tied.select(F.col("a").alias("c"), F.col("b").alias("h"), "both").union(tied.select(F.col("b").alias("c"), F.col("a").alias("h"), "both")))
+    rows = rows.join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
     # a key's main component is the one with most members; only the other members look for partners
-    part = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    split = part.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_rows = rows.join(split, "key")
-    few = open_rows.where("root <> main").select("key", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("kind").alias("ka"))
-    rest = open_rows.select("key", F.col("c").alias("b"), F.col("root").alias("rb"), F.col("kind").alias("kb"), "main")
-    met = few.join(rest, "key").where(f"ra <> rb and (rb = main or a < b) and least(ka, kb) <= {NEAR_PROBE} and not (ka in ({NEAR_PROBE}, {NEAR}) and kb in ({NEAR_PROBE}, {NEAR}))")
+    part = rows.groupBy("key", "root").agg(F.count("*").alias("members"))
+    split = part.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    rows = rows.join(split, "key").join(shared, ["c", "h"], "left")
+    rows = rows.withColumn("o", F.expr("if(c = h, n, coalesce(both, n - u))")).withColumn("v", F.expr("if(c = h, 0, coalesce(n - u - both, n - u))"))
+    side = lambda df, s: df.select("key", F.col("c").alias(s), *(F.col(f).alias(f"{f[0]}{s}") for f in ("root", "kind", "n", "u", "o", "v")), *(["main"] if s == "b" else []))
+    few, rest = side(rows.where("root <> main"), "a"), side(rows, "b")
+    near = f"({NEAR_PROBE}, {NEAR})"
+    open_ends = f"ra <> rb and (rb = main or a < b) and least(ka, kb) <= {NEAR_PROBE} and not (ka in {near} and kb in {near})"
+    room = f"{100 + percent} * (least(oa, ob) + least(va, vb)) >= {percent} * (na + nb)"
+    met = few.join(rest, "key").where(f"{open_ends} and {possible(percent)} and {room}")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -353,25 +411,22 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     bands = Bands(percent)
     docs = written(_documents(df, id_col, text_col, n), "classes")
     rows = _rows(df, text_col, n, bands).repartition("key").sortWithinPartitions("key", "kind")
-    ties = map_arrow(rows, _ties, "a1 long, a2 long, b1 long, b2 long").distinct()
-    ties = written(ties.select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b")), "ties")
-    met = ties.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    known = docs.groupBy(F.struct("c1", "c2").alias("c")).agg(F.min("id").alias("id"))
-    wanted = written(known.join(met, "c").select("id", "c.c1", "c.c2"), "wanted")
+    met = map_arrow(rows, _met, "c1 long, c2 long").distinct()
+    known = docs.groupBy("c1", "c2").agg(F.min("id").alias("id"))
+    wanted = written(known.join(met, ["c1", "c2"]).select("id", "c1", "c2"), "wanted")
     sets = written(_sets(df, wanted, id_col, text_col, n), "sets")
-    links = written(_linked(ties, sets, percent), "links")
+    sets = sets.join(_alone(sets), "c", "left").select("c", "n", F.coalesce("u", F.lit(0)).alias("u"), "items")
+    smallest = f"ceil({percent} * n / 100)"  # the partner that leaves most room
+    sets = written(sets.where(f"{100 + percent} * (n - u) >= {percent} * (n + {smallest})"), "near-sets")
+    rows = written(_hub_rows(_set_rows(sets, bands)), "hub-rows")
+    tie = rows.where(f"c <> h and {possible(percent, '', 'h')}").select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct()
+    tied = written(_overlaps(tie, sets), "ties")
+    links = tied.where(_reaches(percent)).select("a", "b")
     label = components(links)
-    # ties whose ends are not connected leave their components open
-    root = lambda side: label.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-    failed = ties.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-    failed = written(failed.select(F.explode(F.array("ra", "rb")).alias("root")).distinct(), "failed")
-    if not failed.isEmpty():
-        every = met.join(label, met["c"] == label["node"], "left").select("c", F.coalesce("root", "c").alias("root"))
-        still = written(every.join(failed, "root", "left_semi").select(F.col("c").alias("node"), "root"), "open")
-        more = written(_open_pairs(sets, still, bands).join(ties, ["a", "b"], "left_anti"), "open-pairs")
-        if not more.isEmpty():
-            label = components(links.union(_linked(more, sets, percent)))
-    return docs, label
+    more = _open_pairs(rows, label, tied, percent).join(tied.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(more, "open-pairs")
+    late = written(_overlaps(more, sets).where(_reaches(percent)).select("a", "b"), "late-links")
+    return docs, label if late.isEmpty() else components(links.union(late))
 
 
 def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:

@@ -14,6 +14,12 @@ HOUR_US = 3_600 * SECOND_US
 DAY_US = 24 * HOUR_US
 
 
+_BASIC = r"^(\d{4})(\d{2})(\d{2})($|[T ].*$)"
+_BASIC_CLOCK = r"^(\d{4}-\d{2}-\d{2}[T ])(\d{2})(\d{2})(\d{2})"
+_SHORT_OFFSET = r"([+-]\d{2})(\d{2})$"
+_FULL = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s*(Z|z|[+-]\d{2}(:\d{2})?)?)?$"
+
+
 def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
@@ -36,10 +42,14 @@ def floor_div(us: Column, unit: int) -> Column:
 def parse_ts(text: Column) -> Column:
     """ISO-8601 text to UTC wall clock: a naive value is UTC, an offset is converted.
 
-    Unparseable text gives NULL (callers quarantine it). Requires a UTC session, which
-    every query function sets.
+    A whole date is required, extended (``2025-01-31``) or basic (``20250131``), with or without
+    a time of day; anything else (a clock time, a year, a month) gives NULL and callers
+    quarantine it. Requires a UTC session, which every query function sets.
     """
-    return F.try_to_timestamp(text).cast("timestamp_ntz")
+    whole = F.regexp_replace(F.trim(text), _BASIC, "$1-$2-$3$4")
+    whole = F.regexp_replace(whole, _BASIC_CLOCK, "$1$2:$3:$4")
+    whole = F.regexp_replace(whole, _SHORT_OFFSET, "$1:$2")
+    return F.when(whole.rlike(_FULL), F.try_to_timestamp(whole)).cast("timestamp_ntz")
 
 
 def iso_z(ts: Column) -> Column:

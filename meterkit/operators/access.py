@@ -23,7 +23,7 @@ def visible_usage(
     entitlements: DataFrame,
     principal: str,
     require_owner: bool = False,
-    allow_hub_admin: bool = True,
+    allow_hub_admin: bool = False,
 ) -> DataFrame:
     """Usage rows of workspaces the principal may read (member or owner; owner only
     with ``require_owner``). A hub admin reads everything when allowed."""
@@ -40,7 +40,7 @@ def visible_account_usage(
     accounts: DataFrame,
     entitlements: DataFrame,
     principal: str,
-    allow_hub_admin: bool = True,
+    allow_hub_admin: bool = False,
 ) -> DataFrame:
     """Usage rows of workspaces in accounts the principal owns (admin bypass)."""
     if allow_hub_admin and is_hub_admin(entitlements, principal):

@@ -8,13 +8,14 @@ finds its single piece with a range condition inside a (checked) broadcast join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterkit.functions import md5_uuid
 from meterkit.operators.dims import small_dim
 
 PRICE_TYPE = "decimal(38,12)"
+QUANTITY, MONEY_FACTOR, CHARGE = "decimal(18,6)", "decimal(20,12)", "decimal(28,8)"
 PRICE_DIM_MAX_ROWS = 2_000_000  # broadcast the resolved price timeline only below this size
 
 
@@ -67,6 +68,12 @@ def effective_prices(prices: DataFrame, items: DataFrame, at, known_at=None) ->
     return best.join(it, "item_id").select("uuid", "sku", "item_id", "price", "valid_from", "valid_until", "configured_at")
 
 
+def price_violations(prices: DataFrame) -> DataFrame:
+    """V4: price rows that break the range rule (``valid_until`` is NULL or not before
+    ``valid_from``)."""
+    return prices.filter(F.col("valid_until").isNotNull() & (F.col("valid_until") < F.col("valid_from")))
+
+
 # ------------------------------------------------------------------ C5, C6
 
 
@@ -94,8 +101,9 @@ def price_timeline(prices: DataFrame) -> DataFrame:
 
 
 def price_usage(events: DataFrame, prices: DataFrame) -> DataFrame:
-    """Each event priced at its start with the effective price then; ``charge =
-    quantity × price``; events without a price keep NULLs."""
+    """Each event priced at its start with the effective price then; ``charge = quantity ×
+    price`` as a decimal (quantity to 6 places, price to 12), so sums do not depend on order;
+    events without a price keep NULLs."""
     tl = small_dim(price_timeline(prices), PRICE_DIM_MAX_ROWS)
     cond = (
         (events["item_id"] == tl["item_id"])
@@ -112,7 +120,7 @@ def price_usage(events: DataFrame, prices: DataFrame) -> DataFrame:
         events["quantity"],
         tl["price_id"],
         tl["price"],
-        (events["quantity"] * tl["price"].cast("double")).alias("charge"),
+        (events["quantity"].cast(QUANTITY) * tl["price"].cast(MONEY_FACTOR)).cast(CHARGE).alias("charge"),
     )
 
 
@@ -137,8 +145,16 @@ def account_charges(priced: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def upsert_items(items: DataFrame, config_items: DataFrame) -> DataFrame:
     """By SKU, update only the fields present (non-NULL) in the config, else insert.
-    A new item needs sku, name and unit; its uuid is derived from the SKU."""
-    new = config_items.select("sku", F.col("name").alias("new_name"), F.col("unit").alias("new_unit"))
+    A new item needs sku, name and unit; its uuid is derived from the SKU.
+
+    A SKU that the config names more than once is one item: the last non-NULL value of each
+    field counts, in document order (``seq``; without it the largest value)."""
+    at = F.col("seq") if "seq" in config_items.columns else F.lit(0)
+
+    def last(field: str) -> Column:
+        return F.max(F.when(F.col(field).isNotNull(), F.struct(at.alias("at"), F.col(field).alias("value"))))["value"]
+
+    new = config_items.where(F.col("sku").isNotNull()).groupBy("sku").agg(last("name").alias("new_name"), last("unit").alias("new_unit"))
     j = items.join(new, "sku", "full_outer")
     inserted = F.col("uuid").isNull()
     return j.filter(~inserted | (F.col("new_name").isNotNull() & F.col("new_unit").isNotNull())).select(

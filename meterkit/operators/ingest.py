@@ -180,6 +180,14 @@ def ingest_samples(messages: DataFrame, items: DataFrame, stored: DataFrame | No
     return {"samples": samples, "stubs": stubs, "quarantine": quarantine(parsed)}
 
 
+def workspace_quarantine(messages: DataFrame) -> DataFrame:
+    """V3 for workspace settings: messages without a name or with an account that is no id."""
+    reason = F.when(_blank_to_null(F.col("name")).isNull(), F.lit("missing_field")).when(
+        canonical_uuid(F.col("account")).isNull(), F.lit("bad_account")
+    )
+    return messages.select("name", "account", "ingest_seq", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def workspace_map(messages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """New (workspace, account) rows: first message per workspace wins and a
     workspace already mapped never moves. Messages: name, account, ingest_seq."""

@@ -63,26 +63,40 @@ def _keyset_after(df: DataFrame, cursor: dict) -> DataFrame:
 
     The leading bound ``event_start >= cursor`` is redundant but reaches the Parquet scan;
     a struct comparison would not."""
-    c = {k: F.lit(cursor[k]) for k in ORDER_KEYS}
-    s, e, w, k, u = (F.col(n) for n in ORDER_KEYS)
-    later = (
-        (s > c["event_start"])
-        | ((s == c["event_start"]) & (e > c["event_end"]))
-        | ((s == c["event_start"]) & (e == c["event_end"]) & (w > c["workspace"]))
-        | ((s == c["event_start"]) & (e == c["event_end"]) & (w == c["workspace"]) & (k > c["sku"]))
-        | (
-            (s == c["event_start"])
-            & (e == c["event_end"])
-            & (w == c["workspace"])
-            & (k == c["sku"])
-            & (u > c["uuid"])
-        )
-    )
-    return df.filter((s >= c["event_start"]) & later)
+    later = F.lit(False)
+    for key in reversed(ORDER_KEYS):
+        here = F.lit(cursor[key])
+        later = (F.col(key) > here) | ((F.col(key) == here) & later)
+    return df.filter((F.col(ORDER_KEYS[0]) >= F.lit(cursor[ORDER_KEYS[0]])) & later)
+
+
+def page_size(limit: int | None) -> int:
+    """Q6: the page size of an API call; 0 or nothing means the default."""
+    return limit or API_PAGE_SIZE
+
+
+def _find_cursor(events: DataFrame, items: DataFrame, after: str, period: str | None) -> dict:
+    """Q8: the order keys of the row named by ``after``, looked up among all rows, whatever the
+    other filters are. An aggregated row's uuid is that of one of its events, so only that
+    event's own group is aggregated."""
+    row = events.filter(F.col("uuid") == after)
+    if period is not None:
+        start, _ = period_bounds(F.col("event_start"), period)
+        event = row.select(start.alias("start"), "item_id", "workspace").limit(1).collect()
+        if event:
+            g = event[0]
+            group = events.filter((start == F.lit(g.start)) & F.col("item_id").eqNullSafe(g.item_id) & F.col("workspace").eqNullSafe(g.workspace))
+            lo, hi = period_bounds(F.lit(g.start), period)
+            group = group.filter((F.col("event_start") >= lo) & (F.col("event_start") < hi))
+            row = aggregate_usage(group, period).filter(F.col("uuid") == after)
+    found = with_sku(row, items).select(*ORDER_KEYS).limit(1).collect()
+    if not found:
+        raise CursorNotFound(f"No records matching after={after} found")
+    return found[0].asDict()
 
 
 def usage_query(
-    events: DataFrame,
+    events,
     items: DataFrame,
     accounts: DataFrame | None = None,
     *,
@@ -101,7 +115,8 @@ def usage_query(
     ``start``/``end`` select events contained in the range (``event_start >= start`` and
     ``event_end < end``); ``mode="overlap"`` selects events overlapping it instead (Q4x).
     With ``time_aggregation`` the filters, order, limit and cursor apply to the aggregated
-    rows. ``limit=None`` returns every matching row; it is sorted only with ``ordered=True``
+    rows. ``events`` is the event table or a ``TableStore`` holding it, whose month partitions
+    the range then prunes. ``limit=None`` returns every matching row (a bare call returns one page); it is sorted only with ``ordered=True``
     (a full sort of a fact table is a range shuffle of all of it, so it is opt-in when no
     page size bounds the result).
     """
@@ -117,7 +132,17 @@ def usage_query(
     start_c = F.lit(start).cast("timestamp_ntz") if start is not None else None
     end_c = F.lit(end).cast("timestamp_ntz") if end is not None else None
 
-    raw = events.select("uuid", "event_start", "event_end", "item_id", "user", "workspace", "quantity")
+    columns = ["uuid", "event_start", "event_end", "item_id", "user", "workspace", "quantity"]
+    if isinstance(events, DataFrame):
+        every = raw = events.select(*columns)
+    else:
+        # a table store: the range prunes month partitions. An overlapping event can have started
+        # at any time before the range, so only its upper side prunes then; an aggregated row
+        # overlaps with its whole period, which reaches past the range's end
+        every = events.read("billing_event").select(*columns)
+        lower = start if mode == "contained" else None
+        upper = end if mode == "contained" or period is None else None
+        raw = events.read("billing_event", time_from=lower, time_until=upper).select(*columns)
     # workspace and account are grouping keys, so filtering raw rows first is exact
     if workspace is not None:
         raw = raw.filter(F.col("workspace") == workspace)
@@ -139,7 +164,6 @@ def usage_query(
                 raw = raw.filter(F.col("event_start") < end_c)
         src = aggregate_usage(raw, period)
 
-    full_src = src
     rows = with_sku(src, items)
     if start_c is not None:
         rows = rows.filter(F.col("event_start") >= start_c if mode == "contained" else F.col("event_end") > start_c)
@@ -147,17 +171,7 @@ def usage_query(
         rows = rows.filter(F.col("event_end") < end_c if mode == "contained" else F.col("event_start") < end_c)
 
     if after is not None:
-        cursor_src = full_src
-        if period is not None:
-            # the cursor is looked up among all aggregated rows, ignoring the other filters
-            cursor_src = aggregate_usage(
-                events.select("uuid", "event_start", "event_end", "item_id", "user", "workspace", "quantity"),
-                period,
-            )
-        found = with_sku(cursor_src.filter(F.col("uuid") == after), items).select(*ORDER_KEYS).limit(1).collect()
-        if not found:
-            raise CursorNotFound(f"No records matching after={after} found")
-        rows = _keyset_after(rows, found[0].asDict())
+        rows = _keyset_after(rows, _find_cursor(every, items, after, period))
 
     rows = rows.select(*EVENT_COLUMNS)
     if limit is not None:
@@ -178,6 +192,23 @@ def usage_export(rows: DataFrame) -> DataFrame:
     )
 
 
+def items_export(items: DataFrame) -> DataFrame:
+    """API rows of items."""
+    return items.select("uuid", "sku", "name", "unit")
+
+
+def prices_export(prices: DataFrame) -> DataFrame:
+    """API rows of prices (with ``sku``): second-resolution ``Z`` text times; NULL
+    ``valid_until`` for an open price (a JSON writer leaves NULL fields out)."""
+    return prices.select(
+        "uuid",
+        "sku",
+        iso_z(F.col("valid_from")).alias("valid_from"),
+        iso_z(F.col("valid_until")).alias("valid_until"),
+        F.col("price").cast("double").alias("price"),
+    )
+
+
 def _first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row per key. ``row_number() = 1`` plans a per-partition group limit before the
     shuffle, so a hot key sends one row per map task, not all of its rows."""

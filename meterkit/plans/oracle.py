@@ -145,16 +145,16 @@ _MSG_USER = f"(CASE WHEN event_id % 5 = 0 THEN NULL ELSE {U(chr(39) + 'u:' + chr
 _VALID_EVENTS = f"""
 valid_events AS (
   SELECT {U("'ev:' || CAST(event_id AS VARCHAR)")} AS uuid,
-         make_timestamp({_MSG_START}) AS event_start, make_timestamp({_MSG_END}) AS event_end,
-         {_MSG_SKU} AS sku, {_MSG_USER} AS "user", 'ws-' || CAST(user_id AS VARCHAR) AS workspace,
+         make_timestamp({_MSG_START}) AS event_start,
+         make_timestamp({_MSG_END} + (ingest_seq % 2) * 8 * {HOUR}) AS event_end, {_MSG_SKU} AS sku, {_MSG_USER} AS "user", 'ws-' || CAST(user_id AS VARCHAR) AS workspace,
          value AS quantity, ingest_seq
   FROM message_copies WHERE event_id % 101 <> 0 AND event_id % 103 <> 0
 )"""
 
 _VALID_SAMPLES = f"""
 valid_samples AS (
-  SELECT {U("'rs:' || CAST(event_id AS VARCHAR)")} AS uuid, ts AS sample_time,
-         {_MSG_SKU} AS sku, {_MSG_USER} AS "user", 'ws-' || CAST(user_id AS VARCHAR) AS workspace,
+  SELECT {U("'rs:' || CAST(event_id AS VARCHAR)")} AS uuid,
+         make_timestamp(epoch_us(ts) + (ingest_seq % 2) * 4 * {HOUR}) AS sample_time, {_MSG_SKU} AS sku, {_MSG_USER} AS "user", 'ws-' || CAST(user_id AS VARCHAR) AS workspace,
          value AS rate, ingest_seq
   FROM message_copies WHERE event_id % 101 <> 0
 )"""
@@ -212,6 +212,12 @@ def oracle_sql() -> dict[str, str]:
     out["usage_overlap"] = _usage_sql(f"e.event_end > {rs} AND e.event_start < {re_}")
     out["usage_page"] = _usage_sql("", f"ORDER BY {_ORDER} LIMIT {q.PAGE_SIZE}")
     out["usage_page_after"] = _usage_sql("", f"ORDER BY {_ORDER} LIMIT {q.PAGE_SIZE} OFFSET {q.PAGE_SIZE}")
+    out["usage_page_foreign_cursor"] = f"""
+WITH every AS ({_usage_sql()}),
+c AS (SELECT {_ORDER} FROM every ORDER BY {_ORDER} LIMIT 1 OFFSET {q.PAGE_SIZE - 1})
+SELECT e.* FROM every e, c WHERE e.workspace = {ws}
+  AND (e.event_start, e.event_end, e.workspace, e.sku, e.uuid) > (c.event_start, c.event_end, c.workspace, c.sku, c.uuid)
+ORDER BY e.event_start, e.event_end, e.workspace, e.sku, e.uuid LIMIT {q.PAGE_SIZE}"""
     out["usage_daily"] = _agg_usage("day")
     out["usage_monthly"] = _agg_usage("month")
     a0, a1 = _ts(q.AGG_RANGE[0]), _ts(q.AGG_RANGE[1])
@@ -357,7 +363,7 @@ SELECT uuid, sku, item_id, price, valid_from, valid_until, configured_at FROM (
     priced = """
 priced AS (
   SELECT uuid, event_start, event_end, item_id, workspace, quantity, price_id, price,
-         quantity * CAST(price AS DOUBLE) AS charge FROM (
+         CAST(CAST(quantity AS DECIMAL(18,6)) * CAST(price AS DECIMAL(20,12)) AS DECIMAL(28,8)) AS charge FROM (
     SELECT e.*, p.uuid AS price_id, p.price,
            row_number() OVER (PARTITION BY e.uuid ORDER BY p.configured_at DESC, p.valid_from DESC, p.uuid) AS rn
     FROM billing_event e LEFT JOIN billing_item_price p
@@ -367,12 +373,12 @@ priced AS (
     out["priced_usage"] = with_tables(
         ["billing_item_price", "billing_event"],
         f""",{priced}
-SELECT uuid, event_start, event_end, item_id, workspace, quantity, price_id, price, round(charge, 6) AS charge FROM priced""",
+SELECT uuid, event_start, event_end, item_id, workspace, quantity, price_id, price, charge FROM priced""",
     )
     out["account_charges"] = with_tables(
         ["billing_item_price", "billing_event", "workspace_account"],
         f""",{priced}
-SELECT a.account, date_trunc('month', p.event_start) AS month, round(sum(p.charge), 4) AS charge, count(*) AS events
+SELECT a.account, date_trunc('month', p.event_start) AS month, CAST(sum(p.charge) AS DECIMAL(28,8)) AS charge, count(*) AS events
 FROM priced p JOIN workspace_account a ON a.workspace = p.workspace GROUP BY 1, 2""",
     )
     out["item_upsert"] = with_tables(
@@ -388,6 +394,27 @@ SELECT coalesce(i.uuid, {U("'item:' || c.sku")}) AS uuid, coalesce(i.sku, c.sku)
        coalesce(c.name, i.name) AS name, coalesce(c.unit, i.unit) AS unit
 FROM billing_item i FULL OUTER JOIN config c ON c.sku = i.sku
 WHERE i.uuid IS NOT NULL OR (c.name IS NOT NULL AND c.unit IS NOT NULL)""",
+    )
+    out["item_upsert_repeated"] = with_tables(
+        ["billing_item"],
+        f"""
+SELECT uuid, sku, 'Last ' || sku AS name, 'unit-d' AS unit FROM billing_item
+UNION ALL
+SELECT {U("'item:cfg-' || sku")}, 'cfg-' || sku, 'Last cfg-' || sku, 'unit-d' FROM billing_item""",
+    )
+    out["price_check"] = with_tables(
+        ["billing_item_price"],
+        """
+SELECT uuid, valid_until AS valid_from, valid_from AS valid_until FROM billing_item_price WHERE valid_until > valid_from""",
+    )
+    out["items_export"] = with_tables(["billing_item"], "SELECT uuid, sku, name, unit FROM billing_item")
+    out["prices_export"] = with_tables(
+        ["billing_item_price"],
+        f"""
+SELECT p.uuid, i.sku, strftime(p.valid_from, '%Y-%m-%dT%H:%M:%SZ') AS valid_from,
+       strftime(p.valid_until, '%Y-%m-%dT%H:%M:%SZ') AS valid_until, CAST(p.price AS DOUBLE) AS price
+FROM billing_item_price p JOIN billing_item i ON i.uuid = p.item_id
+WHERE p.valid_from <= {_ts(q.PRICE_AT)} AND (p.valid_until IS NULL OR p.valid_until > {_ts(q.PRICE_AT)})""",
     )
     out["price_rejects"] = with_tables(
         ["billing_item_price"],
@@ -439,6 +466,47 @@ SELECT CASE WHEN event_id % 101 = 0 THEN 'bad-' || CAST(event_id AS VARCHAR) ELS
        CASE WHEN event_id % 101 = 0 THEN 'bad_uuid' ELSE 'end_before_start' END AS reason
 FROM message_copies WHERE event_id % 101 = 0 OR event_id % 103 = 0""",
     )
+    out["quarantine_bad_times"] = f"""
+SELECT {U("'ev:' || CAST(event_id AS VARCHAR)")} AS uuid,
+       CASE event_id % 5 WHEN 0 THEN ts WHEN 1 THEN date_trunc('second', ts) END AS event_start,
+       make_timestamp(epoch_us(ts) + {DAY}) AS event_end, CASE WHEN event_id % 5 > 1 THEN 'bad_time' END AS reason
+FROM events"""
+    out["workspace_quarantine"] = with_tables(
+        ["workspace_messages"],
+        """
+SELECT CASE WHEN ingest_seq % 13 = 0 THEN ' ' ELSE name END AS name, CASE WHEN ingest_seq % 17 = 0 THEN 'no-account' ELSE account END AS account,
+       ingest_seq, CASE WHEN ingest_seq % 13 = 0 THEN 'missing_field' ELSE 'bad_account' END AS reason
+FROM workspace_messages WHERE ingest_seq % 13 = 0 OR ingest_seq % 17 = 0""",
+    )
+    firsts = f"""
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY ingest_seq) AS rn FROM valid_events) WHERE rn = 1)"""
+    out["stream_events_replay"] = with_tables(
+        ["billing_item", "billing_event", "message_copies"],
+        f""",{_VALID_EVENTS},{firsts}
+SELECT coalesce(s.workspace, k.workspace) AS workspace, coalesce(s.item_id, i.uuid, {U("'item:' || k.sku")}) AS item_id,
+       max(coalesce(s.event_end, k.event_end)) AS resume_at
+FROM kept k LEFT JOIN billing_item i ON i.sku = k.sku
+LEFT JOIN billing_event s ON s.uuid = k.uuid AND s.event_end < {stored_before} GROUP BY 1, 2""",
+    )
+    out["stream_samples_replay"] = with_tables(
+        ["billing_item", "rate_sample", "message_copies"],
+        f""",{_VALID_SAMPLES},{firsts.replace("valid_events", "valid_samples")}
+SELECT k.uuid, coalesce(s.sample_time, k.sample_time) AS sample_time, coalesce(s.item_id, i.uuid, {U("'item:' || k.sku")}) AS item_id,
+       CASE WHEN s.uuid IS NOT NULL THEN s."user" ELSE k."user" END AS "user", coalesce(s.workspace, k.workspace) AS workspace,
+       coalesce(s.rate, k.rate) AS rate
+FROM kept k LEFT JOIN billing_item i ON i.sku = k.sku LEFT JOIN rate_sample s ON s.uuid = k.uuid AND s.sample_time < {stored_before}""",
+    )
+    until = f"epoch_us({_ts(q.UPTO)}) // {HOUR} * {HOUR}"
+    out["estimates_upto"] = with_tables(
+        ["rate_sample"],
+        f""",{_SEGS},
+k AS (SELECT workspace, item_id, min(t) // {HOUR} * {HOUR} AS lo FROM s GROUP BY 1, 2 HAVING min(t) // {HOUR} * {HOUR} < {until}),
+w AS (SELECT k.workspace, k.item_id, k.lo, unnest(range(k.lo, {until}, {HOUR})) AS a FROM k),
+p AS (SELECT w.workspace, w.item_id, w.a, {_area("a", f"(a + {HOUR})")} AS q
+  FROM w JOIN segs x ON x.workspace = w.workspace AND x.item_id = w.item_id AND x.t < w.a + {HOUR} AND x.nt > w.a)
+SELECT k.workspace, k.item_id, ({until} - k.lo) // {HOUR} AS windows, make_timestamp({until}) AS until,
+       round(coalesce((SELECT sum(q) FROM p WHERE p.workspace = k.workspace AND p.item_id = k.item_id), 0), 2) AS quantity FROM k""",
+    )
     out["events_resolved"] = with_tables(["billing_item", "message_copies"], f""",{_VALID_EVENTS}
 SELECT v.uuid, v.sku, i.uuid AS item_id, v.ingest_seq FROM valid_events v LEFT JOIN billing_item i ON i.sku = v.sku""")
     out["stub_items"] = with_tables(["billing_item", "message_copies"], f""",{_VALID_EVENTS}

@@ -1,7 +1,7 @@
 """DuckDB statements of the testdata mapping (FIXTURES.md part 2), used as CTEs by the oracle SQL.
 
 They restate ``meterkit.sources.testmap`` independently in plain SQL over the
-pre-registered views (``events``, ``customer``, ``nation``).
+pre-registered views (``events``, ``customer``).
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ entitlements AS (
          {U("'acct:' || CAST(c_nationkey AS VARCHAR)")}, 'owner'
   FROM customer
   UNION ALL
-  SELECT 'user-0', 'global', NULL, 'hub_admin' FROM nation WHERE n_nationkey = 0
+  SELECT DISTINCT 'user-0', 'global', NULL, 'hub_admin' FROM customer WHERE c_nationkey = 0
 )""",
     "requested_intervals": f"""
 requested_intervals AS (

@@ -16,6 +16,7 @@ from meterkit.functions import to_us
 from meterkit.operators import access, catalog, ingest, timeseries, usage
 from meterkit.session import ensure_utc
 from meterkit.sources import testmap as tm
+from meterkit.streaming import ingest_stream
 
 # Fixed query parameters
 WORKSPACE = "ws-7"
@@ -33,6 +34,7 @@ STORED_BEFORE = "2024-01-10 00:00:00"  # messages are de-duplicated against rows
 RESUME_AS_OF = "2024-01-16 00:00:00"  # events recorded by then set the resume points
 ESTIMATED_UNTIL = "2024-01-20 00:00:00"  # samples arrived when the stored estimates were made
 CONFIGURED_AT = "2024-03-25 00:00:00"
+UPTO = "2024-02-05 06:30:00"  # estimates close hours up to here
 
 
 def _acct(n: int) -> str:
@@ -124,6 +126,13 @@ def usage_page_after(spark, d):
     return _usage(spark, d, limit=PAGE_SIZE, after=first[-1]["uuid"])
 
 
+@register("usage_page_foreign_cursor")
+def usage_page_foreign_cursor(spark, d):
+    """Q8: the cursor may name a row that the other filters leave out."""
+    first = _usage(spark, d, limit=PAGE_SIZE).select("uuid").collect()
+    return _usage(spark, d, workspace=WORKSPACE, limit=PAGE_SIZE, after=first[-1]["uuid"])
+
+
 @register("usage_daily")
 def usage_daily(spark, d):
     """A1: daily totals per workspace and item."""
@@ -254,15 +263,14 @@ def estimate_drift(spark, d):
     early = arrivals.filter(F.col("arrived_at") < F.lit(ESTIMATED_UNTIL).cast("timestamp_ntz")).drop("arrived_at")
     stored = _estimates(spark, d, early)
     now = _estimates(spark, d, samples)
-    j = stored.join(now.select("uuid", F.col("quantity").alias("recomputed_quantity")), "uuid", "left")
-    return j.filter(
-        F.col("recomputed_quantity").isNull() | (F.abs(F.col("quantity") - F.col("recomputed_quantity")) > F.lit(1e-6))
-    ).select(
+    # windows that were not closed yet when the estimates were stored are no drift
+    drift = timeseries.estimate_drift(stored, now, tolerance=1e-6, missing="recomputed")
+    return drift.select(
         "uuid",
         "workspace",
         "item_id",
         "event_start",
-        _r4(F.col("quantity")).alias("stored_quantity"),
+        _r4(F.col("stored_quantity")).alias("stored_quantity"),
         _r4(F.col("recomputed_quantity")).alias("recomputed_quantity"),
     )
 
@@ -307,14 +315,14 @@ def _priced(spark, d):
 @register("priced_usage")
 def priced_usage(spark, d):
     """C5 (extension): every event priced at its start."""
-    return _priced(spark, d).withColumn("charge", F.round(F.col("charge"), 6))
+    return _priced(spark, d)
 
 
 @register("account_charges")
 def account_charges(spark, d):
     """C6 (extension): charges per account and month."""
     out = catalog.account_charges(_priced(spark, d), tm.workspace_account(spark, d))
-    return out.withColumn("charge", _r4(F.col("charge")))
+    return out.withColumn("charge", F.col("charge").cast(catalog.CHARGE))
 
 
 def _item_config(spark, d) -> DataFrame:
@@ -339,6 +347,36 @@ def item_upsert(spark, d):
     return catalog.upsert_items(_items(spark, d), _item_config(spark, d))
 
 
+@register("item_upsert_repeated")
+def item_upsert_repeated(spark, d):
+    """A configuration that names SKUs several times; the last value of each field counts."""
+    once = _item_config(spark, d).withColumn("seq", F.lit(1))
+    again = once.select("sku", F.lit(None).cast("string").alias("name"), F.lit("unit-d").alias("unit"), F.lit(2).alias("seq"))
+    more = once.select("sku", F.concat(F.lit("Last "), F.col("sku")).alias("name"), F.lit(None).cast("string").alias("unit"), F.lit(3).alias("seq"))
+    return catalog.upsert_items(_items(spark, d), once.unionByName(again).unionByName(more))
+
+
+@register("price_check")
+def price_check(spark, d):
+    """V4: price rows whose range ends before it starts (every row of the table is turned round;
+    open ones stay valid)."""
+    p = tm.billing_item_price(spark, d)
+    turned = p.select("uuid", F.coalesce("valid_until", "valid_from").alias("valid_from"), F.when(F.col("valid_until").isNotNull(), F.col("valid_from")).alias("valid_until"))
+    return catalog.price_violations(turned)
+
+
+@register("items_export")
+def items_export(spark, d):
+    """API rows of items."""
+    return usage.items_export(_items(spark, d))
+
+
+@register("prices_export")
+def prices_export(spark, d):
+    """API rows of the prices in force at a time."""
+    return usage.prices_export(catalog.prices_at(tm.billing_item_price(spark, d), _items(spark, d), PRICE_AT))
+
+
 def _price_config(spark, d, bad: bool) -> DataFrame:
     it = _items(spark, d).select("sku")
     L = F.length("sku").cast("double")
@@ -403,6 +441,42 @@ def event_quarantine(spark, d):
     return ingest.quarantine(ingest.parse_event_messages(tm.event_messages(spark, d)))
 
 
+@register("quarantine_bad_times")
+def quarantine_bad_times(spark, d):
+    """F2/V1: a time text must name a whole date, extended or basic."""
+    return ingest.parse_event_messages(tm.time_text_messages(spark, d)).select("uuid", "event_start", "event_end", "reason")
+
+
+@register("workspace_quarantine")
+def workspace_quarantine(spark, d):
+    """Rejected workspace-settings messages with reasons."""
+    return ingest.workspace_quarantine(tm.workspace_messages_with_errors(spark, d))
+
+
+@register("stream_events_replay")
+def stream_events_replay(spark, d):
+    """Resume points asked for by a batch in which stored uuids and re-sent copies with other
+    ends occur; only rows as kept count."""
+    out = ingest_stream.event_arrivals(tm.event_messages(spark, d), _items(spark, d), _stored_events(spark, d))
+    return ingest_stream.resume_moves(out["accepted"]).withColumnRenamed("_end", "resume_at")
+
+
+@register("stream_samples_replay")
+def stream_samples_replay(spark, d):
+    """The samples that a batch's estimates are made from: stored copies, else first arrivals."""
+    stored = tm.rate_sample(spark, d).filter(F.col("sample_time") < F.lit(STORED_BEFORE).cast("timestamp_ntz"))
+    return ingest_stream.sample_arrivals(tm.sample_messages(spark, d), _items(spark, d), stored)["accepted"]
+
+
+@register("estimates_upto")
+def estimates_upto(spark, d):
+    """With an explicit closing time every key's hours run up to it, with 0 after its last sample."""
+    samples = tm.rate_sample(spark, d)
+    upto = samples.select(*timeseries.KEYS).distinct().withColumn("upto", F.lit(UPTO).cast("timestamp_ntz"))
+    est = timeseries.hourly_estimates(samples, upto=upto)
+    return est.groupBy(*timeseries.KEYS).agg(F.count("*").alias("windows"), F.max("event_end").alias("until"), F.round(F.sum("quantity"), 2).alias("quantity"))
+
+
 @register("events_resolved")
 def events_resolved(spark, d):
     """V5: valid messages with their item id (NULL when the SKU is unknown)."""
@@ -472,7 +546,7 @@ def visible_account_usage(spark, d):
 @register("admin_usage")
 def admin_usage(spark, d):
     """X1 admin bypass: the hub admin reads every usage row."""
-    return access.visible_usage(_usage_rows(spark, d), tm.entitlements(spark, d), "user-0")
+    return access.visible_usage(_usage_rows(spark, d), tm.entitlements(spark, d), "user-0", allow_hub_admin=True)
 
 
 def queries() -> dict[str, Q]:

@@ -12,6 +12,7 @@ import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from meterkit import schemas
@@ -35,13 +36,17 @@ def read_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] |
     )
     if checked.filter(F.col("value").isNull()).limit(1).count() > 0:
         raise ValueError(f"configuration {path} is not a JSON object - check the format")
-    doc = checked.select(F.from_json("value", schemas.CONFIG).alias("d")).select("d.*")
-    return config_frames(doc)
+    # a document that breaks off or is no JSON leaves its text in the corrupt-record column
+    schema = StructType([*schemas.CONFIG.fields, StructField("_corrupt", StringType(), True)])
+    doc = checked.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("d")).select("d.*")
+    if doc.filter(F.col("_corrupt").isNotNull()).limit(1).count() > 0:
+        raise ValueError(f"configuration {path} is broken JSON")
+    return config_frames(doc.drop("_corrupt"))
 
 
 def config_frames(doc: DataFrame) -> tuple[DataFrame, DataFrame]:
-    items = doc.select(F.explode_outer(F.coalesce("items", F.array())).alias("i")).filter(F.col("i").isNotNull())
-    items = items.select("i.sku", "i.name", "i.unit")
+    items = doc.select(F.posexplode(F.coalesce("items", F.array())).alias("seq", "i")).filter(F.col("i").isNotNull())
+    items = items.select(F.col("seq").cast("long").alias("seq"), "i.sku", "i.name", "i.unit")
     prices = doc.select(F.posexplode(F.coalesce("prices", F.array())).alias("pos", "p"))
     prices = prices.select(
         F.col("pos").cast("long").alias("seq"),
@@ -60,8 +65,8 @@ def apply_config(store, items_cfg: DataFrame, prices_cfg: DataFrame, configured_
     table, rejects = catalog.apply_price_config(store.read("billing_item_price"), items, prices_cfg, configured_at)
     if rejects.limit(1).count() > 0:
         return rejects
-    store.replace("billing_item", items)
-    store.replace("billing_item_price", table)
+    # both new versions are written before the first of them becomes current
+    store.replace_all({"billing_item": items, "billing_item_price": table})
     return rejects
 
 

@@ -4,8 +4,11 @@ Layout for scale: fact tables are append-only; ``billing_event`` and ``rate_samp
 partitioned by UTC month of their time column and sorted within files by
 (workspace, time), so time-range and workspace filters prune partitions and row groups.
 Dimension tables (items, prices, workspace map) are small and rewritten whole on change:
-each write goes to a new version folder and a one-row pointer table names the current one,
-so readers never see a half-written table.
+each write goes to a new version folder, and the highest folder whose write was completed
+(it holds ``_SUCCESS``) is the current one. There is no pointer to lose: a crash leaves an
+incomplete folder that nobody reads. A version number is written once; of two writers that
+computed the same one the second fails instead of overwriting (keep one writer per table).
+The two versions before the current one stay for readers that still hold them.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ FACT_LAYOUT = {
 }
 APPEND_ONLY = {"billing_event", "rate_sample", "event_quarantine", "sample_quarantine"}
 MONTH_COL = "_month"
+KEEP_VERSIONS = 2
 
 
 class TableStore:
@@ -34,8 +38,18 @@ class TableStore:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/_current/{name}"
+    def _fs(self, path: str):
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf), p, jvm.org.apache.hadoop.fs.Path
+
+    def versions(self, name: str, complete: bool = True) -> list[int]:
+        """Version numbers of a dimension table, ascending."""
+        fs, p, path = self._fs(self._path(name))
+        if not fs.exists(p):
+            return []
+        found = [x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith("v=")]
+        return sorted(int(x.getName()[2:]) for x in found if not complete or fs.exists(path(x, "_SUCCESS")))
 
     # -- S5: create / drop
     def create_all(self) -> None:
@@ -50,10 +64,10 @@ class TableStore:
         path.getFileSystem(conf).delete(path, True)
 
     def exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self._pointer(name) if name not in APPEND_ONLY else self._path(name))
-        return p.getFileSystem(conf).exists(p)
+        if name not in APPEND_ONLY:
+            return bool(self.versions(name))
+        fs, p, _ = self._fs(self._path(name))
+        return fs.exists(p)
 
     # -- read
     def read(self, name: str, time_from=None, time_until=None) -> DataFrame:
@@ -73,7 +87,7 @@ class TableStore:
                     hi = F.lit(time_until).cast("timestamp_ntz")
                     df = df.filter((F.col(MONTH_COL) <= F.date_format(hi, "yyyy-MM")) & (tcol < hi))
             return df.select(*schemas.TABLES[name].fieldNames())
-        version = self.spark.read.parquet(self._pointer(name)).first()["version"]
+        version = self.versions(name)[-1]
         return self.spark.read.schema(schema).parquet(f"{self._path(name)}/v={version}")
 
     # -- write
@@ -91,11 +105,21 @@ class TableStore:
             w.write.mode("append").parquet(self._path(name))
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Write a new version of a dimension table, then switch the pointer to it."""
+        """Write a new version of a dimension table (``df`` may read the old one)."""
         if name in APPEND_ONLY:
             raise ValueError(f"{name} is append-only")
         self._write_new(name, df.select(*schemas.TABLES[name].fieldNames()))
 
+    def replace_all(self, tables: dict[str, DataFrame]) -> None:
+        """Replace several dimension tables; all are computed before the first becomes current."""
+        staged = {}
+        for name, df in tables.items():
+            path = f"{self.root}/_staging/all-{name}"
+            df.select(*schemas.TABLES[name].fieldNames()).write.mode("overwrite").parquet(path)
+            staged[name] = self.spark.read.schema(schemas.TABLES[name]).parquet(path)
+        for name, df in staged.items():
+            self.replace(name, df)
+
     def _write_new(self, name: str, df: DataFrame) -> None:
         if name in APPEND_ONLY:
             if name in FACT_LAYOUT:
@@ -105,15 +129,12 @@ class TableStore:
             else:
                 df.limit(0).write.mode("append").parquet(self._path(name))
             return
-        version = self._next_version(name)
-        # materialise the new version before the pointer moves (the input may read the old one)
-        df.write.mode("overwrite").parquet(f"{self._path(name)}/v={version}")
-        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").parquet(self._pointer(name))
-
-    def _next_version(self, name: str) -> int:
-        if not self.exists(name):
-            return 1
-        return int(self.spark.read.parquet(self._pointer(name)).first()["version"]) + 1
+        version = max(self.versions(name, complete=False), default=0) + 1
+        df.write.mode("errorifexists").parquet(f"{self._path(name)}/v={version}")
+        fs, _, path = self._fs(self._path(name))
+        for old in self.versions(name, complete=False):
+            if old < version - KEEP_VERSIONS:
+                fs.delete(path(f"{self._path(name)}/v={old}"), True)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
@@ -126,11 +147,4 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **opti
     df.write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode(mode).save()
 
 
-def default_root(spark: SparkSession) -> str:
-    """Table root under the shared checkpoint folder when none is given (tests)."""
-    from meterkit.session import scratch_path
-
-    return scratch_path(spark, "tables")
-
-
-__all__ = ["TableStore", "read_jdbc", "write_jdbc", "default_root"]
+__all__ = ["TableStore", "read_jdbc", "write_jdbc"]

@@ -15,26 +15,7 @@ PRICE_TYPE = "decimal(38,12)"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores (a small file
-    with one row group), so per-row derivation runs on every core. Large inputs already
-    have many splits and are left alone; filters and column pruning still reach the scan.
-    Sessions without an RDD view (Spark Connect) are left as they are."""
-    import os
-
-    if os.environ.get("MK_SPREAD", "1") == "0":
-        return df
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view on this kind of session
-        return df
-    if splits < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _u(prefix: str, col: Column) -> Column:
@@ -132,7 +113,9 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _message_copies(spark, sf_dir)
     eid = F.col("event_id")
     start_us = _shifted_start_us(eid, F.col("ts"))
-    end_us = F.when(eid % 103 == 0, start_us - F.lit(HOUR_US)).otherwise(_end_us(eid, start_us))
+    # a re-sent copy (odd ingest_seq) also claims another end
+    resent = F.when(F.col("ingest_seq") % 2 == 1, F.lit(8 * HOUR_US)).otherwise(F.lit(0))
+    end_us = F.when(eid % 103 == 0, start_us - F.lit(HOUR_US)).otherwise(_end_us(eid, start_us) + resent)
     return m.select(
         F.when(eid % 101 == 0, F.concat(F.lit("bad-"), eid.cast("string"))).otherwise(_u("ev:", eid)).alias("uuid"),
         _iso_text(eid, start_us).alias("event_start"),
@@ -149,9 +132,10 @@ def sample_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate-sample messages as text fields, with the same defects as ``event_messages``."""
     m = _message_copies(spark, sf_dir)
     eid = F.col("event_id")
+    resent = F.when(F.col("ingest_seq") % 2 == 1, F.lit(4 * HOUR_US)).otherwise(F.lit(0))
     return m.select(
         F.when(eid % 101 == 0, F.concat(F.lit("bad-"), eid.cast("string"))).otherwise(_u("rs:", eid)).alias("uuid"),
-        _iso_text(eid, to_us(F.col("ts"))).alias("sample_time"),
+        _iso_text(eid, to_us(F.col("ts")) + resent).alias("sample_time"),
         F.when(eid % 11 == 0, F.concat(F.lit("new-"), F.col("event_type"))).otherwise(F.col("event_type")).alias("sku"),
         _message_user(eid, F.col("user_id")).alias("user"),
         F.concat(F.lit("ws-"), F.col("user_id").cast("string")).alias("workspace"),
@@ -232,14 +216,14 @@ def entitlements(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     admin = (
-        read(spark, sf_dir, "nation")
-        .filter(F.col("n_nationkey") == 0)
+        c.filter(F.col("c_nationkey") == 0)
         .select(
-            F.lit("user-0").alias("principal"),
+            F.concat(F.lit("user-"), F.col("c_nationkey").cast("string")).alias("principal"),
             F.lit("global").alias("kind"),
             F.lit(None).cast("string").alias("target"),
             F.lit("hub_admin").alias("role"),
         )
+        .distinct()
     )
     return ws.unionByName(acct).unionByName(admin)
 
@@ -255,3 +239,38 @@ def requested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
         from_us(t - F.lit(90 * 60 * SECOND_US)).alias("start"),
         from_us(t + F.lit(45 * 60 * SECOND_US)).alias("end"),
     )
+
+
+def time_text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage-event messages whose start comes in five spellings, by event id: ISO, basic ISO, and
+    clock only, year only, month only, which name no time."""
+    e = read(spark, sf_dir, "events")
+    eid, us = F.col("event_id"), to_us(F.col("ts"))
+    spelled = (
+        F.when(eid % 5 == 0, F.date_format(from_us(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        .when(eid % 5 == 1, F.date_format(from_us(us), "yyyyMMdd'T'HHmmss'Z'"))
+        .when(eid % 5 == 2, F.date_format(from_us(us), "HH:mm:ss"))
+        .when(eid % 5 == 3, F.date_format(from_us(us), "yyyy"))
+        .otherwise(F.date_format(from_us(us), "yyyy-MM"))
+    )
+    return e.select(
+        _u("ev:", eid).alias("uuid"),
+        spelled.alias("event_start"),
+        F.date_format(from_us(us + F.lit(DAY_US)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("event_end"),
+        F.col("event_type").alias("sku"),
+        F.lit(None).cast("string").alias("user"),
+        F.concat(F.lit("ws-"), F.col("user_id").cast("string")).alias("workspace"),
+        F.col("value").alias("quantity"),
+        eid.alias("ingest_seq"),
+    )
+
+
+def workspace_messages_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workspace-settings messages, some without a name and some with an account that is no id."""
+    m = workspace_messages(spark, sf_dir)
+    seq = F.col("ingest_seq")
+    return m.select(
+        F.when(seq % 13 == 0, F.lit(" ")).otherwise(F.col("name")).alias("name"),
+        F.when(seq % 17 == 0, F.lit("no-account")).otherwise(F.col("account")).alias("account"),
+        "ingest_seq",
+    )

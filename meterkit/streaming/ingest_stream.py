@@ -32,14 +32,20 @@ KEYS = ["workspace", "item_id"]
 
 def read_message_stream(spark: SparkSession, path: str, schema, fmt: str = "json", **options) -> DataFrame:
     """Message stream from files (JSON lines by default). Messages carry ``ingest_seq``
-    (producer position); without it the file name and row position stand in."""
+    (producer position); without it they are ordered by the file's modification time, then by
+    the byte offset of the file block that held them (the rows of one block keep no order of
+    their own, so producers should number messages)."""
     reader = spark.readStream.schema(schema).format(fmt).options(**options)
-    return reader.load(path)
+    rows = reader.load(path)
+    if "ingest_seq" not in rows.columns:
+        return rows
+    at = F.unix_millis(F.col("_metadata.file_modification_time")) * F.lit(1 << 20) + F.pmod(F.col("_metadata.file_block_start"), F.lit(1 << 20))
+    return rows.withColumn("ingest_seq", F.coalesce(F.col("ingest_seq"), at))
 
 
 def read_kafka_stream(spark: SparkSession, servers: str, topic: str, schema, **options) -> DataFrame:
     """Message stream from a Kafka-compatible broker (needs the Kafka connector on the
-    classpath). ``ingest_seq`` orders by broker timestamp, then partition and offset."""
+    classpath). ``ingest_seq`` orders by broker time (milliseconds), then offset within it."""
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -49,7 +55,8 @@ def read_kafka_stream(spark: SparkSession, servers: str, topic: str, schema, **o
     )
     fields = [f for f in schema.fieldNames() if f != "ingest_seq"]
     parsed = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m"), "timestamp", "partition", "offset")
-    seq = F.unix_micros(F.col("timestamp")) * F.lit(1 << 12) + F.col("partition")
+    # 43 bits of milliseconds, 20 bits that tell the offsets and partitions of one millisecond apart
+    seq = F.unix_millis(F.col("timestamp")) * F.lit(1 << 20) + F.pmod(F.col("offset") * F.lit(64) + F.pmod(F.col("partition"), F.lit(64)), F.lit(1 << 20))
     return parsed.select(*[F.col("m")[f].alias(f) for f in fields], seq.alias("ingest_seq"))
 
 
@@ -59,42 +66,56 @@ def dedupe_within_watermark(stream: DataFrame, time_col: str, delay: str = "1 da
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["uuid"])
 
 
+def event_arrivals(messages: DataFrame, items: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
+    """R1 as a function of (state, batch): ``events`` to append, ``stubs``, ``quarantine``, and
+    ``accepted``, the rows of the batch's uuids as they are kept: the stored copy of a uuid
+    that arrived before, else its first valid copy in the batch. What is derived from a batch
+    (resume points) follows from ``accepted`` and not from a re-sent copy; it is the same on a
+    replay. ``stored`` may be the whole table or only the rows of the batch's uuids."""
+    uuids = ingest.valid(ingest.parse_event_messages(messages)).select("uuid").distinct()
+    known = stored.join(uuids, "uuid", "left_semi")
+    out = ingest.ingest_events(messages, items, known)
+    return out | {"accepted": out["events"].unionByName(known.select(*out["events"].columns))}
+
+
+def sample_arrivals(messages: DataFrame, items: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
+    """R3 (storage part) as a function of (state, batch), as ``event_arrivals``; also ``seen``: the
+    keys of the batch's valid messages with their latest time, which closes hours (R4)."""
+    uuids = ingest.valid(ingest.parse_sample_messages(messages)).select("uuid").distinct()
+    known = stored.join(uuids, "uuid", "left_semi")
+    out = ingest.ingest_samples(messages, items, known)
+    every = ingest.ingest_samples(messages, items)["samples"]
+    seen = every.groupBy(*KEYS).agg(F.max("sample_time").alias("seen"))
+    return out | {"accepted": out["samples"].unionByName(known.select(*out["samples"].columns)), "seen": seen}
+
+
+def resume_moves(accepted: DataFrame) -> DataFrame:
+    """The resume point that a batch of events asks for per key: its latest end."""
+    return accepted.groupBy(*KEYS).agg(F.max("event_end").alias("_end"))
+
+
 class EventBatch:
     """R1 body: validate, de-duplicate (first wins, not stored yet), stub items, append.
 
-    By default each batch is checked against every stored uuid (exact, like a primary key;
-    reads the whole uuid column). With ``dedup_by_time=True`` only stored events whose
-    ``event_start`` lies in the batch's range are read (month partitions pruned, row groups
-    skipped): exact for re-sent messages, which repeat their payload, but a reused uuid with
-    a different start time is then not caught."""
+    Each batch is checked against every stored uuid (exact, like a primary key). The batch's
+    uuids are looked up once; the stored rows found are staged and serve the de-duplication
+    and the resume points."""
 
-    def __init__(self, store: TableStore, dedup_by_time: bool = False):
+    def __init__(self, store: TableStore):
         self.store = store
-        self.dedup_by_time = dedup_by_time
-
-    def _stored(self, batch: DataFrame) -> DataFrame:
-        if not self.dedup_by_time:
-            return self.store.read("billing_event")
-        parsed = ingest.valid(ingest.parse_event_messages(batch))
-        lo, hi = parsed.agg(F.min("event_start"), F.max("event_start")).first()
-        if lo is None:
-            return self.store.read("billing_event").limit(0)
-        return self.store.read("billing_event", time_from=lo, time_until=hi + dt.timedelta(microseconds=1))
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
         try:
-            items = self.store.read("billing_item")
-            out = ingest.ingest_events(batch, items, self._stored(batch))
-            stubs = out["stubs"].persist()
-            if stubs.limit(1).count() > 0:
-                self.store.replace("billing_item", _materialised_union(self.store, items, stubs, epoch_id))
-            self.store.append("billing_event", out["events"])
-            self.store.append("event_quarantine", out["quarantine"].join(
-                self.store.read("event_quarantine").select("uuid", "ingest_seq"), ["uuid", "ingest_seq"], "left_anti"))
-            stubs.unpersist()
-            # resume points move with the batch's valid events (also on a replay)
-            advance_resume(self.store, ingest.ingest_events(batch, self.store.read("billing_item"))["events"], epoch_id)
+            store, items = self.store, self.store.read("billing_item")
+            uuids = ingest.valid(ingest.parse_event_messages(batch)).select("uuid").distinct()
+            known = _staged(store, store.read("billing_event").join(uuids, "uuid", "left_semi"), "events-known")
+            out = event_arrivals(batch, items, known)
+            accepted = _staged(store, out["accepted"], "events-accepted")
+            _add_stubs(store, items, out["stubs"], "events-items")
+            store.append("billing_event", accepted.join(known.select("uuid"), "uuid", "left_anti"))
+            _add_quarantine(store, "event_quarantine", out["quarantine"])
+            advance_resume(store, accepted, epoch_id)
         finally:
             batch.unpersist()
 
@@ -117,57 +138,42 @@ class WorkspaceBatch:
 class SampleBatch:
     """R3 body: store new samples, then estimate the closed hours of the keys in the batch.
 
-    Estimation reads only the batch and the ``estimate_state`` rows of the batch's keys
-    (resume point and pending samples), never the sample or event history, so its cost
-    follows the batch, not the store. ``dedup_by_time`` as for ``EventBatch`` (range of
-    ``sample_time``). ``split_us`` as for ``hourly_estimates``. A store with history but no
-    state is bootstrapped once with ``rebuild_estimate_state``."""
+    Estimation reads only the batch's accepted samples and the ``estimate_state`` rows of the
+    batch's keys (resume point and pending samples), never the sample or event history. A
+    store with history but no state is bootstrapped once with ``rebuild_estimate_state``."""
 
-    def __init__(self, store: TableStore, dedup_by_time: bool = False, split_us: int = HOUR_US):
+    def __init__(self, store: TableStore):
         self.store = store
-        self.dedup_by_time = dedup_by_time
-        self.split_us = split_us
-
-    def _stored(self, batch: DataFrame) -> DataFrame:
-        if not self.dedup_by_time:
-            return self.store.read("rate_sample")
-        parsed = ingest.valid(ingest.parse_sample_messages(batch))
-        lo, hi = parsed.agg(F.min("sample_time"), F.max("sample_time")).first()
-        if lo is None:
-            return self.store.read("rate_sample").limit(0)
-        return self.store.read("rate_sample", time_from=lo, time_until=hi + dt.timedelta(microseconds=1))
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
         try:
-            items = self.store.read("billing_item")
-            out = ingest.ingest_samples(batch, items, self._stored(batch))
-            stubs = out["stubs"].persist()
-            if stubs.limit(1).count() > 0:
-                items = _materialised_union(self.store, items, stubs, epoch_id)
-                self.store.replace("billing_item", items)
-            self.store.append("rate_sample", out["samples"])
-            self.store.append("sample_quarantine", out["quarantine"].join(
-                self.store.read("sample_quarantine").select("uuid", "ingest_seq"), ["uuid", "ingest_seq"], "left_anti"))
-            stubs.unpersist()
-            # the batch's own valid samples (first copy per uuid) drive estimation, also on a
-            # replay after a failure, when they are already stored
-            batch_samples = ingest.ingest_samples(batch, self.store.read("billing_item"))["samples"]
-            estimate_batch(self.store, batch_samples, epoch_id, self.split_us)
+            store, items = self.store, self.store.read("billing_item")
+            uuids = ingest.valid(ingest.parse_sample_messages(batch)).select("uuid").distinct()
+            known = _staged(store, store.read("rate_sample").join(uuids, "uuid", "left_semi"), "samples-known")
+            out = sample_arrivals(batch, items, known)
+            accepted = _staged(store, out["accepted"], "samples-accepted")
+            seen = _staged(store, out["seen"], "samples-seen")
+            _add_stubs(store, items, out["stubs"], "samples-items")
+            store.append("rate_sample", accepted.join(known.select("uuid"), "uuid", "left_anti"))
+            _add_quarantine(store, "sample_quarantine", out["quarantine"])
+            estimate_batch(store, accepted, seen, epoch_id)
         finally:
             batch.unpersist()
 
 
-def estimate_batch(store: TableStore, batch_samples: DataFrame, epoch_id: int, split_us: int = HOUR_US) -> None:
+def estimate_batch(store: TableStore, batch_samples: DataFrame, seen: DataFrame, epoch_id: int) -> None:
     """T6 + T4 for the keys of one micro-batch, from the estimation state.
 
-    ``upto`` per key = hour of the key's latest sample in the batch (R4). Windows run from
+    ``batch_samples`` are the batch's samples as stored, ``seen`` (keys, ``seen``) the latest
+    time of a valid message per key: ``upto`` is its hour (R4), also where the message is a
+    re-sent copy whose values are not used. Windows run from
     the key's resume point (its latest event end, else the hour of its first sample). New
     estimates are appended unless their id is stored already (checked within their own time
     range), then the state moves on; so a replay after a failure at any step adds nothing."""
     spark = store.spark
     bs = batch_samples.select(*KEYS, "uuid", "sample_time", "rate")
-    upto = bs.groupBy(*KEYS).agg(from_us(floor_div(to_us(F.max("sample_time")), HOUR_US) * F.lit(HOUR_US)).alias("upto"))
+    upto = seen.select(*KEYS, from_us(floor_div(to_us(F.col("seen")), HOUR_US) * F.lit(HOUR_US)).alias("upto"))
     keys = upto.select(*KEYS)
     state = store.read("estimate_state")
     mine = state.join(keys, KEYS, "left_semi")
@@ -184,7 +190,7 @@ def estimate_batch(store: TableStore, batch_samples: DataFrame, epoch_id: int, s
             F.col("resume_at"), from_us(floor_div(to_us(F.col("_first")), HOUR_US) * F.lit(HOUR_US))
         ).alias("resume_at"),
     )
-    est = timeseries.hourly_estimates(cand, store.read("billing_item"), resume=resume, upto=upto, split_us=split_us)
+    est = timeseries.hourly_estimates(cand, store.read("billing_item"), resume=resume, upto=upto)
     est_path = _scratch(store, "estimate_new")
     est.select(
         "uuid", "event_start", "event_end", "item_id", F.lit(None).cast("string").alias("user"), "workspace", "quantity"
@@ -239,7 +245,7 @@ def rebuild_estimate_state(store: TableStore) -> None:
 
 def advance_resume(store: TableStore, events: DataFrame, epoch_id: int) -> None:
     """A directly reported event moves its key's resume point (T6: any event counts)."""
-    ends = events.groupBy(*KEYS).agg(F.max("event_end").alias("_end"))
+    ends = resume_moves(events)
     if ends.limit(1).count() == 0:
         return
     state = store.read("estimate_state")
@@ -254,36 +260,30 @@ def advance_resume(store: TableStore, events: DataFrame, epoch_id: int) -> None:
     store.replace("estimate_state", store.spark.read.parquet(path))
 
 
-def estimates_for_batch(samples: DataFrame, events: DataFrame, items: DataFrame, batch_samples: DataFrame) -> DataFrame:
-    """Recompute T6 + T4 for the keys of a batch from the full history of those keys (a
-    repair path; the streaming body uses the estimation state instead)."""
-    it = items.select(F.col("uuid").alias("item_id"), "sku")
-    keyed = batch_samples.join(it, "sku").select(*KEYS, "sample_time")
-    upto = keyed.groupBy(*KEYS).agg(
-        from_us(floor_div(to_us(F.max("sample_time")), HOUR_US) * F.lit(HOUR_US)).alias("upto")
-    )
-    key_samples = samples.join(upto.select(*KEYS), KEYS, "left_semi")
-    resume = timeseries.resume_points(key_samples, events.join(upto.select(*KEYS), KEYS, "left_semi"))
-    needed = pending_after(key_samples.select(*KEYS, "uuid", "sample_time", "rate"), resume)
-    est = timeseries.hourly_estimates(needed, items, resume=resume, upto=upto)
-    fresh = est.join(events.select("uuid"), "uuid", "left_anti")
-    return fresh.select(
-        "uuid", "event_start", "event_end", "item_id", F.lit(None).cast("string").alias("user"), "workspace", "quantity"
-    )
+def _scratch(store: TableStore, name: str) -> str:
+    """A staging folder under the store's root, one per purpose (overwritten by each batch). Bodies
+    of different streams use different names."""
+    return f"{store.root}/_staging/{name}"
 
 
-def _scratch(store: TableStore, name: str) -> str:
-    """A fixed staging folder per store and purpose (overwritten by each batch)."""
-    import hashlib
+def _staged(store: TableStore, df: DataFrame, name: str) -> DataFrame:
+    path = _scratch(store, name)
+    df.write.mode("overwrite").parquet(path)
+    return store.spark.read.schema(df.schema).parquet(path)
+
 
-    tag = hashlib.md5(store.root.encode()).hexdigest()[:12]
-    return scratch_path(store.spark, f"stage-{tag}-{name}")
+def _add_stubs(store: TableStore, items: DataFrame, stubs: DataFrame, name: str) -> None:
+    stubs = _staged(store, stubs.select(*schemas.BILLING_ITEM.fieldNames()), f"{name}-new")
+    if not stubs.isEmpty():
+        store.replace("billing_item", _staged(store, items.unionByName(stubs), name))
 
 
-def _materialised_union(store: TableStore, items: DataFrame, stubs: DataFrame, epoch_id: int) -> DataFrame:
-    path = _scratch(store, "billing_item")
-    items.unionByName(stubs.select(*schemas.BILLING_ITEM.fieldNames())).write.mode("overwrite").parquet(path)
-    return store.spark.read.parquet(path)
+def _add_quarantine(store: TableStore, table: str, rejected: DataFrame) -> None:
+    """Rejected rows not quarantined yet; NULL ids and positions are values like any other, so a
+    replay adds nothing."""
+    old = store.read(table)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"q.{c}")) for c in ("uuid", "ingest_seq", "reason")]
+    store.append(table, rejected.distinct().alias("r").join(old.alias("q"), same, "left_anti"))
 
 
 def start_event_ingest(spark: SparkSession, store: TableStore, source: DataFrame, name: str = "events", trigger=None):
@@ -315,9 +315,5 @@ def start_workspace_ingest(spark: SparkSession, store: TableStore, source: DataF
 
 def validated_stream(source: DataFrame) -> DataFrame:
     """Parse and validate an event-message stream with built-in operators only; suitable for
-    a plain file sink (valid rows; quarantine with ``quarantine_stream``)."""
+    a plain file sink."""
     return ingest.valid(ingest.parse_event_messages(source))
-
-
-def quarantine_stream(source: DataFrame) -> DataFrame:
-    return ingest.quarantine(ingest.parse_event_messages(source))

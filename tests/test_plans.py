@@ -150,13 +150,9 @@ def test_month_partitions_pruned(spark):
     assert sorted(r.uuid for r in df.collect()) == ["e3", "e4"]
 
 
-def test_spread_only_for_single_split_inputs(spark):
-    from meterkit.sources.testmap import spread
-
-    root = scratch_path(spark, f"test-spread-{uuidlib.uuid4().hex}")
-    cores = spark.sparkContext.defaultParallelism
-    spark.range(0, 1000, numPartitions=cores * 2).write.parquet(f"{root}/many")
-    spark.range(0, 1000, numPartitions=1).write.parquet(f"{root}/one")
-    many = spark.read.parquet(f"{root}/many")
-    assert "RoundRobinPartitioning" not in plan(spread(many))
-    assert "RoundRobinPartitioning" in plan(spread(spark.read.parquet(f"{root}/one")))
+def test_no_round_robin_in_registered_plans(spark):
+    from meterkit.plans.queries import queries
+
+    for name, query in queries().items():
+        text = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobinPartitioning" not in text, name

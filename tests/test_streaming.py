@@ -11,12 +11,13 @@ import os
 import random
 import uuid as uuidlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from meterkit import schemas
-from meterkit.operators import ingest, timeseries
+from meterkit.operators import ingest, timeseries, usage
 from meterkit.session import scratch_path
-from meterkit.sources.config import apply_config, config_frames
+from meterkit.sources.config import apply_config, config_frames, read_config
 from meterkit.sources.tables import TableStore
 from meterkit.streaming import ingest_stream as st
 
@@ -67,7 +68,7 @@ def test_time_ordered_batches_equal_batch_estimates(spark):
         rows.append((_u(100 + n), t, ws, float(rnd.randint(0, 50))))
     rows.sort(key=lambda r: r[1])
     store = new_store(spark)
-    body = st.SampleBatch(store, dedup_by_time=True, split_us=600_000_000)
+    body = st.SampleBatch(store)
     for b in range(4):
         part = rows[b * 15 : (b + 1) * 15]
         body(sample_msgs(spark, [(u, t.isoformat(), "testsku", ws, r) for u, t, ws, r in part], seq0=b * 100), b)
@@ -141,9 +142,9 @@ def test_event_batch_first_wins_and_stubs(spark):
     assert [r.reason for r in store.read("event_quarantine").collect()] == ["bad_uuid"]
 
 
-def test_event_batch_time_bounded_dedup(spark):
+def test_event_batch_replay_is_dropped(spark):
     store = new_store(spark)
-    body = st.EventBatch(store, dedup_by_time=True)
+    body = st.EventBatch(store)
     u = _u(600)
     m = spark.createDataFrame(
         [(u, "2025-01-01T00:00:00", "2025-01-01T00:05:00", "testsku", None, "w", 1.0, 1)], schemas.EVENT_MESSAGE
@@ -181,10 +182,6 @@ def test_config_load(spark):
 
 
 def test_read_config_file(spark):
-    import pytest
-
-    from meterkit.sources.config import read_config
-
     root = scratch_path(spark, f"test-config-{uuidlib.uuid4().hex}")
     os.makedirs(root, exist_ok=True)
     good = os.path.join(root, "good.json")
@@ -192,7 +189,7 @@ def test_read_config_file(spark):
         json.dump({"items": [{"sku": "my-sku", "name": "my product", "unit": "GB-s"}],
                    "prices": [{"sku": "my-sku", "valid_from": "2025-01-01T00:00:00Z", "price": 12.34}]}, f, indent=2)
     items, prices = read_config(spark, good)
-    assert [tuple(r) for r in items.collect()] == [("my-sku", "my product", "GB-s")]
+    assert [(r.sku, r.name, r.unit) for r in items.collect()] == [("my-sku", "my product", "GB-s")]
     assert [(r.seq, r.sku, str(r.price)) for r in prices.collect()] == [(0, "my-sku", "12.340000000000")]
     only_items = os.path.join(root, "items.json")
     with open(only_items, "w") as f:
@@ -256,3 +253,93 @@ def test_dedupe_within_watermark_stream(spark):
     q.awaitTermination(120)
     assert spark.read.parquet(os.path.join(root, "out")).select(F.countDistinct("uuid")).first()[0] == 3
     assert spark.read.parquet(os.path.join(root, "out")).count() == 3
+
+
+def estimates(store, ids):
+    return sorted((r.event_start, r.quantity) for r in store.read("billing_event").collect() if r.uuid not in ids)
+
+
+def test_resent_sample_does_not_change_usage(spark):
+    """A copy of a stored sample with another time and rate closes hours but feeds no integral."""
+    store = new_store(spark)
+    body = st.SampleBatch(store)
+    body(sample_msgs(spark, [(_u(1), "2025-01-01T01:30:00", "testsku", "w", 2)]), 0)
+    body(sample_msgs(spark, [(_u(2), "2025-01-01T02:30:00", "testsku", "w", 2), (_u(3), "2025-01-01T04:30:00", "testsku", "w", 4)], seq0=5), 1)
+    body(sample_msgs(spark, [(_u(1), "2025-01-01T05:30:00", "testsku", "w", 1000)], seq0=9), 2)
+    assert store.read("rate_sample").count() == 3
+    got = dict(estimates(store, ()))
+    assert abs(got[T("2025-01-01 04:00")] - 6750) < 1e-6
+    before = estimates(store, ())
+    body(sample_msgs(spark, [(_u(1), "2025-01-01T05:30:00", "testsku", "w", 1000)], seq0=9), 2)  # a replay
+    assert estimates(store, ()) == before
+
+
+def test_resent_event_does_not_move_the_resume_point(spark):
+    store = new_store(spark)
+    body = st.EventBatch(store)
+    row = lambda end, seq: spark.createDataFrame([(_u(1), "2025-01-01T00:00:00", end, "testsku", None, "w", 1.0, seq)], schemas.EVENT_MESSAGE)
+    body(row("2025-01-01T01:00:00", 1), 0)
+    body(row("2025-01-01T09:00:00", 2), 1)
+    assert [r.resume_at for r in store.read("estimate_state").collect()] == [T("2025-01-01 01:00")]
+
+
+def test_quarantine_is_replay_safe(spark):
+    store = new_store(spark)
+    body = st.EventBatch(store)
+    bad = spark.createDataFrame(
+        [(None, "2025-01-01T00:00:00", "2025-01-01T01:00:00", "testsku", None, "w", 1.0, 1), ("x", "2025-01-01T00:00:00", "2025-01-01T01:00:00", "testsku", None, "w", 1.0, None)],
+        schemas.EVENT_MESSAGE,
+    )
+    body(bad, 0)
+    body(bad, 0)
+    assert store.read("event_quarantine").count() == 2
+
+
+def test_two_streams_on_one_store(spark):
+    store = new_store(spark)
+    events, samples = st.EventBatch(store), st.SampleBatch(store)
+    for n in range(3):
+        events(spark.createDataFrame([(_u(700 + n), "2025-01-01T00:00:00", "2025-01-01T00:05:00", f"ev{n}", None, "w", 1.0, n)], schemas.EVENT_MESSAGE), n)
+        samples(sample_msgs(spark, [(_u(800 + n), f"2025-01-01T0{n}:30:00", f"sa{n}", "w", 2)], seq0=n), n)
+    assert {f"ev{n}" for n in range(3)} | {f"sa{n}" for n in range(3)} <= {r.sku for r in store.read("billing_item").collect()}
+    assert len({(r.workspace, r.item_id) for r in store.read("estimate_state").collect()}) == 6
+
+
+def test_table_versions(spark):
+    store = new_store(spark)
+    first = store.read("billing_item")
+    for n in range(5):
+        store.replace("billing_item", spark.createDataFrame([(f"i{n}", f"s{n}", "", "")], schemas.BILLING_ITEM))
+    assert [r.sku for r in store.read("billing_item").collect()] == ["s4"]
+    assert len(store.versions("billing_item")) == 3 and first is not None
+    # a write that broke off is never read, and its number is not used again
+    top = store.versions("billing_item")[-1]
+    spark.createDataFrame([("x", "torn", "", "")], schemas.BILLING_ITEM).write.parquet(f"{store.root}/billing_item/v={top + 1}")
+    fs, p, path = store._fs(f"{store.root}/billing_item/v={top + 1}/_SUCCESS")
+    fs.delete(p, False)
+    assert [r.sku for r in store.read("billing_item").collect()] == ["s4"]
+    store.replace("billing_item", spark.createDataFrame([("y", "s9", "", "")], schemas.BILLING_ITEM))
+    assert [r.sku for r in store.read("billing_item").collect()] == ["s9"] and store.versions("billing_item")[-1] == top + 2
+    with pytest.raises(Exception):
+        spark.createDataFrame([("z", "again", "", "")], schemas.BILLING_ITEM).write.mode("errorifexists").parquet(f"{store.root}/billing_item/v={top + 2}")
+
+
+def test_broken_config_is_an_error(spark, tmp_path):
+    for n, text in enumerate(['{"items": [{"sku": "a"', '{"items": 5 oops}', "[1]"]):
+        p = tmp_path / f"c{n}.json"
+        p.write_text(text)
+        with pytest.raises(ValueError):
+            read_config(spark, str(p))
+
+
+def test_store_usage_prunes_months(spark):
+    store = new_store(spark)
+    rows = [(_u(n), T(f"2025-0{1 + n % 4}-10 00:00"), T(f"2025-0{1 + n % 4}-10 01:00"), "item-a", None, "w", 1.0) for n in range(8)]
+    store.append("billing_event", spark.createDataFrame(rows, schemas.BILLING_EVENT))
+    items = store.read("billing_item")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for kw in ({}, {"time_aggregation": "day"}, {"mode": "overlap"}):
+        df = usage.usage_query(store, items, start="2025-02-01 00:00:00", end="2025-03-01 00:00:00", limit=None, **kw)
+        filters = plan(df).split("PartitionFilters: [")[1].split("]")[0]
+        assert "_month" in filters, kw
+        assert df.count() == (1 if kw.get("time_aggregation") else 2)

@@ -41,11 +41,15 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes of ``column`` each; a longer row stands alone."""
+    """Slices of the batches with at most ``limit`` bytes of ``column`` (texts, bytes or lists of
+    longs) each; a longer row stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = batch.column(column)
+        lists = pa.types.is_list(values.type)
+        length = pc.fill_null(pc.list_value_length(values) if lists else pc.binary_length(values), 0)
+        size = length.to_numpy(zero_copy_only=False).astype(np.int64) * (8 if lists else 1)
         part = np.cumsum(size)
         start = 0
         while start < batch.num_rows:

@@ -44,6 +44,7 @@ from meterkit.llm.components import components
 
 RATIO = 1.5  # of a size band's ends
 RESERVED = 2  # segments with one-deletion neighbourhoods
+BLOCK = 1 << 20  # bytes of text, or of sets, in one numpy step: what a Python worker holds at once
 TIE = 4  # rows of one key in a block from which they are tied before the shuffle
 BROADCAST_ROWS = 500_000  # of (id, 16-byte class): under 32 MB
 EXACT_PROBE, NEAR_PROBE, EXACT, NEAR = range(4)  # kinds of rows, in the order in which a key's hub is chosen
@@ -290,7 +291,7 @@ def _documents(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, BLOCK):
             size, _, h = shingles(texts_of(block, text_col), n)
             c1, c2 = class_of(size, h)
             yield pa.RecordBatch.from_arrays([block.column(id_col), pa.array(size), pa.array(c1), pa.array(c2)], names=["id", "n", "c1", "c2"])
@@ -301,7 +302,7 @@ def _documents(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 def _rows(df: DataFrame, text_col: str, n: int, bands: Bands) -> DataFrame:
     """Index rows and look-ups of every text, large groups of a block tied."""
     def run(batches):
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, BLOCK):
             size, start, h = shingles(texts_of(block, text_col), n)
             rows = tie_block(*block_rows(bands, size, start, h, *class_of(size, h)))
             yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows[:3]), pa.array(rows[3].astype(np.int8))], names=["key", "c1", "c2", "kind"])
@@ -316,7 +317,7 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int)
     texts = texts.join(side, texts["__id"].eqNullSafe(side["id"])).select("__text", "c1", "c2")
 
     def run(batches):
-        for block in blocks(batches, "__text"):
+        for block in blocks(batches, "__text", BLOCK):
             size, start, h = shingles(texts_of(block, "__text"), n)
             c1, c2 = class_of(size, h)
             right = (c1 == block.column("c1").to_numpy()) & (c2 == block.column("c2").to_numpy())
@@ -354,7 +355,7 @@ def possible(percent: int, a: str = "a", b: str = "b") -> str:
 def _set_rows(sets: DataFrame, bands: Bands) -> DataFrame:
     """Index rows and look-ups of gathered sets (c, n, u, items), with n and u."""
     def run(batches):
-        for block in batches:
+        for block in blocks(batches, "items", BLOCK):
             items = block.column("items")
             c1, c2, own = (block.column(f).to_numpy() for f in ("c1", "c2", "u"))
             size = np.diff(items.offsets.to_numpy()).astype(np.int64)

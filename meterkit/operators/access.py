@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterkit.operators.dims import small_dim
+
 
 def is_hub_admin(entitlements: DataFrame, principal: str) -> bool:
     """One bounded lookup (at most one row read back), like checking a token's roles."""
@@ -32,7 +34,7 @@ def visible_usage(
     grants = entitlements.filter((F.col("principal") == principal) & (F.col("kind") == "workspace"))
     if require_owner:
         grants = grants.filter(F.col("role") == "owner")
-    return usage.join(grants.select(F.col("target").alias("workspace")).distinct(), "workspace", "left_semi")
+    return usage.join(small_dim(grants.select(F.col("target").alias("workspace")).distinct()), "workspace", "left_semi")
 
 
 def visible_account_usage(
@@ -49,4 +51,4 @@ def visible_account_usage(
         (F.col("principal") == principal) & (F.col("kind") == "account") & (F.col("role") == "owner")
     ).select(F.col("target").alias("account"))
     ws = accounts.join(owned.distinct(), "account", "left_semi").select("workspace")
-    return usage.join(ws, "workspace", "left_semi")
+    return usage.join(small_dim(ws), "workspace", "left_semi")

@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterkit.functions import md5_uuid
-from meterkit.operators.dims import small_dim
+from meterkit.operators.dims import small_dim, stored_dim
 
 PRICE_TYPE = "decimal(38,12)"
 QUANTITY, MONEY_FACTOR, CHARGE = "decimal(18,6)", "decimal(20,12)", "decimal(28,8)"
-PRICE_DIM_MAX_ROWS = 2_000_000  # broadcast the resolved price timeline only below this size
 
 
 # ------------------------------------------------------------------ C1–C4, C7
@@ -81,11 +80,8 @@ def price_timeline(prices: DataFrame) -> DataFrame:
     """Resolve overlapping price rows into pieces [piece_start, piece_end) per item with the
     winning row (latest ``configured_at``, then latest ``valid_from``). ``piece_end`` NULL =
     open. Runs on the price table only."""
-    bounds = (
-        prices.select("item_id", F.col("valid_from").alias("p"))
-        .unionByName(prices.filter(F.col("valid_until").isNotNull()).select("item_id", F.col("valid_until").alias("p")))
-        .distinct()
-    )
+    ends = F.explode(F.array("valid_from", "valid_until")).alias("p")
+    bounds = prices.select("item_id", ends).filter(F.col("p").isNotNull()).distinct()
     w = Window.partitionBy("item_id").orderBy("p")
     pieces = bounds.select("item_id", F.col("p").alias("piece_start"), F.lead("p").over(w).alias("piece_end"))
     cover = pieces.join(prices, "item_id").filter(
@@ -104,7 +100,7 @@ def price_usage(events: DataFrame, prices: DataFrame) -> DataFrame:
     """Each event priced at its start with the effective price then; ``charge = quantity ×
     price`` as a decimal (quantity to 6 places, price to 12), so sums do not depend on order;
     events without a price keep NULLs."""
-    tl = small_dim(price_timeline(prices), PRICE_DIM_MAX_ROWS)
+    tl = stored_dim(price_timeline(prices), "price-timeline")
     cond = (
         (events["item_id"] == tl["item_id"])
         & (tl["piece_start"] <= events["event_start"])

@@ -1,24 +1,40 @@
 """Joins against dimension tables (items, prices, workspace map, entitlements).
 
-A dimension is broadcast only when its size is known to be small:
-
-* ``small_dim(df)`` leaves the choice to the planner: with adaptive execution the join is
-  planned as a shuffle join and turned into a broadcast join at run time when the measured
-  size of the dimension side is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
-  above it the shuffle join stays. Nothing is hinted, so nothing unchecked is broadcast.
-* ``small_dim(df, max_rows=n)`` checks eagerly with a bounded count (reads at most n+1
-  rows) and adds a broadcast hint only when the table has at most ``n`` rows.
+A dimension is broadcast only when its size in bytes is known to be small:
+
+* ``small_dim(df)`` asks the planner for the size of the dimension's plan. For a stored table that
+  is the size of its files, read from the file listing without running anything; joins and
+  aggregates are never underestimated by it. Up to ``DIM_BYTES`` the join gets a broadcast hint, so
+  the fact side is not shuffled. Above it nothing is hinted: the shuffle join stays, and adaptive
+  execution may still replace it when the measured side turns out small.
+* ``stored_dim(df, name)`` first writes a derived dimension to the shared folder, once, and
+  then does the same with the size of the files written. A derived table whose estimate is
+  far too large (a join with itself, say) gets its true size that way, and is computed once
+  however often the query reads it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterkit.session import scratch_path
+
+DIM_BYTES = 8 << 20  # of Parquet files; in memory a small multiple of it
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df`` in bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small_dim(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if plan_bytes(df) <= DIM_BYTES else df
+
 
-def small_dim(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    if max_rows is None:
-        return df
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def stored_dim(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"dim-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return small_dim(df.sparkSession.read.schema(df.schema).parquet(path))

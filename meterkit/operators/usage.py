@@ -150,7 +150,7 @@ def usage_query(
         if accounts is None:
             raise ValueError("account filter needs the workspace_account table")
         acc = accounts.filter(F.col("account") == account).select("workspace")
-        raw = raw.join(acc, "workspace", "left_semi")
+        raw = raw.join(small_dim(acc), "workspace", "left_semi")
 
     if period is None:
         src = raw

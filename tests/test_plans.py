@@ -156,3 +156,23 @@ def test_no_round_robin_in_registered_plans(spark):
     for name, query in queries().items():
         text = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "RoundRobinPartitioning" not in text, name
+
+
+def test_dimension_joins_leave_facts_unshuffled(spark):
+    """With the planner's own broadcasts off, stored dimensions are still broadcast by their file size."""
+    store = TableStore(spark, scratch_path(spark, f"test-dims-{uuidlib.uuid4().hex}"))
+    store.create_all()
+    store.replace("billing_item", spark.createDataFrame([("i", "s", "", "")], schemas.BILLING_ITEM))
+    store.replace("workspace_account", spark.createDataFrame([("w", "a")], schemas.WORKSPACE_ACCOUNT))
+    ev = spark.createDataFrame([("e", T("2025-01-10"), T("2025-01-10 01:00"), "i", None, "w", 1.0)], schemas.BILLING_EVENT)
+    store.append("billing_event", ev)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events, items, accounts = (store.read(t) for t in ("billing_event", "billing_item", "workspace_account"))
+        for df in (usage.usage_query(events, items, limit=None), usage.usage_query(events, items, accounts, account="a", limit=None)):
+            p = plan(df)
+            assert "BroadcastHashJoin" in p and "hashpartitioning" not in p
+            assert df.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -45,6 +45,7 @@ from meterkit.llm.components import components
 RATIO = 1.5  # of a size band's ends
 RESERVED = 2  # segments with one-deletion neighbourhoods
 BLOCK = 1 << 20  # bytes of text, or of sets, in one numpy step: what a Python worker holds at once
+SKETCH_WORDS = 4  # of 64 parts of the universe each, a power of two
 TIE = 4  # rows of one key in a block from which they are tied before the shuffle
 BROADCAST_ROWS = 500_000  # of (id, 16-byte class): under 32 MB
 EXACT_PROBE, NEAR_PROBE, EXACT, NEAR = range(4)  # kinds of rows, in the order in which a key's hub is chosen
@@ -329,12 +330,20 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int)
     return found.dropDuplicates(["c1", "c2"]).select(F.struct("c1", "c2").alias("c"), "n", "items")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both): sizes and shared elements of the pairs' sets."""
+def _parts(items: str, prefix: str) -> list:
+    """SKETCH_WORDS columns of 64 bits: which of the universe's parts hold one of the items."""
+    part = f"filter({items}, t -> (shiftright(t, 6) & {SKETCH_WORDS - 1}) = %d)"
+    return [F.expr(f"aggregate({part % k}, 0L, (s, t) -> s | shiftleft(1L, cast(t & 63 as int)))").alias(f"{prefix}{k}") for k in range(SKETCH_WORDS)]
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, sketch: bool = False) -> DataFrame:
+    """(a, b, na, nb, both): sizes and shared elements of the pairs' sets; with ``sketch`` also in
+    which parts of the universe a (b) lacks elements of the other: la0.. (lb0..)."""
     left = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     right = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).cast("bigint").alias("both"))
+    lacks = [*_parts("array_except(ib, ia)", "la"), *_parts("array_except(ia, ib)", "lb")] if sketch else []
+    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).cast("bigint").alias("both"), *lacks)
 
 
 def _reaches(percent: int) -> str:
@@ -388,21 +397,28 @@ def _open_pairs(rows: DataFrame, label: DataFrame, tied: DataFrame, percent: int
     """Pairs (a, b) that meet under a key, could be linked and are in different components.
 
     A set shares o elements with its key's hub, u with no set and v = n-o-u with others only, so two
-    sets of a key share min(o)+min(v) elements at most; where the tie to the hub was ruled out, o and
-    v are n-u at most."""
+    sets of a key share min(o)+min(v) elements at most. Where one set lacks elements of the hub in
+    a part of the universe in which the other has all of them, one more is not shared, for each such
+    part. Where the tie to the hub was ruled out, o and v are n-u at most and the parts unknown."""
     root = _bounded(label.select(F.col("node").alias("c"), "root"))
-    shared = _bounded(tied.select(F.col("a").alias("c"), F.col("b").alias("h"), "both").union(tied.select(F.col("b").alias("c"), F.col("a").alias("h"), "both")))
+    words = range(SKETCH_WORDS)
+    ends = [tied.select(F.col(c).alias("c"), F.col(h).alias("h"), "both", *(F.col(f"l{c}{k}").alias(f"l{k}") for k in words)) for c, h in ("ab", "ba")]
+    shared = _bounded(ends[0].union(ends[1]))
     rows = rows.join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
     # a key's main component is the one with most members; only the other members look for partners
     part = rows.groupBy("key", "root").agg(F.count("*").alias("members"))
     split = part.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     rows = rows.join(split, "key").join(shared, ["c", "h"], "left")
     rows = rows.withColumn("o", F.expr("if(c = h, n, coalesce(both, n - u))")).withColumn("v", F.expr("if(c = h, 0, coalesce(n - u - both, n - u))"))
-    side = lambda df, s: df.select("key", F.col("c").alias(s), *(F.col(f).alias(f"{f[0]}{s}") for f in ("root", "kind", "n", "u", "o", "v")), *(["main"] if s == "b" else []))
+    rows = rows.withColumn("sure", F.expr("c = h or both is not null")).withColumns({f"l{k}": F.coalesce(f"l{k}", F.lit(0)) for k in words})
+    kept = {"root": "r", "kind": "k", "n": "n", "u": "u", "o": "o", "v": "v", "sure": "s"} | {f"l{k}": f"l{k}" for k in words}
+    side = lambda df, s: df.select("key", F.col("c").alias(s), *(F.col(f).alias(f"{to}{s}") for f, to in kept.items()), *(["main"] if s == "b" else []))
     few, rest = side(rows.where("root <> main"), "a"), side(rows, "b")
     near = f"({NEAR_PROBE}, {NEAR})"
     open_ends = f"ra <> rb and (rb = main or a < b) and least(ka, kb) <= {NEAR_PROBE} and not (ka in {near} and kb in {near})"
-    room = f"{100 + percent} * (least(oa, ob) + least(va, vb)) >= {percent} * (na + nb)"
+    lost = lambda x, y: f"if(sa and sb, {' + '.join(f'bit_count(l{k}{y} & ~l{k}{x})' for k in words)}, 0)"
+    common = f"least(oa - {lost('a', 'b')}, ob - {lost('b', 'a')})"
+    room = f"{100 + percent} * ({common} + least(va, vb)) >= {percent} * (na + nb)"
     met = few.join(rest, "key").where(f"{open_ends} and {possible(percent)} and {room}")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -421,7 +437,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     sets = written(sets.where(f"{100 + percent} * (n - u) >= {percent} * (n + {smallest})"), "near-sets")
     rows = written(_hub_rows(_set_rows(sets, bands)), "hub-rows")
     tie = rows.where(f"c <> h and {possible(percent, '', 'h')}").select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct()
-    tied = written(_overlaps(tie, sets), "ties")
+    tied = written(_overlaps(tie, sets, sketch=True), "ties")
     links = tied.where(_reaches(percent)).select("a", "b")
     label = components(links)
     more = _open_pairs(rows, label, tied, percent).join(tied.select("a", "b"), ["a", "b"], "left_anti")

@@ -288,16 +288,17 @@ def _met(batches):
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, n_shingles, c1, c2) of every row."""
+    """(id, hash of the text, n_shingles, c1, c2) of every row."""
     id_type = df.schema[id_col].dataType.simpleString()
+    source = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for block in blocks(batches, text_col, BLOCK):
-            size, _, h = shingles(texts_of(block, text_col), n)
+        for block in blocks(batches, "text", BLOCK):
+            size, _, h = shingles(texts_of(block, "text"), n)
             c1, c2 = class_of(size, h)
-            yield pa.RecordBatch.from_arrays([block.column(id_col), pa.array(size), pa.array(c1), pa.array(c2)], names=["id", "n", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("hash"), pa.array(size), pa.array(c1), pa.array(c2)], names=["id", "hash", "n", "c1", "c2"])
 
-    return map_arrow(df.select(id_col, text_col), run, f"id {id_type}, n long, c1 long, c2 long")
+    return map_arrow(source, run, f"id {id_type}, hash long, n long, c1 long, c2 long")
 
 
 def _rows(df: DataFrame, text_col: str, n: int, bands: Bands) -> DataFrame:
@@ -446,28 +447,39 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     return docs, label if late.isEmpty() else components(links.union(late))
 
 
-def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """Per row: id, n_shingles and component_id, the smallest id reachable by links."""
+def _labelled(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """(id, hash, n, component) of every row."""
     docs, label = classes(df, id_col, text_col, n, percent)
     docs = docs.withColumn("c", F.struct("c1", "c2"))
     known = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("least"))
     known = known.join(label, known["c"] == label["node"], "left").select("c", "least", F.coalesce("root", "c").alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = known.select("c", "root").join(least, "root").select("c", "component_id")
+    least = known.groupBy("root").agg(F.min("least").alias("component"))
+    of = known.select("c", "root").join(least, "root").select("c", "component")
     out = docs.join(of, "c", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("id", "hash", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
+def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """Per row: id, n_shingles and component_id, the smallest id reachable by links."""
+    found = _labelled(df, id_col, text_col, n, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """``df`` with one document of each component, the one whose id is the component's. Documents
-    with an empty set stay. Of rows that repeat a kept id with the same text one stays."""
-    found = written(component_ids(df, id_col, text_col, n, percent), "component-ids")
+    with an empty set stay. Of rows that repeat a kept id with the same text one stays. A row
+    without an id goes if its component has one; else repeats of its text go."""
+    found = written(_labelled(df, id_col, text_col, n, percent), "component-ids")
     key, other = F.col(id_col), fresh(df, "__id")
-    gone = found.where("n_shingles > 0").where(~key.eqNullSafe(F.col("component_id"))).select(key.alias(other)).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = df.join(gone, key.eqNullSafe(F.col(other)), "left_anti")
-    again = found.groupBy(key.alias(other)).agg(F.count("*").alias("rows")).where("rows > 1").select(other)
-    if again.isEmpty():
-        return left
-    same = key.eqNullSafe(F.col(other))
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    gone = found.where("n > 0 and id <> component").select(F.col("id").alias(other)).distinct()
+    left = df.join(_bounded(gone), key == F.col(other), "left_anti")
+    again = found.where("id is not null").groupBy(F.col("id").alias(other)).agg(F.count("*").alias("rows")).where("rows > 1").select(other)
+    if not again.isEmpty():
+        same = key == F.col(other)
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    nameless = found.where("id is null and n > 0")
+    if not nameless.isEmpty():
+        out = nameless.where("component is not null").select(F.col("hash").alias(other)).distinct()
+        rows = left.where(key.isNull()).join(out, F.xxhash64(text_col) == F.col(other), "left_anti")
+        left = left.where(key.isNotNull()).unionByName(rows.dropDuplicates([text_col]))
+    return left

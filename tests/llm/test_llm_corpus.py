@@ -342,6 +342,10 @@ def test_keep_one(spark):
     assert sorted(i for i in kept if i not in (None, 2, 3)) == sorted(want)
     assert kept.count(1) == 1 and kept.count(None) == 1 and 2 in kept and 3 in kept
     assert jaccard.keep_one(df.limit(0)).count() == 0
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    mixed = [(5, text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (None, ""), (None, None), (6, None)]
+    rows = jaccard.keep_one(spark.createDataFrame(mixed, "doc_id int, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in rows if r.text) == [(0, "b0"), (5, "a0")] and any(r.doc_id == 6 for r in rows)
 
 
 # ---- the pipeline ----

@@ -32,7 +32,6 @@ LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 # ---- base patterns ----
 
 _DIGIT = re.compile("[0-9]")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")

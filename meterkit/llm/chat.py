@@ -59,10 +59,10 @@ def _mask(turn: Column) -> Column:
 def preference_examples(pairs: DataFrame, convs: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask)."""
     left = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a"))
-    # pairs without a rejected side match nothing; a salt keeps them from meeting in one task
-    right = convs.select(F.col("conv_id").alias("rejected_id"), F.lit(0).cast("bigint").alias("salt"), F.col("turns").alias("b"))
-    salt = F.when(F.col("rejected_id").isNull(), F.pmod(F.xxhash64("chosen_id"), F.lit(PARTS)) + 1).otherwise(F.lit(0)).cast("bigint")
-    both = pairs.join(left, "chosen_id", "left").withColumn("salt", salt).join(right, ["rejected_id", "salt"], "left")
+    # pairs without a rejected side match nothing; dealt by their chosen id they don't meet in one task
+    right = convs.select(F.col("conv_id").alias("other"), F.col("turns").alias("b"))
+    match = (F.coalesce("rejected_id", "chosen_id") == F.col("other")) & F.col("rejected_id").isNotNull()
+    both = pairs.join(left, "chosen_id", "left").join(right, match, "left")
     # zip_with fills the shorter side up with null, which equals no turn
     differ = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), False)
     common = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0)).when(differ == 0, F.size("a")).otherwise(differ - 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -30,9 +31,20 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver did, whatever
+    folder they start in. On a cluster the package is installed or sent with the job."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` over batches of bounded size, also for column names that hold dots."""
     bound_batches(df.sparkSession)
+    importable(df.sparkSession)
     names = df.columns
     if not any("." in n or "`" in n for n in names):
         return df.mapInArrow(fn, schema)

@@ -36,6 +36,7 @@ VOCAB_BYTES = 64 << 20
 CHUNK_BYTES = 256 << 10  # of distinct pieces in one recursive query; a longer piece stands alone
 CACHE_BYTES = 60 << 20  # of remembered pieces with their ids and bytes, twice at most
 SHORT = 64
+BLOCK = 4 << 20  # bytes of text whose new pieces go into the queries together
 DECODE = """
 SELECT s.row, string_agg(v.hex, '' ORDER BY s.pos) FROM
   (SELECT row, unnest(ids) id, generate_subscripts(ids, 1) pos FROM coded) s JOIN vocab v USING (id) GROUP BY s.row"""
@@ -211,7 +212,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", name:
     key, shared = _share(df, path, pattern)
 
     def run(batches):
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, BLOCK):
             encoder = _encoder(key, shared, pattern)
             cut = _cut(encoder, texts_of(block, text_col))
             ids = [np.fromstring(" ".join(encoder.cache[p][1] for p in row), np.int32, sep=" ") for row in cut]
@@ -247,7 +248,7 @@ def token_digests(df: DataFrame, path: str, pattern: str, text_col: str = "text"
     names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, BLOCK):
             encoder = _encoder(key, shared, pattern)
             n, ids, decoded = [], [], []
             for row in _cut(encoder, texts_of(block, text_col)):

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from meterkit.session import scratch_path
 
 BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
-BLOCK_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

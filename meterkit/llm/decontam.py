@@ -29,6 +29,7 @@ from meterkit.llm.common import blocks, fields, map_arrow
 WINDOW = 13
 MIN_SHARE = 20  # contaminated: MIN_SHARE * hit words >= words
 BENCH_BYTES = 4 << 20
+SHARD_BYTES = 4 << 20
 
 # bytes that are no part of a word become spaces; A-Z were lower-cased before
 _SEPARATE = bytes(32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
@@ -211,7 +212,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         indexes = _indexes(shared, window)
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, SHARD_BYTES):
             n, hit, items = _judge(indexes(), block.column(text_col).to_pylist())
             listed = [sorted(x) for x in items]
             cols = [block.column(id_col), pa.array(n), pa.array(hit), pa.array([len(x) for x in listed], pa.int64()), pa.array(listed, pa.list_(pa.string())), pa.array(is_contaminated(n, hit))]
@@ -226,7 +227,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", w
 
     def run(batches):
         indexes = _indexes(shared, window)
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, SHARD_BYTES):
             n, hit, _ = _judge(indexes(), block.column(text_col).to_pylist())
             yield block.filter(pa.array(~is_contaminated(n, hit)))
 
@@ -244,7 +245,7 @@ def longest_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def run(batches):
         indexes = _indexes(shared, WINDOW)
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, SHARD_BYTES):
             rows = [words(t) for t in block.column(text_col).to_pylist()]
             for tests in indexes():
                 _, (length, doc, word) = search_shard(tests, rows, longest=True)

@@ -5,6 +5,12 @@ number of words and its link density, those of the block before and after, and w
 enclosing elements name it a page part (menu, footer, advert, form, comments) or an article. A
 decision tree, grown here on the small labelled pages below, decides which blocks are main text.
 
+A page part holds for what is inside it, up to an article or main element: wrappers of a whole page
+are often named after a part they have (has-sidebar, with-menu) or are a form. html and body name
+nothing, a form around an article is none, and inside a named wrapper an article or main element
+starts anew. A page's later articles stay part of what holds lists of articles (comments, related
+pages), and all articles of what is a part by its element or role (nav, aside, footer).
+
 Defined cases: null and empty html gives an empty text. Broken markup (unclosed, cut off) is read
 as far as it goes. Rows are read one by one: repeated rows get equal results, a null id stays
 null, an empty table gives an empty result. Columns besides the named ones are ignored.
@@ -14,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +46,18 @@ _PART_NAME = re.compile(
     r"share|social|related|recommend\w*|pagination|pager|search|login|signup|copyright|legal|toolbar|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Parts that hold articles of their own, as words of a name; and a whole class of an article that makes it a part.
+_LIST_NAME = re.compile(r"(?:^|[\s_-])(?:comment\w*|disqus|reply|replies|respond|related|recommend\w*)(?:$|[\s_-])", re.I)
+_WHOLE_PART_NAME = re.compile(_PART_NAME.pattern.replace(r"[\s_-]", r"\s"), re.I)
 _ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])", re.I)
+_ARTICLE_ROLE = frozenset(("main", "article"))
 _PART_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<([!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
+_FORM_OR_ARTICLE = re.compile(r"<!--.*?(?:-->|\Z)|<(?:(/form)|article|main)\b|\srole\s*=\s*[\"']?(?:main|article)\b", re.S | re.I)
+NAMED, LISTED, FIXED = 1, 2, 4  # a part by its name (or a form), one that lists articles, one by its element or role
+
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "part", "article", "heading"]
 
 
@@ -59,6 +73,15 @@ def text_blocks(page: str) -> list[Block]:
     state = (0, 0, 0, 0)
     linked, heading = False, 0
     at, n = 0, len(page)
+    articles = 0  # opened outside page parts
+    marks: list[tuple[int, bool]] | None = None  # (place, is the end of a form) of forms' ends and articles
+
+    def around_article(at: int) -> bool:
+        nonlocal marks
+        if marks is None:
+            marks = [(m.start(), bool(m[1])) for m in _FORM_OR_ARTICLE.finditer(page) if page[m.start() : m.start() + 4] != "<!--"]
+        k = bisect_left(marks, (at, False))
+        return k < len(marks) and not marks[k][1]
 
     def close() -> None:
         nonlocal parts
@@ -68,7 +91,7 @@ def text_blocks(page: str) -> list[Block]:
             b.text = text
             b.n_words = text.count(" ") + 1
             b.n_linked = min(b.n_words, sum(len(entities.unescape(t).split()) for t, a in parts if a))
-            b.part, b.article, _, b.label = state
+            b.part, b.article, _, b.label = int(state[0] > 0), *state[1:]
             b.heading = heading
             out.append(b)
         parts = []
@@ -114,18 +137,23 @@ def text_blocks(page: str) -> list[Block]:
                 if open_tags[i][0] not in ("p", "span", "b", "i", "em", "strong", "u", "small", "font"):
                     break
         part, article, hidden, label = state
-        if attributes:
-            label |= "data-main" in attributes
-            for key, *value in _ATTRIBUTE.findall(attributes):
-                value, key = "".join(value), key.lower()
-                if key == "role":
-                    part |= value.lower() in _PART_ROLE
-                    article |= value.lower() in ("main", "article")
-                else:
-                    part |= bool(_PART_NAME.search(value))
-                    article |= bool(_ARTICLE_NAME.search(value))
-        part |= name in PAGE_PARTS
-        article |= name in ARTICLE
+        label |= "data-main" in attributes
+        named = [(k.lower(), "".join(v)) for k, *v in _ATTRIBUTE.findall(attributes)] if attributes and name not in ("html", "body") else []
+        own = name in ARTICLE or any(k == "role" and v.lower() in _ARTICLE_ROLE for k, v in named)
+        if own:
+            article = 1
+            if not part & FIXED and not (part & LISTED and articles):
+                part = 0
+        for key, value in named:
+            if key == "role":
+                part |= FIXED * (value.lower() in _PART_ROLE - {"form"}) | NAMED * (value.lower() == "form" and not around_article(at))
+            else:
+                part |= NAMED * bool((_WHOLE_PART_NAME if own else _PART_NAME).search(value))
+                part |= LISTED * bool(not own and _LIST_NAME.search(value))
+                article |= bool(_ARTICLE_NAME.search(value))
+        if name in PAGE_PARTS:
+            part |= FIXED if name != "form" else NAMED * (not around_article(at))
+        articles += own and not part
         hidden |= name in HIDDEN
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, at)
@@ -213,6 +241,9 @@ PAGES = [
     "<div><p>{3}</p><p><a>{2}</a></p></div><p>{4}</p><div data-main><p>{38}</p><p>{52}</p></div><p>{4}</p><p><a>{3}</a></p>",
     "<main data-main><p>{9}</p><ul><li>{4}</li><li>{3}</li></ul><p>{20}</p><table><tr><td>{1}</td><td>{2}</td></tr></table></main><div class=promo>{20}</div>",
     "<div class=post data-main><h1>{3}</h1><blockquote>{14}</blockquote><p>{28}</p></div><div class=share><a>{1}</a><a>{1}</a></div><div class=related><p>{15}</p></div>",
+    "<body class='single right-sidebar'><nav><a>{2}</a></nav><article data-main><h1>{5}</h1><p>{40}</p><p>{3}</p></article><div class=right-sidebar><p>{30}</p></div></body>",
+    "<div class='page has-sidebar'><main data-main><h1>{4}</h1><p>{50}</p><p>{8}</p></main><div class=sidebar><p>{20}</p></div></div>",
+    "<form id=page><div class=menu><a>{1}</a></div><article data-main><p>{25}</p><p>{60}</p></article><div class=comments><article><p>{30}</p></article></div></form>",
     "<main><div class=banner>{11}</div><div data-main><p>{18}</p><p>{35}</p></div><aside>{22}</aside><nav><a>{2}</a></nav></main><footer>{7}</footer>",
 ]
 

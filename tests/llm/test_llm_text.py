@@ -145,6 +145,17 @@ def test_main_text_of_hard_pages():
     assert len(one(long)) == 20_000 * 6 - 1
 
 
+@pytest.mark.parametrize("head", ["<body class='single right-sidebar'>", "<html class=no-sidebar><body id=menu role=search>", "<div class='page has-sidebar'>", "<div id=with-menu><div>", "<form id=aspnetForm><div>", "<div role=form>", "<div class=comments-open>"])
+@pytest.mark.parametrize("name", ["article", "article class='post comments-open'", "main class=page-header-image", "div role=main"])
+def test_main_text_inside_named_wrappers(head, name):
+    tree = htmltext.train()
+    body = " ".join(f"word{i}" for i in range(40))
+    page = f"{head}<nav><a>Home</a></nav><{name}><h1>T</h1><p>{body}</p><div class=share>{body}</div><form><p>{body}</p></form></{name.split()[0]}>"
+    page += f"<div class=right-sidebar><p>{body}</p></div><div class=comments><article><p>{body}</p></article></div><aside><article><p>{body}</p></article></aside>"
+    assert htmltext.main_texts(tree, [page]) == [f"T {body}"]
+    assert htmltext.main_texts(tree, [f"{head}<{name}><p>{body}"]) == [body]
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", None, "mine"), (2, None, "", "mine"), (None, "u", "<article><p>Hello there.</p></article>", None)]
     out = htmltext.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text string")).collect()

@@ -2,8 +2,9 @@
 first-arrival-wins de-duplication and the first-wins workspace → account map.
 
 Messages carry text fields (as on the wire) and a monotone ``ingest_seq`` (source offset;
-for files: file order and position). A bad record is rejected permanently with a reason;
-transient failures are Spark task retries, not data.
+for files: file order and position). Where a source has a position that no single number holds,
+it comes as ``ingest_at``, a struct that sorts by arrival. A bad record is rejected permanently
+with a reason; transient failures are Spark task retries, not data.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ def _parsed_rows(parsed: DataFrame, *cols: Column) -> DataFrame:
     return parsed.select(F.inline(F.array(F.struct(*cols))))
 
 
+def _position(messages: DataFrame) -> list[Column]:
+    return [F.col("ingest_at")] if "ingest_at" in messages.columns else []
+
+
 def parse_event_messages(messages: DataFrame) -> DataFrame:
     """V1/V4: typed usage events with a ``reason`` column (NULL = valid).
 
@@ -67,6 +72,7 @@ def parse_event_messages(messages: DataFrame) -> DataFrame:
         F.col("workspace"),
         F.col("quantity").cast("double").alias("quantity"),
         F.col("ingest_seq"),
+        *_position(messages),
         reason.alias("reason"),
     )
 
@@ -94,6 +100,7 @@ def parse_sample_messages(messages: DataFrame) -> DataFrame:
         F.col("workspace"),
         F.col("rate").cast("double").alias("rate"),
         F.col("ingest_seq"),
+        *_position(messages),
         reason.alias("reason"),
     )
 
@@ -131,15 +138,15 @@ def resolve_items(rows: DataFrame, items: DataFrame) -> DataFrame:
 def first_wins(
     rows: DataFrame, key: str | list[str], stored: DataFrame | None = None, reason: str | None = None
 ) -> DataFrame:
-    """Keep the earliest arrival (lowest ``ingest_seq``) per key, then drop keys
-    already stored. ``row_number() = 1`` keeps one row per key and map task before the
-    shuffle, so a repeated key does not concentrate its copies.
+    """Keep the earliest arrival (lowest ``ingest_at`` if the rows have it, else lowest
+    ``ingest_seq``) per key, then drop keys already stored. ``row_number() = 1`` keeps one row per
+    key and map task before the shuffle, so a repeated key does not concentrate its copies.
 
     With ``reason`` (parsed rows that still carry their reject reason) the earliest *valid*
     copy wins. Validity is tested after the window so the test is not pushed below the
     parse, which would evaluate the parse twice."""
     keys = [key] if isinstance(key, str) else list(key)
-    order = [F.col("ingest_seq").asc()]
+    order = [(_position(rows) or [F.col("ingest_seq")])[0].asc()]
     if reason is not None:
         order = [F.col(reason).isNotNull().asc()] + order
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -147,7 +154,7 @@ def first_wins(
     cond = F.col("_rn") == 1
     if reason is not None:
         cond = cond & F.col(reason).isNull()
-    first = first.filter(cond).drop("_rn", *([reason] if reason else []))
+    first = first.filter(cond).drop("_rn", "ingest_at", *([reason] if reason else []))
     if stored is not None:
         first = first.join(stored.select(*keys), keys, "left_anti")
     return first
@@ -193,6 +200,6 @@ def workspace_map(messages: DataFrame, stored: DataFrame | None = None) -> DataF
     workspace already mapped never moves. Messages: name, account, ingest_seq."""
     acc = canonical_uuid(F.col("account"))
     rows = messages.filter(acc.isNotNull() & _blank_to_null(F.col("name")).isNotNull()).select(
-        F.col("name").alias("workspace"), acc.alias("account"), "ingest_seq"
+        F.col("name").alias("workspace"), acc.alias("account"), "ingest_seq", *_position(messages)
     )
     return first_wins(rows, "workspace", stored).select("workspace", "account")

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterkit import schemas
@@ -32,20 +32,26 @@ KEYS = ["workspace", "item_id"]
 
 def read_message_stream(spark: SparkSession, path: str, schema, fmt: str = "json", **options) -> DataFrame:
     """Message stream from files (JSON lines by default). Messages carry ``ingest_seq``
-    (producer position); without it they are ordered by the file's modification time, then by
-    the byte offset of the file block that held them (the rows of one block keep no order of
-    their own, so producers should number messages)."""
+    (producer position); without it they are ordered by the file's modification time, its path,
+    then the byte offset of the file block that held them (the rows of one block keep no order of
+    their own, so producers should number messages). ``ingest_at`` holds that position for
+    ``first_wins``; ``ingest_seq`` alone names a message and does not order blocks."""
     reader = spark.readStream.schema(schema).format(fmt).options(**options)
     rows = reader.load(path)
     if "ingest_seq" not in rows.columns:
         return rows
-    at = F.unix_millis(F.col("_metadata.file_modification_time")) * F.lit(1 << 20) + F.pmod(F.col("_metadata.file_block_start"), F.lit(1 << 20))
-    return rows.withColumn("ingest_seq", F.coalesce(F.col("ingest_seq"), at))
+    time, block = F.unix_millis(F.col("_metadata.file_modification_time")) * F.lit(1 << 20), F.col("_metadata.file_block_start")
+    place = F.struct(time.alias("seq"), F.col("_metadata.file_path").alias("path"), block.alias("block"))
+    numbered = F.struct(F.col("ingest_seq").alias("seq"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("block"))
+    return rows.withColumns({
+        "ingest_seq": F.coalesce(F.col("ingest_seq"), time + F.pmod(block, F.lit(1 << 20))),
+        "ingest_at": F.when(F.col("ingest_seq").isNotNull(), numbered).otherwise(place),
+    })
 
 
 def read_kafka_stream(spark: SparkSession, servers: str, topic: str, schema, **options) -> DataFrame:
     """Message stream from a Kafka-compatible broker (needs the Kafka connector on the
-    classpath). ``ingest_seq`` orders by broker time (milliseconds), then offset within it."""
+    classpath). ``ingest_at`` orders by broker time (milliseconds), partition and offset."""
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -55,9 +61,15 @@ def read_kafka_stream(spark: SparkSession, servers: str, topic: str, schema, **o
     )
     fields = [f for f in schema.fieldNames() if f != "ingest_seq"]
     parsed = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m"), "timestamp", "partition", "offset")
+    return parsed.select(*[F.col("m")[f].alias(f) for f in fields], *_kafka_position())
+
+
+def _kafka_position() -> tuple[Column, Column]:
+    """``ingest_seq`` and ``ingest_at`` of a broker's message."""
     # 43 bits of milliseconds, 20 bits that tell the offsets and partitions of one millisecond apart
     seq = F.unix_millis(F.col("timestamp")) * F.lit(1 << 20) + F.pmod(F.col("offset") * F.lit(64) + F.pmod(F.col("partition"), F.lit(64)), F.lit(1 << 20))
-    return parsed.select(*[F.col("m")[f].alias(f) for f in fields], seq.alias("ingest_seq"))
+    at = F.struct(F.unix_millis(F.col("timestamp")).alias("time"), F.col("partition"), F.col("offset"))
+    return seq.alias("ingest_seq"), at.alias("ingest_at")
 
 
 def dedupe_within_watermark(stream: DataFrame, time_col: str, delay: str = "1 day") -> DataFrame:
@@ -316,4 +328,4 @@ def start_workspace_ingest(spark: SparkSession, store: TableStore, source: DataF
 def validated_stream(source: DataFrame) -> DataFrame:
     """Parse and validate an event-message stream with built-in operators only; suitable for
     a plain file sink."""
-    return ingest.valid(ingest.parse_event_messages(source))
+    return ingest.valid(ingest.parse_event_messages(source)).drop("ingest_at")

@@ -234,6 +234,39 @@ def test_file_stream_validates_like_batch(spark):
     assert streamed == expected and len(expected) == 20
 
 
+def test_unnumbered_messages_are_ordered_by_block(spark):
+    """A file of three splits; the first copy stands in the second, the re-sent one in the third."""
+    root = scratch_path(spark, f"test-blocks-{uuidlib.uuid4().hex}")
+    src, split = os.path.join(root, "in"), 700 << 10
+    os.makedirs(src)
+    line = lambda n, q: json.dumps({"uuid": _u(n), "event_start": "2025-01-01T00:00:00", "event_end": "2025-01-01T00:30:00", "sku": "s", "workspace": "w", "quantity": q}).ljust(1023) + "\n"
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.writelines(line(1 if n in (1000, 1800) else n + 10, float(n)) for n in range(2000))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        out = os.path.join(root, "out")
+        stream = st.read_message_stream(spark, src, schemas.EVENT_MESSAGE)
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    messages = spark.read.parquet(out)
+    assert messages.count() == 2000 and messages.filter(F.col("ingest_seq").isNull()).count() == 0
+    items = spark.createDataFrame([], schemas.BILLING_ITEM)
+    events = ingest.ingest_events(messages, items)["events"]
+    assert events.columns == ["uuid", "event_start", "event_end", "item_id", "user", "workspace", "quantity"]
+    assert events.count() == 1999 and [r.quantity for r in events.filter(F.col("uuid") == _u(1)).collect()] == [1000.0]
+
+
+def test_broker_messages_are_ordered_by_offset(spark):
+    """Offsets of one millisecond across a multiple of 16,384, where 20 bits start anew."""
+    raw = spark.createDataFrame([("w", 0, 16_383), ("w", 0, 16_384)], "workspace string, partition int, offset long")
+    raw = raw.withColumn("timestamp", F.timestamp_millis(F.lit(1_700_000_000_000)))
+    kept = ingest.first_wins(raw.select("workspace", "offset", *st._kafka_position()), "workspace").collect()
+    assert [r.offset for r in kept] == [16_383]
+
+
 def test_dedupe_within_watermark_stream(spark):
     root = scratch_path(spark, f"test-dedupe-{uuidlib.uuid4().hex}")
     src = os.path.join(root, "in")

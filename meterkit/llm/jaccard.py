@@ -448,15 +448,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
 
 
 def _labelled(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """(id, hash, n, component) of every row."""
+    """(id, hash, n, component, root) of every row; components that share their smallest id differ in root."""
     docs, label = classes(df, id_col, text_col, n, percent)
     docs = docs.withColumn("c", F.struct("c1", "c2"))
     known = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("least"))
     known = known.join(label, known["c"] == label["node"], "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("component"))
-    of = known.select("c", "root").join(least, "root").select("c", "component")
+    of = known.select("c", "root").join(least, "root").select("c", "root", "component")
     out = docs.join(of, "c", "left")
-    return out.select("id", "hash", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
+    return out.select("id", "hash", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component"), "root")
 
 
 def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -466,13 +466,18 @@ def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """``df`` with one document of each component, the one whose id is the component's. Documents
-    with an empty set stay. Of rows that repeat a kept id with the same text one stays. A row
+    """``df`` with one document of each component, the one whose id is the component's (of such an
+    id's texts in the component the one with the smallest hash). Texts that share an id are judged
+    each by its own component. Documents with an empty set stay. Of rows that repeat a kept id with
+    the same text one stays. A row
     without an id goes if its component has one; else repeats of its text go."""
     found = written(_labelled(df, id_col, text_col, n, percent), "component-ids")
-    key, other = F.col(id_col), fresh(df, "__id")
-    gone = found.where("n > 0 and id <> component").select(F.col("id").alias(other)).distinct()
-    left = df.join(_bounded(gone), key == F.col(other), "left_anti")
+    key, other, tag = F.col(id_col), fresh(df, "__id"), fresh(df, "__hash")
+    own = found.where("n > 0 and id = component").select("id", "hash", "root")
+    texts = own.groupBy("root").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most")
+    gone = found.where("n > 0 and id <> component").select("id", "hash")
+    gone = gone.union(own.join(_bounded(texts), "root").where("hash <> least").select("id", "hash")).distinct().toDF(other, tag)
+    left = df.join(_bounded(gone), (key == F.col(other)) & (F.xxhash64(text_col) == F.col(tag)), "left_anti")
     again = found.where("id is not null").groupBy(F.col("id").alias(other)).agg(F.count("*").alias("rows")).where("rows > 1").select(other)
     if not again.isEmpty():
         same = key == F.col(other)

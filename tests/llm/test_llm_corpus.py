@@ -147,6 +147,18 @@ def test_passages_match_brute_force(spark, partitions):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+# ---- one of near copies ----
+
+
+def test_keep_one_judges_each_text_of_an_id(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    near = text("d") + " end"
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("b")), (2, "x"), (4, text("c")), (4, text("c")), (5, text("d")), (5, near), (6, near)]
+    left = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect()]
+    assert sorted(r for r in left if r[0] != 5) == sorted([(1, text("a")), (2, text("b")), (2, "x"), (4, text("c"))])
+    assert [r[1] in (text("d"), near) for r in left if r[0] == 5] == [True]
+
+
 # ---- preference pairs ----
 
 

@@ -47,7 +47,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), keep=["page_id"])
-    return made.drop("record").withColumn("refers_to", F.col("response_id")).drop("response_id")
+    return made.withColumn("refers_to", F.col("response_id")).drop("response_id")
 
 
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

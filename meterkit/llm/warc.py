@@ -3,13 +3,18 @@
 A response is a row of (record_id, target_uri, date, block), the block being the HTTP message as
 bytes. Each response gives a metadata record (the source's status and headers, its digests, title,
 and the conversion it belongs to) and a conversion record (the visible text, one line per text
-block). Both refer to the response by WARC-Refers-To and keep its target and date. Record ids are
+block). Both refer to the response by WARC-Refers-To and keep its target and date. The WARC headers
+of a response that was read from a file (stated digests, addresses, concurrent records) go into its
+metadata as source-warc-... fields; digests of the block and payload as stored are computed besides.
+Chunked transfer and gzip or deflate encoding are undone before the text is read. Record ids are
 name-based UUIDs of the response's id and the kind of record, so a job that runs again gives the
 same records. Digests are sha1 in base32, as usual in WARC files.
 
 Defined cases: null html is an empty payload; a null url leaves WARC-Target-URI out; a null id is
 named by url and payload alone. Rows are converted one by one: repeated rows get equal records, an
-empty table gives an empty result. A block without an HTTP head is all payload. Line ends within
+empty table gives an empty result. A payload that is not encoded as its headers say is read as it
+is, a broken one as far as it goes; one in another encoding (br, zstd) has no text unless it is
+UTF-8 as it stands. A block without an HTTP head is all payload. Line ends within
 header values become spaces. Columns besides the named ones are ignored.
 """
 
@@ -21,6 +26,7 @@ import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +69,60 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, pairs, payload
 
 
+_CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,16})[ \t]*(?:;[^\r\n]*)?\r\n")
+
+
+def unchunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while m := _CHUNK.match(data, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        at = m.end() + size
+        if at < len(data) and not b"\r\n".startswith(data[at : at + 2]):
+            break
+        out.append(data[m.end() : at])
+        at += 2
+    return b"".join(out) if out else data
+
+
+def inflated(data: bytes, kinds: tuple[int, ...]) -> bytes:
+    """``data`` decompressed by the first of zlib's window kinds that fits, all members of it."""
+    for kind in kinds:
+        out, rest, whole = [], data, False
+        while rest:
+            z, at = zlib.decompressobj(kind), 0
+            try:
+                while at < len(rest) and not z.eof:
+                    out.append(z.decompress(rest[at : at + 65536]))
+                    at += 65536
+            except zlib.error:
+                break
+            whole |= z.eof
+            rest = z.unused_data + rest[at:] if z.eof else b""
+        if whole or any(out):
+            return b"".join(out)
+    return data
+
+
+def content(headers: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The payload without its transfer and content encodings."""
+    listed = lambda name: [x.strip().lower() for k, v in headers if k.lower() == name for x in v.split(",")]
+    for kind in [*listed("transfer-encoding")[::-1], *listed("content-encoding")[::-1]]:
+        if kind == "chunked":
+            payload = unchunked(payload)
+        elif kind in ("gzip", "x-gzip"):
+            payload = inflated(payload, (31,))
+        elif kind == "deflate":
+            payload = inflated(payload, (15, -15))
+        elif kind not in ("", "identity"):
+            try:
+                payload.decode()
+            except UnicodeDecodeError:
+                return b""
+    return payload
+
+
 def decoded(headers: list[tuple[str, str]], payload: bytes) -> str:
     """The payload as text, by the declared character set, else UTF-8."""
     declared = next((v for k, v in headers if k.lower() == "content-type"), "")
@@ -81,14 +141,15 @@ def record(kind: str, record_id: str, date: str, target: str | None, content_typ
     return ("WARC/1.1" + LINE + "".join(f"{k}: {v}{LINE}" for k, v in head) + LINE).encode() + block + b"\r\n\r\n"
 
 
-def derive_one(record_id: str, target: str | None, date: str, block: bytes) -> list[dict]:
-    """The metadata and the conversion record of one response."""
+def derive_one(record_id: str, target: str | None, date: str, block: bytes, stated: str = "") -> list[dict]:
+    """The metadata and the conversion record of one response; ``stated`` are its WARC header lines."""
     status, headers, payload = split_http(block)
-    page = decoded(headers, payload)
+    page = decoded(headers, content(headers, payload))
     text = "\n".join(b.text for b in text_blocks(page)).encode()
     title = _TITLE.search(page)
     source = [("source-block-digest", digest(block)), ("source-payload-digest", digest(payload))]
     metadata_id, conversion_id = (record_name(record_id, kind) for kind in ("metadata", "conversion"))
+    source += [(f"source-{k.strip().lower()}", v) for k, _, v in (x.partition(":") for x in stated.split(LINE)) if k.strip().lower().startswith("warc-")]
     fields = [*source, ("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in headers)]
     fields += [("title", entities.unescape(title[1])) if title else ("title", ""), ("conversion", f"<{conversion_id}>")]
     about = "".join(f"{k}: {_line(v)}{LINE}" for k, v in fields).encode()
@@ -123,22 +184,25 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def derivatives(sources: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Two rows per response, metadata and conversion, with the columns in ``keep`` before them."""
+    """Two rows per response, metadata and conversion, with the columns in ``keep`` before them.
+    WARC header lines of the responses are taken from ``warc_headers`` if there is such a column."""
     keep = keep or []
     kept = [f for f in sources.schema.fields if f.name in keep]
     names = [*(f.name for f in kept), *(x.split()[0] for x in DERIVED.split(", "))]
+    stated = ["warc_headers"] if "warc_headers" in sources.columns else []
+    inputs = ["record_id", "target_uri", "date", "block", *stated]
 
     def run(batches):
         for batch in blocks(batches, "block"):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "block")))
-            found = [d for record_id, target, date, block in rows for d in derive_one(record_id or record_name("", target or ""), target, date or DATE, block or b"")]
+            rows = zip(*(batch.column(c).to_pylist() for c in inputs))
+            found = [d for record_id, target, date, block, *more in rows for d in derive_one(record_id or record_name("", target or ""), target, date or DATE, block or b"", *(x or "" for x in more))]
             twice = pa.array([i for i in range(batch.num_rows) for _ in range(2)], pa.int64())
             cols = [*(batch.column(f.name).take(twice) for f in kept)]
             cols += [pa.array([d[n] for d in found], pa.int64() if n == "content_length" else pa.binary() if n == "record" else pa.string()) for n in names[len(kept) :]]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return map_arrow(sources.select(*(f.name for f in kept), "record_id", "target_uri", "date", "block"), run, head + DERIVED)
+    return map_arrow(sources.select(*(f.name for f in kept), *(c for c in inputs if c not in keep)), run, head + DERIVED)
 
 
 def write_records(records: DataFrame, path: str, compression: str = "none") -> None:
@@ -150,16 +214,21 @@ def write_records(records: DataFrame, path: str, compression: str = "none") -> N
 
 def parse(data: bytes) -> list[tuple[dict, bytes]]:
     """(headers, block) of the records in a WARC file's bytes."""
+    return [(head, block) for head, block, _ in _records(data)]
+
+
+def _records(data: bytes) -> list[tuple[dict, bytes, str]]:
+    """(headers, block, header lines in one text) of the records; a folded line is joined to its header."""
     out, at = [], 0
     while True:
         at = data.find(b"WARC/", at)
         end = data.find(b"\r\n\r\n", at) if at >= 0 else -1
         if end < 0:
             return out
-        lines = data[at:end].decode("utf-8", "replace").split(LINE)[1:]
+        lines = re.sub(r"\r\n[ \t]+", " ", data[at:end].decode("utf-8", "replace")).split(LINE)[1:]
         head = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines if ":" in line)}
         size = int(head.get("content-length", 0))
-        out.append((head, data[end + 4 : end + 4 + size]))
+        out.append((head, data[end + 4 : end + 4 + size], LINE.join(lines)))
         at = end + 4 + size
 
 
@@ -170,12 +239,12 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for data in batch.column("content").to_pylist():
-                found = [(h, b) for h, b in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data) if h.get("warc-type") == "response"]
-                cols = [[h.get("warc-record-id", "").strip("<>") for h, _ in found], [h.get("warc-target-uri") for h, _ in found], [h.get("warc-date") for h, _ in found]]
-                arrays = [*(pa.array(c, pa.string()) for c in cols), pa.array([b for _, b in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["record_id", "target_uri", "date", "block"])
+                found = [(h, b, x) for h, b, x in _records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data) if h.get("warc-type") == "response"]
+                cols = [[h.get("warc-record-id", "").strip("<>") for h, *_ in found], [h.get("warc-target-uri") for h, *_ in found], [h.get("warc-date") for h, *_ in found]]
+                arrays = [*(pa.array(c, pa.string()) for c in cols), pa.array([b for _, b, _ in found], pa.binary()), pa.array([x for *_, x in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["record_id", "target_uri", "date", "block", "warc_headers"])
 
-    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), run, RESPONSE)
+    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), run, RESPONSE + ", warc_headers string")
 
 
 def response_records(sources: DataFrame) -> DataFrame:

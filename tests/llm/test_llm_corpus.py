@@ -1,10 +1,12 @@
 """Passages, tokens, WARC, preference pairs, set join and the pipeline: brute force and edge cases."""
 
 import base64
+import gzip
 import hashlib
 import json
 import random
 import uuid
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -233,6 +235,31 @@ def test_warc_derivatives_are_linked(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_encodings_and_headers_of_real_files(spark, tmp_path):
+    page = "<html><title>T é</title><body><p>Hello world</p></body>".encode()
+    raw = zlib.compressobj(wbits=-15)
+    sent = {"gzip": gzip.compress(page[:20]) + gzip.compress(page[20:]), "deflate": zlib.compress(page), "Deflate": raw.compress(page) + raw.flush(), "identity": page}
+    chunked = lambda b: b"".join(b"%x;e=1\r\n%b\r\n" % (len(b[i : i + 7]), b[i : i + 7]) for i in range(0, len(b), 7)) + b"0\r\n\r\n"
+    cases = [(k, "chunked" if c else "", chunked(b) if c else b) for k, b in sent.items() for c in (False, True)]
+    cases += [("gzip", "chunked", page), ("br", "", page)]  # undone already by the crawler
+    more = [("WARC-Payload-Digest", "sha1:STATED"), ("WARC-IP-Address", "192.0.2.1"), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>")]
+    with open(tmp_path / "real.warc", "wb") as f:
+        for i, (encoding, transfer, body) in enumerate(cases):
+            head = f"HTTP/1.1 200 OK\r\nContent-Encoding: {encoding}\r\n" + (f"Transfer-Encoding: {transfer}\r\n" if transfer else "") + "\r\n"
+            f.write(warc.record("response", f"urn:r{i}", warc.DATE, "u", "application/http; msgtype=response", head.encode() + body, more))
+    made = warc.derivatives(warc.read_responses(spark, str(tmp_path / "real.warc"))).collect()
+    assert len(made) == 2 * len(cases)
+    for r in made:
+        (_, body), = warc.parse(bytes(r.record))
+        if r.record_type == "conversion":
+            assert body.decode() == "Hello world", r.response_id
+        else:
+            fields = [tuple(x.split(": ", 1)) for x in body.decode().split("\r\n") if ": " in x]
+            assert ("title", "T é") in fields and {(f"source-{k.lower()}", v) for k, v in more} <= set(fields)
+    assert warc.content([("Content-Encoding", "br")], b"\x8b\xff\x00") == b"" and warc.inflated(gzip.compress(b""), (31,)) == b"" and warc.unchunked(b"5\r\nab") == b"ab"
+    assert "record" in registered.queries()["op6_warc_derivatives"](spark, SF).columns
+
+
 # ---- set join ----
 
 

@@ -30,11 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meterkit.llm.common import blocks, fields, map_arrow, texts_of
+from meterkit.llm.common import blocks, fields, kept_state, map_arrow, texts_of
 
 VOCAB_BYTES = 64 << 20
 CHUNK_BYTES = 256 << 10  # of distinct pieces in one recursive query; a longer piece stands alone
-CACHE_BYTES = 60 << 20  # of remembered pieces with their ids and bytes, twice at most
+CACHE_BYTES = 30 << 20  # of remembered pieces with their ids and bytes, twice at most
 SHORT = 64
 BLOCK = 4 << 20  # bytes of text whose new pieces go into the queries together
 DECODE = """
@@ -176,19 +176,16 @@ class Encoder:
             self.cache.update(zip(new, zip(map(len, coded), (" ".join(map(str, ids)) for ids in coded), self.decode_rows(coded))))
             self.size += sum(8 * len(p) + 300 for p in new)
 
+    def close(self) -> None:
+        self.db.close()
+
     def pieces_of(self, text: str) -> list[str]:
         return self.split(text)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encoder(key: str, shared, pattern: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value, pattern)
-    return _ENCODERS[key]
+    """One encoder per Python worker and vocabulary, until another operator starts there."""
+    return kept_state(key, lambda: Encoder(shared.value, pattern))
 
 
 def _share(df: DataFrame, path: str, pattern: str):
@@ -218,7 +215,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", name:
             ids = [np.fromstring(" ".join(encoder.cache[p][1] for p in row), np.int32, sep=" ") for row in cut]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*block.schema.names, name])
 
-    return map_arrow(df, run, f"{fields(df)}, `{name}` array<int>")
+    return map_arrow(df, run, f"{fields(df)}, `{name}` array<int>", state=key)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
@@ -234,7 +231,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", name: s
             out = [None if x is None else next(raw) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, name])
 
-    return map_arrow(df, run, f"{fields(df)}, `{name}` binary")
+    return map_arrow(df, run, f"{fields(df)}, `{name}` binary", state=key)
 
 
 def token_digests(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -260,4 +257,4 @@ def token_digests(df: DataFrame, path: str, pattern: str, text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=names)
 
     head = f"{fields(rest)}, " if keep else ""
-    return map_arrow(df, run, f"{head}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(df, run, f"{head}n_tokens long, ids_sha256 string, decoded_sha256 string", state=key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -41,15 +43,47 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of bounded size, also for column names that hold dots."""
+_KEPT: dict = {}  # in a Python worker: what one operator keeps between tasks
+
+
+def kept_state(key: str, build):
+    """What ``build`` makes, kept by this Python worker under ``key`` until another operator starts in it."""
+    if key not in _KEPT:
+        drop_state()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def drop_state(but: str | None = None) -> None:
+    """Close and forget what this worker keeps, unless under the key ``but``, and give free memory back."""
+    gone = [k for k in _KEPT if k != but]
+    for key in gone:
+        state = _KEPT.pop(key)
+        if hasattr(state, "close"):
+            state.close()
+        del state
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+
+def map_arrow(df: DataFrame, fn, schema: str, state: str | None = None) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size, also for column names that hold dots. A worker that
+    starts ``fn`` first drops what other operators keep in it (all but ``state``): workers are used
+    again, and an operator's memory must not add to the next one's."""
     bound_batches(df.sparkSession)
     importable(df.sparkSession)
     names = df.columns
-    if not any("." in n or "`" in n for n in names):
-        return df.mapInArrow(fn, schema)
-    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    return plain.mapInArrow(lambda batches: fn(b.rename_columns(names) for b in batches), schema)
+    plain = any("." in n or "`" in n for n in names)
+
+    def run(batches):
+        drop_state(state)
+        yield from fn((b.rename_columns(names) for b in batches) if plain else batches)
+
+    return (df.toDF(*(f"c{i}" for i in range(len(names)))) if plain else df).mapInArrow(run, schema)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

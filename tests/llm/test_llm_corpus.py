@@ -441,3 +441,25 @@ def test_fresh_names(spark):
 def test_pipeline_module_is_plain():
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in registered.queries() and "pipeline" not in registered.oracle_sql()
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+# ---- what workers keep ----
+
+
+def test_an_operator_drops_what_another_kept():
+    from meterkit.llm import common
+
+    closed = []
+
+    class Thing:
+        def close(self):
+            closed.append(1)
+
+    common.drop_state()
+    first = common.kept_state("a", Thing)
+    assert common.kept_state("a", Thing) is first and not closed
+    common.drop_state("a")
+    assert common.kept_state("a", Thing) is first
+    assert common.kept_state("b", Thing) is not first and closed == [1] and list(common._KEPT) == ["b"]
+    common.drop_state()
+    assert not common._KEPT and closed == [1, 1]

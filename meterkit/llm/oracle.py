@@ -67,6 +67,50 @@ SELECT doc_id, len(ws)::BIGINT n_words, coalesce(h.n, 0) n_hit, coalesce(t.n, 0)
   coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def ranked_search(k: int = 10) -> str:
+    split = f"regexp_extract_all({LOWER}, '{TERM}')"
+    return f"""WITH d AS (SELECT row_number() OVER () r, doc_id, {split} ws FROM documents),
+tok AS (SELECT r, t, count(*) tf FROM (SELECT r, unnest(ws) t FROM d) GROUP BY r, t),
+s AS (SELECT count(*) n_docs, sum(len(ws))::BIGINT n_terms FROM d WHERE len(ws) > 0),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT w FROM tok, s GROUP BY t),
+i AS (SELECT row_number() OVER () q, item_id, ws FROM (SELECT DISTINCT item_id, text FROM benchmark) x, LATERAL (SELECT {split.replace('text', 'x.text')} ws)),
+it AS (SELECT q, t, count(*) times FROM (SELECT q, unnest(ws) t FROM i) GROUP BY q, t),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(ws)::BIGINT * n_docs) // n_terms m FROM d, s WHERE len(ws) > 0),
+p AS (SELECT q, r, any_value(doc_id) doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT score
+  FROM it JOIN w USING (t) JOIN tok USING (t) JOIN m USING (r) GROUP BY q, r)
+SELECT item_id, rank::INT rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) rank FROM p WHERE score > 0)
+  JOIN i USING (q) WHERE rank <= {k}"""
+
+
+def collocations(least: int = 100, top: int = 2000) -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {n} k, unnest(list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i : i + {n} - 1], ' '))) phrase FROM p WHERE len(ws) >= {n}" for n in range(1, 6)
+    )
+    cuts = " UNION ALL ".join(
+        f"SELECT lang, phrase, a, {k} cut, array_to_string(string_split(phrase, ' ')[1:{k}], ' ') x, array_to_string(string_split(phrase, ' ')[{k + 1}:], ' ') y FROM c WHERE k > {k}" for k in range(1, 5)
+    )
+    inner = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(string_split(phrase, ' ')[{i} : {i + m - 1}], ' ') phrase, a FROM c WHERE k > {m} AND k >= {i + m - 1}" for m in range(2, 5) for i in range(1, 7 - m)
+    )
+    return f"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') ws FROM (SELECT coalesce(lang, 'und') lang,
+  unnest(regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]')) piece FROM documents)),
+f AS MATERIALIZED (SELECT lang || chr(10) || phrase ident, any_value(lang) lang, any_value(k) k, any_value(phrase) phrase, count(*) f FROM ({grams}) GROUP BY ident),
+t AS (SELECT lang, sum(f)::BIGINT n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, f a FROM f WHERE k > 1 AND f >= {least}),
+e AS MATERIALIZED (SELECT ident, f FROM f WHERE f >= {least}),
+u AS MATERIALIZED (SELECT u.*, x.f l FROM ({cuts}) u JOIN e x ON x.ident = lang || chr(10) || x),
+v AS MATERIALIZED (SELECT u.*, y.f r FROM u JOIN e y ON y.ident = lang || chr(10) || y),
+s AS (SELECT v.*, t.n, ((1000::HUGEINT * a * t.n) // (l::HUGEINT * r))::BIGINT score FROM v JOIN t USING (lang)),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, phrase, max(a) longer FROM ({inner}) GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) rank FROM kept) WHERE rank <= {top}"""
+
+
 def repeated_passages() -> str:
     unit = UNIT.replace("\n", "\\n")
     return f"""WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '{unit}') us FROM documents),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from meterkit.llm.chat import CLOSE, END, OPEN, PARTS, TRAINED
 from meterkit.llm.lines import MIN_WORDS as RUN_WORDS
 from meterkit.llm.lines import UNIT
+from meterkit.llm.spots import ANCHORS, DIGITS
 from meterkit.llm.quality import COVERS, DUP_PERCENT, LINE_PERCENT, MIN_WORDS, TOP_PERCENT
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,6 +112,31 @@ kept AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL
 SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) rank FROM kept) WHERE rank <= {top}"""
 
 
+def fingerprints() -> str:
+    anchors = ", ".join(f"'{w.decode()}'" for w in sorted(ANCHORS))
+    split = f"regexp_extract_all({LOWER}, '{TERM}')"
+    near = "CASE WHEN {0} = 0 AND {1} = 0 THEN 1 ELSE {2}::DOUBLE / ({0} + {1} - {2}) END"
+    return f"""WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') text, length(coalesce(text, '')) n FROM documents),
+o AS (SELECT *, coalesce(lead(r) OVER w, first_value(r) OVER w) nr, coalesce(lead(text) OVER w, first_value(text) OVER w) nt FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, r)),
+e AS (SELECT r, doc_id, n, nr, text, substring(text, 1, n - n // 3) || substring(nt, 1, n // 3) edited FROM o),
+x AS (SELECT r, side, {split} ws FROM (SELECT r, 'own' side, text FROM e UNION ALL SELECT r, 'edited', edited FROM e)),
+w AS (SELECT r, side, i, w, w IN ({anchors}) anchor, sum((w NOT IN ({anchors}))::INT) OVER (PARTITION BY r, side ORDER BY i) c
+  FROM (SELECT r, side, unnest(ws) w, generate_subscripts(ws, 1) i FROM x)),
+c AS (SELECT r, side, c, w FROM w WHERE NOT anchor),
+g AS (SELECT w.r, w.side, w.w || ':' || a.w || coalesce(':' || b.w, '') sig FROM w JOIN c a ON a.r = w.r AND a.side = w.side AND a.c = w.c + 1
+  LEFT JOIN c b ON b.r = w.r AND b.side = w.side AND b.c = w.c + 2 WHERE w.anchor OR md5(w.w)[1] = '0'
+  UNION ALL SELECT r, side, '^:' || array_to_string(ws[1:2], ':') FROM x WHERE len(ws) > 0),
+h AS MATERIALIZED (SELECT DISTINCT r, side, substring(md5(sig), 1, {DIGITS}) h FROM g),
+f AS (SELECT r, side, count(*) n, string_agg(h, '' ORDER BY h) f FROM h GROUP BY r, side),
+ee AS (SELECT a.r, count(*) eq FROM h a JOIN h b ON a.r = b.r AND a.h = b.h WHERE a.side = 'own' AND b.side = 'edited' GROUP BY a.r),
+en AS (SELECT a.r, count(*) eq FROM h a JOIN e USING (r) JOIN h b ON b.r = e.nr AND a.h = b.h WHERE a.side = 'own' AND b.side = 'own' GROUP BY a.r),
+s AS (SELECT e.*, coalesce(o.n, 0) own_n, coalesce(x.n, 0) edited_n, coalesce(t.n, 0) next_n, coalesce(o.f, '') own_f, coalesce(x.f, '') edited_f, coalesce(ee.eq, 0) be, coalesce(en.eq, 0) bn
+  FROM e LEFT JOIN f o ON o.r = e.r AND o.side = 'own' LEFT JOIN f x ON x.r = e.r AND x.side = 'edited' LEFT JOIN f t ON t.r = e.nr AND t.side = 'own'
+  LEFT JOIN ee ON ee.r = e.r LEFT JOIN en ON en.r = e.r)
+SELECT doc_id, n n_chars, sha256(edited) edited_sha256, own_f fingerprint, edited_f edited_fingerprint, {near.format("own_n", "edited_n", "be")} near_edited,
+  {near.format("own_n", "next_n", "bn")} near_next, own_n n_signatures FROM s"""
+
+
 def repeated_passages() -> str:
     unit = UNIT.replace("\n", "\\n")
     return f"""WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '{unit}') us FROM documents),

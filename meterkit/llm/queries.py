@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterkit.llm import bpe, chat, collocations, decontam, htmltext, jaccard, langid, lines, oracle, pii, quality, rank, warc
+from meterkit.llm import bpe, chat, collocations, decontam, htmltext, jaccard, langid, lines, oracle, pii, quality, rank, spots, warc
 from meterkit.llm.common import table
 
 
@@ -79,6 +79,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_main_text, op3_repeated_passages, op4_byte_bpe, op5_language_id, op6_warc_derivatives, op7_preference_format, op8_decontamination, op9_ngram_jaccard, op10_personal_data, op11_ranked_search, op12_collocations, pipeline)}
+    return {f.__name__: f for f in (op1_repetition, op2_main_text, op3_repeated_passages, op4_byte_bpe, op5_language_id, op6_warc_derivatives, op7_preference_format, op8_decontamination, op9_ngram_jaccard, op10_personal_data, op11_ranked_search, op12_collocations, op13_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -98,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_ngram_jaccard": oracle.ngram_jaccard(),
         "op11_ranked_search": oracle.ranked_search(),
         "op12_collocations": oracle.collocations(),
+        "op13_fingerprints": oracle.fingerprints(),
     }

@@ -38,12 +38,20 @@ def _parsed_rows(parsed: DataFrame, *cols: Column) -> DataFrame:
     return parsed.select(F.inline(F.array(F.struct(*cols))))
 
 
+def _payload(messages: DataFrame, reason: Column) -> list[Column]:
+    """The message of a rejected row, as it came if the source kept its text (``raw``), else as JSON."""
+    fields = [c for c in messages.columns if c not in ("ingest_at", "raw")]
+    whole = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return [F.when(reason.isNotNull(), F.coalesce(F.col("raw"), whole) if "raw" in messages.columns else whole).alias("payload")]
+
+
 def _position(messages: DataFrame) -> list[Column]:
     return [F.col("ingest_at")] if "ingest_at" in messages.columns else []
 
 
-def parse_event_messages(messages: DataFrame) -> DataFrame:
-    """V1/V4: typed usage events with a ``reason`` column (NULL = valid).
+def parse_event_messages(messages: DataFrame, payload: bool = False) -> DataFrame:
+    """V1/V4: typed usage events with a ``reason`` column (NULL = valid), and with ``payload`` the
+    whole message of a rejected row.
 
     Times: ISO-8601 text, naive = UTC, offsets converted. Checks in order: uuid, missing
     fields, unparseable time, event_start > event_end, bad user (an empty user is NULL).
@@ -74,11 +82,12 @@ def parse_event_messages(messages: DataFrame) -> DataFrame:
         F.col("ingest_seq"),
         *_position(messages),
         reason.alias("reason"),
+        *(_payload(messages, reason) if payload else []),
     )
 
 
-def parse_sample_messages(messages: DataFrame) -> DataFrame:
-    """V2: typed rate samples with a ``reason`` column (NULL = valid)."""
+def parse_sample_messages(messages: DataFrame, payload: bool = False) -> DataFrame:
+    """V2: typed rate samples with a ``reason`` column (NULL = valid); ``payload`` as for events."""
     parsed = messages.select(
         "*",
         canonical_uuid(F.col("uuid")).alias("_uid"),
@@ -102,16 +111,19 @@ def parse_sample_messages(messages: DataFrame) -> DataFrame:
         F.col("ingest_seq"),
         *_position(messages),
         reason.alias("reason"),
+        *(_payload(messages, reason) if payload else []),
     )
 
 
 def valid(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("reason").isNull()).drop("reason")
+    return parsed.filter(F.col("reason").isNull()).drop("reason", "payload")
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
-    """V3: rejected rows with their reason; never retried."""
-    return parsed.filter(F.col("reason").isNotNull()).select("uuid", "ingest_seq", "reason")
+    """V3: rejected rows with their reason; never retried. Rows parsed with their payload keep it, with
+    its digest: two different bad messages are two rows also where neither has an id or a position."""
+    kept = ["payload", F.sha2("payload", 256).alias("digest")] if "payload" in parsed.columns else []
+    return parsed.filter(F.col("reason").isNotNull()).select("uuid", "ingest_seq", "reason", *kept)
 
 
 def stub_item_id(sku: Column) -> Column:
@@ -147,6 +159,8 @@ def first_wins(
     parse, which would evaluate the parse twice."""
     keys = [key] if isinstance(key, str) else list(key)
     order = [(_position(rows) or [F.col("ingest_seq")])[0].asc()]
+    if "ingest_at" in rows.columns:  # unnumbered messages may share a position: their content decides, also on a replay
+        order.append(F.xxhash64(*[c for c in rows.columns if c != "ingest_at"]).asc())
     if reason is not None:
         order = [F.col(reason).isNotNull().asc()] + order
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -154,18 +168,20 @@ def first_wins(
     cond = F.col("_rn") == 1
     if reason is not None:
         cond = cond & F.col(reason).isNull()
-    first = first.filter(cond).drop("_rn", "ingest_at", *([reason] if reason else []))
+    first = first.filter(cond).drop("_rn", "ingest_at", "payload", *([reason] if reason else []))
     if stored is not None:
         first = first.join(stored.select(*keys), keys, "left_anti")
     return first
 
 
-def ingest_events(messages: DataFrame, items: DataFrame, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+def ingest_events(
+    messages: DataFrame | None, items: DataFrame, stored: DataFrame | None = None, parsed: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """R1 batch body: parse → validate → first wins → stub items → rows to append.
 
     Returns ``events`` (billing_event rows to append), ``stubs`` (items to add) and
-    ``quarantine``."""
-    parsed = parse_event_messages(messages)
+    ``quarantine``. ``parsed``: the messages parsed already."""
+    parsed = parse_event_messages(messages) if parsed is None else parsed
     good = first_wins(parsed, "uuid", stored, reason="reason")
     stubs = stub_items(good, items)
     with_item = resolve_items(good, items).withColumn(
@@ -175,9 +191,11 @@ def ingest_events(messages: DataFrame, items: DataFrame, stored: DataFrame | Non
     return {"events": events, "stubs": stubs, "quarantine": quarantine(parsed)}
 
 
-def ingest_samples(messages: DataFrame, items: DataFrame, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+def ingest_samples(
+    messages: DataFrame | None, items: DataFrame, stored: DataFrame | None = None, parsed: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """R3 batch body (storage part): samples to append, stub items, quarantine."""
-    parsed = parse_sample_messages(messages)
+    parsed = parse_sample_messages(messages) if parsed is None else parsed
     good = first_wins(parsed, "uuid", stored, reason="reason")
     stubs = stub_items(good, items)
     with_item = resolve_items(good, items).withColumn(
@@ -187,12 +205,14 @@ def ingest_samples(messages: DataFrame, items: DataFrame, stored: DataFrame | No
     return {"samples": samples, "stubs": stubs, "quarantine": quarantine(parsed)}
 
 
-def workspace_quarantine(messages: DataFrame) -> DataFrame:
+def workspace_quarantine(messages: DataFrame, payload: bool = False) -> DataFrame:
     """V3 for workspace settings: messages without a name or with an account that is no id."""
     reason = F.when(_blank_to_null(F.col("name")).isNull(), F.lit("missing_field")).when(
         canonical_uuid(F.col("account")).isNull(), F.lit("bad_account")
     )
-    return messages.select("name", "account", "ingest_seq", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    kept = _payload(messages, reason) if payload else []
+    bad = messages.select("name", "account", "ingest_seq", reason.alias("reason"), *kept).filter(F.col("reason").isNotNull())
+    return bad.withColumn("digest", F.sha2("payload", 256)) if payload else bad
 
 
 def workspace_map(messages: DataFrame, stored: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ lookup of ``usage_query(after=...)``.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,13 @@ def period_bounds(ts: Column, period: str) -> tuple[Column, Column]:
     raise ValueError(f"unknown time aggregation {period!r}")
 
 
+def period_end(start: dt.datetime, period: str) -> dt.datetime:
+    """The end of the day or month that begins at ``start``."""
+    if period == "day":
+        return start + dt.timedelta(days=1)
+    return (start.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
+
+
 def aggregate_usage(events: DataFrame, period: str) -> DataFrame:
     """A1/A2: totals per (period, item, workspace); uuid is the largest uuid text of the group,
     user is NULL. An event counts wholly in the period of its start."""
@@ -75,18 +84,24 @@ def page_size(limit: int | None) -> int:
     return limit or API_PAGE_SIZE
 
 
-def _find_cursor(events: DataFrame, items: DataFrame, after: str, period: str | None) -> dict:
+def _find_cursor(source, items: DataFrame, after, period: str | None) -> dict:
     """Q8: the order keys of the row named by ``after``, looked up among all rows, whatever the
-    other filters are. An aggregated row's uuid is that of one of its events, so only that
-    event's own group is aggregated."""
-    row = events.filter(F.col("uuid") == after)
+    other filters are. A store finds the uuid through its ledger. An aggregated row's uuid is that
+    of one of its events, so only that event's own group is aggregated. A row of an earlier page
+    (a Row or dict with the order keys) is its own cursor and is not looked up."""
+    if not isinstance(after, str):
+        keys = after.asDict() if hasattr(after, "asDict") else dict(after)
+        return {k: keys[k] for k in ORDER_KEYS}
+    stored = not isinstance(source, DataFrame)
+    row = source.find("billing_event", after) if stored else source.filter(F.col("uuid") == after)
     if period is not None:
         start, _ = period_bounds(F.col("event_start"), period)
         event = row.select(start.alias("start"), "item_id", "workspace").limit(1).collect()
         if event:
             g = event[0]
-            group = events.filter((start == F.lit(g.start)) & F.col("item_id").eqNullSafe(g.item_id) & F.col("workspace").eqNullSafe(g.workspace))
             lo, hi = period_bounds(F.lit(g.start), period)
+            group = source.read("billing_event", time_from=g.start, time_until=period_end(g.start, period)) if stored else source
+            group = group.filter((start == F.lit(g.start)) & F.col("item_id").eqNullSafe(g.item_id) & F.col("workspace").eqNullSafe(g.workspace))
             group = group.filter((F.col("event_start") >= lo) & (F.col("event_start") < hi))
             row = aggregate_usage(group, period).filter(F.col("uuid") == after)
     found = with_sku(row, items).select(*ORDER_KEYS).limit(1).collect()
@@ -104,7 +119,7 @@ def usage_query(
     account: str | None = None,
     start=None,
     end=None,
-    after: str | None = None,
+    after=None,
     limit: int | None = FUNCTION_PAGE_SIZE,
     time_aggregation: str | None = None,
     mode: str = "contained",
@@ -115,8 +130,9 @@ def usage_query(
     ``start``/``end`` select events contained in the range (``event_start >= start`` and
     ``event_end < end``); ``mode="overlap"`` selects events overlapping it instead (Q4x).
     With ``time_aggregation`` the filters, order, limit and cursor apply to the aggregated
-    rows. ``events`` is the event table or a ``TableStore`` holding it, whose month partitions
-    the range then prunes. ``limit=None`` returns every matching row (a bare call returns one page); it is sorted only with ``ordered=True``
+    rows. ``events`` is the event table, or a ``TableStore`` or ``Snapshot`` holding it, whose month
+    partitions the range then prunes; pages of one pinned snapshot agree with each other. ``after``
+    is the uuid of an earlier row, or that row itself (no look-up). ``limit=None`` returns every matching row (a bare call returns one page); it is sorted only with ``ordered=True``
     (a full sort of a fact table is a range shuffle of all of it, so it is opt-in when no
     page size bounds the result).
     """
@@ -134,15 +150,15 @@ def usage_query(
 
     columns = ["uuid", "event_start", "event_end", "item_id", "user", "workspace", "quantity"]
     if isinstance(events, DataFrame):
-        every = raw = events.select(*columns)
+        source = raw = events.select(*columns)
     else:
         # a table store: the range prunes month partitions. An overlapping event can have started
         # at any time before the range, so only its upper side prunes then; an aggregated row
         # overlaps with its whole period, which reaches past the range's end
-        every = events.read("billing_event").select(*columns)
+        source = events.snapshot() if hasattr(events, "snapshot") else events
         lower = start if mode == "contained" else None
         upper = end if mode == "contained" or period is None else None
-        raw = events.read("billing_event", time_from=lower, time_until=upper).select(*columns)
+        raw = source.read("billing_event", time_from=lower, time_until=upper).select(*columns)
     # workspace and account are grouping keys, so filtering raw rows first is exact
     if workspace is not None:
         raw = raw.filter(F.col("workspace") == workspace)
@@ -171,7 +187,7 @@ def usage_query(
         rows = rows.filter(F.col("event_end") < end_c if mode == "contained" else F.col("event_start") < end_c)
 
     if after is not None:
-        rows = _keyset_after(rows, _find_cursor(every, items, after, period))
+        rows = _keyset_after(rows, _find_cursor(source, items, after, period))
 
     rows = rows.select(*EVENT_COLUMNS)
     if limit is not None:

@@ -56,7 +56,16 @@ ESTIMATE_STATE = _s(
     ("sample_time", TS, True),
     ("rate", DoubleType(), True),
 )
-QUARANTINE = _s(("uuid", StringType(), True), ("ingest_seq", LongType(), True), ("reason", StringType(), False))
+# rejected messages: the message as it came (JSON) and the digest of that text, which with the position names it
+QUARANTINE = _s(("uuid", StringType(), True), ("ingest_seq", LongType(), True), ("reason", StringType(), False), ("payload", StringType(), True), ("digest", StringType(), True))
+WORKSPACE_QUARANTINE = _s(
+    ("name", StringType(), True),
+    ("account", StringType(), True),
+    ("ingest_seq", LongType(), True),
+    ("reason", StringType(), False),
+    ("payload", StringType(), True),
+    ("digest", StringType(), True),
+)
 
 # messages as they arrive (text fields); ingest_seq is the source position
 EVENT_MESSAGE = _s(
@@ -94,5 +103,6 @@ TABLES = {
     "rate_sample": RATE_SAMPLE,
     "event_quarantine": QUARANTINE,
     "sample_quarantine": QUARANTINE,
+    "workspace_quarantine": WORKSPACE_QUARANTINE,
     "estimate_state": ESTIMATE_STATE,
 }

@@ -58,21 +58,16 @@ def config_frames(doc: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_config(store, items_cfg: DataFrame, prices_cfg: DataFrame, configured_at) -> DataFrame:
-    """Items first, then prices; nothing is written when any price row is rejected.
-    Returns the rejects (empty when the load was applied)."""
-    items = catalog.upsert_items(store.read("billing_item"), items_cfg)
-    items = _materialise(store, items, "billing_item")
-    table, rejects = catalog.apply_price_config(store.read("billing_item_price"), items, prices_cfg, configured_at)
-    if rejects.limit(1).count() > 0:
-        return rejects
-    # both new versions are written before the first of them becomes current
-    store.replace_all({"billing_item": items, "billing_item_price": table})
-    return rejects
+    """Items first, then prices, in one commit; nothing is written when any price row is
+    rejected. Returns the rejects (empty when the load was applied)."""
 
+    def body(tx) -> DataFrame:
+        items = catalog.upsert_items(tx.read("billing_item"), items_cfg)
+        table, rejects = catalog.apply_price_config(tx.read("billing_item_price"), items, prices_cfg, configured_at)
+        rejects = store.spark.createDataFrame(rejects.collect(), rejects.schema)  # at most the configuration's rows
+        if rejects.isEmpty():
+            tx.replace("billing_item", items)
+            tx.replace("billing_item_price", table)
+        return rejects
 
-def _materialise(store, df: DataFrame, name: str) -> DataFrame:
-    """Write a staged copy in the shared store folder so later steps do not re-read a table
-    that is about to be replaced."""
-    path = f"{store.root}/_staging/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return store.spark.read.parquet(path)
+    return store.run(body)

@@ -16,8 +16,6 @@ stored but closed windows are not re-estimated (R5), which ``estimate_drift`` au
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ from meterkit import schemas
 from meterkit.functions import HOUR_US, floor_div, from_us, to_us
 from meterkit.operators import ingest, timeseries
 from meterkit.session import scratch_path
-from meterkit.sources.tables import TableStore
+from meterkit.sources.tables import Snapshot, TableStore, Transaction
 
 KEYS = ["workspace", "item_id"]
 
@@ -59,9 +57,15 @@ def read_kafka_stream(spark: SparkSession, servers: str, topic: str, schema, **o
         .options(**options)
         .load()
     )
+    return _broker_messages(raw, schema)
+
+
+def _broker_messages(raw: DataFrame, schema) -> DataFrame:
+    """Fields, position and ``raw`` text (for the quarantine) of a broker's messages."""
     fields = [f for f in schema.fieldNames() if f != "ingest_seq"]
-    parsed = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m"), "timestamp", "partition", "offset")
-    return parsed.select(*[F.col("m")[f].alias(f) for f in fields], *_kafka_position())
+    value = F.col("value").cast("string")
+    parsed = raw.select(F.from_json(value, schema).alias("m"), value.alias("raw"), "timestamp", "partition", "offset")
+    return parsed.select(*[F.col("m")[f].alias(f) for f in fields], "raw", *_kafka_position())
 
 
 def _kafka_position() -> tuple[Column, Column]:
@@ -78,25 +82,25 @@ def dedupe_within_watermark(stream: DataFrame, time_col: str, delay: str = "1 da
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["uuid"])
 
 
-def event_arrivals(messages: DataFrame, items: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
+def event_arrivals(messages: DataFrame | None, items: DataFrame, stored: DataFrame, parsed: DataFrame | None = None) -> dict[str, DataFrame]:
     """R1 as a function of (state, batch): ``events`` to append, ``stubs``, ``quarantine``, and
     ``accepted``, the rows of the batch's uuids as they are kept: the stored copy of a uuid
     that arrived before, else its first valid copy in the batch. What is derived from a batch
     (resume points) follows from ``accepted`` and not from a re-sent copy; it is the same on a
     replay. ``stored`` may be the whole table or only the rows of the batch's uuids."""
-    uuids = ingest.valid(ingest.parse_event_messages(messages)).select("uuid").distinct()
-    known = stored.join(uuids, "uuid", "left_semi")
-    out = ingest.ingest_events(messages, items, known)
+    parsed = ingest.parse_event_messages(messages) if parsed is None else parsed
+    known = stored.join(ingest.valid(parsed).select("uuid").distinct(), "uuid", "left_semi")
+    out = ingest.ingest_events(None, items, known, parsed)
     return out | {"accepted": out["events"].unionByName(known.select(*out["events"].columns))}
 
 
-def sample_arrivals(messages: DataFrame, items: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
+def sample_arrivals(messages: DataFrame | None, items: DataFrame, stored: DataFrame, parsed: DataFrame | None = None) -> dict[str, DataFrame]:
     """R3 (storage part) as a function of (state, batch), as ``event_arrivals``; also ``seen``: the
     keys of the batch's valid messages with their latest time, which closes hours (R4)."""
-    uuids = ingest.valid(ingest.parse_sample_messages(messages)).select("uuid").distinct()
-    known = stored.join(uuids, "uuid", "left_semi")
-    out = ingest.ingest_samples(messages, items, known)
-    every = ingest.ingest_samples(messages, items)["samples"]
+    parsed = ingest.parse_sample_messages(messages) if parsed is None else parsed
+    known = stored.join(ingest.valid(parsed).select("uuid").distinct(), "uuid", "left_semi")
+    out = ingest.ingest_samples(None, items, known, parsed)
+    every = ingest.ingest_samples(None, items, parsed=parsed)["samples"]
     seen = every.groupBy(*KEYS).agg(F.max("sample_time").alias("seen"))
     return out | {"accepted": out["samples"].unionByName(known.select(*out["samples"].columns)), "seen": seen}
 
@@ -106,12 +110,9 @@ def resume_moves(accepted: DataFrame) -> DataFrame:
     return accepted.groupBy(*KEYS).agg(F.max("event_end").alias("_end"))
 
 
-class EventBatch:
-    """R1 body: validate, de-duplicate (first wins, not stored yet), stub items, append.
-
-    Each batch is checked against every stored uuid (exact, like a primary key). The batch's
-    uuids are looked up once; the stored rows found are staged and serve the de-duplication
-    and the resume points."""
+class _Batch:
+    """A ``foreachBatch`` body: one transaction of the store, so all its tables change at once, and
+    again from the new snapshot if another stream changed a table it had read."""
 
     def __init__(self, store: TableStore):
         self.store = store
@@ -119,82 +120,76 @@ class EventBatch:
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
         try:
-            store, items = self.store, self.store.read("billing_item")
-            uuids = ingest.valid(ingest.parse_event_messages(batch)).select("uuid").distinct()
-            known = _staged(store, store.read("billing_event").join(uuids, "uuid", "left_semi"), "events-known")
-            out = event_arrivals(batch, items, known)
-            accepted = _staged(store, out["accepted"], "events-accepted")
-            _add_stubs(store, items, out["stubs"], "events-items")
-            store.append("billing_event", accepted.join(known.select("uuid"), "uuid", "left_anti"))
-            _add_quarantine(store, "event_quarantine", out["quarantine"])
-            advance_resume(store, accepted, epoch_id)
+            self.store.run(lambda tx: self.apply(tx, batch))
         finally:
             batch.unpersist()
 
 
-class WorkspaceBatch:
-    """R2 body: first-wins workspace → account rows."""
+class EventBatch(_Batch):
+    """R1 body: validate, de-duplicate (first wins, not stored yet), stub items, append.
 
-    def __init__(self, store: TableStore):
-        self.store = store
+    Each batch is checked against every stored uuid (exact, like a primary key) through the store's
+    ledger: only the batch's buckets are read, and of the events only the months that hold a uuid
+    of the batch."""
 
-    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
-        current = self.store.read("workspace_account")
-        added = ingest.workspace_map(batch, current)
-        if added.limit(1).count() > 0:
-            path = _scratch(self.store, "workspace_account")
-            current.unionByName(added).write.mode("overwrite").parquet(path)
-            self.store.replace("workspace_account", self.store.spark.read.parquet(path))
+    def apply(self, tx: Transaction, batch: DataFrame) -> None:
+        parsed = tx.stage(ingest.parse_event_messages(batch, payload=True), "parsed")
+        known = tx.stage(tx.known("billing_event", ingest.valid(parsed).select("uuid").distinct()), "known")
+        items = tx.read("billing_item")
+        out = event_arrivals(None, items, known, parsed)
+        accepted = tx.stage(out["accepted"], "accepted")
+        _add_stubs(tx, items, out["stubs"])
+        tx.append("billing_event", accepted.join(known.select("uuid"), "uuid", "left_anti"))
+        _add_quarantine(tx, "event_quarantine", out["quarantine"])
+        advance_resume(tx, accepted)
+
+
+class WorkspaceBatch(_Batch):
+    """R2 body: first-wins workspace → account rows; bad messages are quarantined."""
+
+    def apply(self, tx: Transaction, batch: DataFrame) -> None:
+        current = tx.read("workspace_account")
+        added = tx.stage(ingest.workspace_map(batch, current), "added")
+        if not added.isEmpty():
+            tx.replace("workspace_account", current.unionByName(added))
+        _add_quarantine(tx, "workspace_quarantine", ingest.workspace_quarantine(batch, payload=True))
 
 
-class SampleBatch:
+class SampleBatch(_Batch):
     """R3 body: store new samples, then estimate the closed hours of the keys in the batch.
 
     Estimation reads only the batch's accepted samples and the ``estimate_state`` rows of the
     batch's keys (resume point and pending samples), never the sample or event history. A
     store with history but no state is bootstrapped once with ``rebuild_estimate_state``."""
 
-    def __init__(self, store: TableStore):
-        self.store = store
-
-    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            store, items = self.store, self.store.read("billing_item")
-            uuids = ingest.valid(ingest.parse_sample_messages(batch)).select("uuid").distinct()
-            known = _staged(store, store.read("rate_sample").join(uuids, "uuid", "left_semi"), "samples-known")
-            out = sample_arrivals(batch, items, known)
-            accepted = _staged(store, out["accepted"], "samples-accepted")
-            seen = _staged(store, out["seen"], "samples-seen")
-            _add_stubs(store, items, out["stubs"], "samples-items")
-            store.append("rate_sample", accepted.join(known.select("uuid"), "uuid", "left_anti"))
-            _add_quarantine(store, "sample_quarantine", out["quarantine"])
-            estimate_batch(store, accepted, seen, epoch_id)
-        finally:
-            batch.unpersist()
+    def apply(self, tx: Transaction, batch: DataFrame) -> None:
+        parsed = tx.stage(ingest.parse_sample_messages(batch, payload=True), "parsed")
+        known = tx.stage(tx.known("rate_sample", ingest.valid(parsed).select("uuid").distinct()), "known")
+        items = tx.read("billing_item")
+        out = sample_arrivals(None, items, known, parsed)
+        accepted, seen = tx.stage(out["accepted"], "accepted"), tx.stage(out["seen"], "seen")
+        _add_stubs(tx, items, out["stubs"])
+        tx.append("rate_sample", accepted.join(known.select("uuid"), "uuid", "left_anti"))
+        _add_quarantine(tx, "sample_quarantine", out["quarantine"])
+        estimate_batch(tx, accepted, seen)
 
 
-def estimate_batch(store: TableStore, batch_samples: DataFrame, seen: DataFrame, epoch_id: int) -> None:
+def estimate_batch(tx: Transaction, batch_samples: DataFrame, seen: DataFrame) -> None:
     """T6 + T4 for the keys of one micro-batch, from the estimation state.
 
     ``batch_samples`` are the batch's samples as stored, ``seen`` (keys, ``seen``) the latest
     time of a valid message per key: ``upto`` is its hour (R4), also where the message is a
     re-sent copy whose values are not used. Windows run from
     the key's resume point (its latest event end, else the hour of its first sample). New
-    estimates are appended unless their id is stored already (checked within their own time
-    range), then the state moves on; so a replay after a failure at any step adds nothing."""
-    spark = store.spark
+    estimates are appended unless their id is stored already, and the state rows of the batch's keys
+    move on in the same commit; so a replay adds nothing."""
     bs = batch_samples.select(*KEYS, "uuid", "sample_time", "rate")
     upto = seen.select(*KEYS, from_us(floor_div(to_us(F.col("seen")), HOUR_US) * F.lit(HOUR_US)).alias("upto"))
     keys = upto.select(*KEYS)
-    state = store.read("estimate_state")
-    mine = state.join(keys, KEYS, "left_semi")
+    mine = tx.state_of("estimate_state", keys)
     resume_old = mine.filter(F.col("resume_at").isNotNull()).select(*KEYS, "resume_at")
     pending = mine.filter(F.col("uuid").isNotNull()).select(*KEYS, "uuid", "sample_time", "rate")
-    cand = pending.unionByName(bs.join(pending.select("uuid"), "uuid", "left_anti"))
-    cand_path = _scratch(store, "estimate_cand")
-    cand.write.mode("overwrite").parquet(cand_path)
-    cand = spark.read.parquet(cand_path)
+    cand = tx.stage(pending.unionByName(bs.join(pending.select("uuid"), "uuid", "left_anti")), "candidates")
     first = cand.groupBy(*KEYS).agg(F.min("sample_time").alias("_first"))
     resume = first.join(resume_old, KEYS, "left").select(
         *KEYS,
@@ -202,25 +197,17 @@ def estimate_batch(store: TableStore, batch_samples: DataFrame, seen: DataFrame,
             F.col("resume_at"), from_us(floor_div(to_us(F.col("_first")), HOUR_US) * F.lit(HOUR_US))
         ).alias("resume_at"),
     )
-    est = timeseries.hourly_estimates(cand, store.read("billing_item"), resume=resume, upto=upto)
-    est_path = _scratch(store, "estimate_new")
-    est.select(
-        "uuid", "event_start", "event_end", "item_id", F.lit(None).cast("string").alias("user"), "workspace", "quantity"
-    ).write.mode("overwrite").parquet(est_path)
-    est = spark.read.parquet(est_path)
-    lo, hi = est.agg(F.min("event_start"), F.max("event_start")).first()
-    if lo is not None:
-        stored = store.read("billing_event", time_from=lo, time_until=hi + dt.timedelta(microseconds=1))
-        store.append("billing_event", est.join(stored.select("uuid"), "uuid", "left_anti"))
-    # the state moves on only after the estimates are stored
+    est = timeseries.hourly_estimates(cand, tx.read("billing_item"), resume=resume, upto=upto)
+    est = tx.stage(
+        est.select("uuid", "event_start", "event_end", "item_id", F.lit(None).cast("string").alias("user"), "workspace", "quantity"), "estimates"
+    )
+    if not est.isEmpty():
+        tx.append("billing_event", est.join(tx.known("billing_event", est.select("uuid")).select("uuid"), "uuid", "left_anti"))
     ends = est.groupBy(*KEYS).agg(F.max("event_end").alias("_end"))
     new_resume = ends.join(resume_old, KEYS, "full_outer").select(
         *KEYS, F.greatest(F.col("_end"), F.col("resume_at")).alias("resume_at")
     )
-    new_state = state.join(keys, KEYS, "left_anti").unionByName(state_rows(new_resume, pending_after(cand, new_resume)))
-    state_path = _scratch(store, "estimate_state")
-    new_state.write.mode("overwrite").parquet(state_path)
-    store.replace("estimate_state", spark.read.parquet(state_path))
+    tx.write_state("estimate_state", state_rows(new_resume, pending_after(cand, new_resume)))
 
 
 def pending_after(samples: DataFrame, resume: DataFrame) -> DataFrame:
@@ -246,56 +233,50 @@ def state_rows(resume: DataFrame, pending: DataFrame) -> DataFrame:
 
 def rebuild_estimate_state(store: TableStore) -> None:
     """Bootstrap (or repair) the estimation state from the stored history in one pass."""
-    events = store.read("billing_event")
-    resume = events.groupBy(*KEYS).agg(F.max("event_end").alias("resume_at"))
-    samples = store.read("rate_sample").select(*KEYS, "uuid", "sample_time", "rate")
-    st = state_rows(resume, pending_after(samples, resume))
-    path = _scratch(store, "estimate_state_rebuild")
-    st.write.mode("overwrite").parquet(path)
-    store.replace("estimate_state", store.spark.read.parquet(path))
 
+    def body(tx: Transaction) -> None:
+        resume = tx.read("billing_event").groupBy(*KEYS).agg(F.max("event_end").alias("resume_at"))
+        samples = tx.read("rate_sample").select(*KEYS, "uuid", "sample_time", "rate")
+        tx.replace("estimate_state", state_rows(resume, pending_after(samples, resume)))
 
-def advance_resume(store: TableStore, events: DataFrame, epoch_id: int) -> None:
-    """A directly reported event moves its key's resume point (T6: any event counts)."""
-    ends = resume_moves(events)
-    if ends.limit(1).count() == 0:
-        return
-    state = store.read("estimate_state")
-    old = state.filter(F.col("resume_at").isNotNull()).join(ends.select(*KEYS), KEYS, "left_semi").select(*KEYS, "resume_at")
-    moved = ends.join(old, KEYS, "full_outer").select(*KEYS, F.greatest(F.col("_end"), F.col("resume_at")).alias("resume_at"))
-    keep = state.filter(F.col("resume_at").isNull()).unionByName(
-        state.filter(F.col("resume_at").isNotNull()).join(ends.select(*KEYS), KEYS, "left_anti")
-    )
-    new_state = keep.unionByName(state_rows(moved, state.limit(0).select(*KEYS, "uuid", "sample_time", "rate")))
-    path = _scratch(store, "estimate_state_ev")
-    new_state.write.mode("overwrite").parquet(path)
-    store.replace("estimate_state", store.spark.read.parquet(path))
+    store.run(body)
 
 
-def _scratch(store: TableStore, name: str) -> str:
-    """A staging folder under the store's root, one per purpose (overwritten by each batch). Bodies
-    of different streams use different names."""
-    return f"{store.root}/_staging/{name}"
+def advance_resume(tx: Transaction, events: DataFrame) -> None:
+    """A directly reported event moves its key's resume point (T6: any event counts)."""
+    ends = tx.stage(resume_moves(events), "ends")
+    if ends.isEmpty():
+        return
+    mine = tx.state_of("estimate_state", ends)
+    old = mine.filter(F.col("resume_at").isNotNull()).select(*KEYS, "resume_at")
+    moved = ends.join(old, KEYS, "left").select(*KEYS, F.greatest(F.col("_end"), F.col("resume_at")).alias("resume_at"))
+    pending = mine.filter(F.col("uuid").isNotNull()).select(*KEYS, "uuid", "sample_time", "rate")
+    tx.write_state("estimate_state", state_rows(moved, pending))
 
 
-def _staged(store: TableStore, df: DataFrame, name: str) -> DataFrame:
-    path = _scratch(store, name)
-    df.write.mode("overwrite").parquet(path)
-    return store.spark.read.schema(df.schema).parquet(path)
+def _add_stubs(tx: Transaction, items: DataFrame, stubs: DataFrame) -> None:
+    stubs = tx.stage(stubs.select(*schemas.BILLING_ITEM.fieldNames()), "stubs")
+    if not stubs.isEmpty():
+        tx.replace("billing_item", items.unionByName(stubs))
 
 
-def _add_stubs(store: TableStore, items: DataFrame, stubs: DataFrame, name: str) -> None:
-    stubs = _staged(store, stubs.select(*schemas.BILLING_ITEM.fieldNames()), f"{name}-new")
-    if not stubs.isEmpty():
-        store.replace("billing_item", _staged(store, items.unionByName(stubs), name))
+def _add_quarantine(tx: Transaction, table: str, rejected: DataFrame) -> None:
+    """Rejected messages not quarantined yet, named by the digest of their payload and their position
+    (NULL is a value like any other), so a replay adds none."""
+    rejected = tx.stage(rejected.distinct(), "rejected")
+    if rejected.isEmpty():
+        return
+    old = tx.read(table)
+    same = [F.col("r.digest") == F.col("q.digest"), F.col("r.ingest_seq").eqNullSafe(F.col("q.ingest_seq")), F.col("r.reason") == F.col("q.reason")]
+    tx.append(table, rejected.alias("r").join(old.alias("q"), same, "left_anti"))
 
 
-def _add_quarantine(store: TableStore, table: str, rejected: DataFrame) -> None:
-    """Rejected rows not quarantined yet; NULL ids and positions are values like any other, so a
-    replay adds nothing."""
-    old = store.read(table)
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"q.{c}")) for c in ("uuid", "ingest_seq", "reason")]
-    store.append(table, rejected.distinct().alias("r").join(old.alias("q"), same, "left_anti"))
+def dead_letters(store: TableStore | Snapshot, table: str, schema) -> DataFrame:
+    """The messages of a quarantine table, read back from their payload, with ``reason`` and ``digest``.
+    Corrected rows go through the same body again (``EventBatch(store)(corrected, epoch)``): the uuid
+    ledger bills a row once however often it is sent."""
+    rows = store.read(table).select("reason", "digest", F.from_json("payload", schema).alias("m"))
+    return rows.select("m.*", "reason", "digest")
 
 
 def start_event_ingest(spark: SparkSession, store: TableStore, source: DataFrame, name: str = "events", trigger=None):

@@ -15,7 +15,8 @@ from meterkit.functions import md5_uuid
 from meterkit.operators.dims import small_dim, stored_dim
 
 PRICE_TYPE = "decimal(38,12)"
-QUANTITY, MONEY_FACTOR, CHARGE = "decimal(18,6)", "decimal(20,12)", "decimal(28,8)"
+CHARGE = "decimal(38,18)"
+DIGITS, MONEY_FACTOR = "decimal(17,0)", "decimal(20,12)"  # their product is exact: 38 digits
 
 
 # ------------------------------------------------------------------ C1–C4, C7
@@ -79,27 +80,56 @@ def price_violations(prices: DataFrame) -> DataFrame:
 def price_timeline(prices: DataFrame) -> DataFrame:
     """Resolve overlapping price rows into pieces [piece_start, piece_end) per item with the
     winning row (latest ``configured_at``, then latest ``valid_from``). ``piece_end`` NULL =
-    open. Runs on the price table only."""
+    open. Runs on the price table only.
+
+    A price is not paired with every piece it covers. The pieces of an item are numbered, and a price
+    lands on the nodes of the dyadic cover of its range of pieces (aligned runs of 2^level pieces, two
+    a level at most); a node keeps its best price, and a piece takes the best over the nodes that
+    contain it. So P overlapping prices of one item make P log P rows, not P squared."""
     ends = F.explode(F.array("valid_from", "valid_until")).alias("p")
     bounds = prices.select("item_id", ends).filter(F.col("p").isNotNull()).distinct()
     w = Window.partitionBy("item_id").orderBy("p")
-    pieces = bounds.select("item_id", F.col("p").alias("piece_start"), F.lead("p").over(w).alias("piece_end"))
-    cover = pieces.join(prices, "item_id").filter(
-        (F.col("valid_from") <= F.col("piece_start"))
-        & (F.col("valid_until").isNull() | (F.col("piece_start") < F.col("valid_until")))
-    )
-    wb = Window.partitionBy("item_id", "piece_start").orderBy(*_latest_configured())
-    return (
-        cover.withColumn("_rn", F.row_number().over(wb))
-        .filter(F.col("_rn") == 1)
-        .select("item_id", "piece_start", "piece_end", F.col("uuid").alias("price_id"), "price")
-    )
+    number = F.row_number().over(w).cast("long") - 1
+    pieces = bounds.select("item_id", F.col("p").alias("piece_start"), F.lead("p").over(w).alias("piece_end"), number.alias("i"))
+    span = pieces.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    at = pieces.select("item_id", F.col("piece_start").alias("p"), "i")
+    first = at.withColumnsRenamed({"p": "valid_from", "i": "a"})
+    last = at.withColumnsRenamed({"p": "valid_until", "i": "b"})
+    ranged = prices.join(first, ["item_id", "valid_from"]).join(last, ["item_id", "valid_until"], "left").join(span, "item_id")
+    ranged = ranged.withColumn("b", F.coalesce("b", "n"))
+    # in units of 2^level pieces the range is [low, high): an odd low and the one before an odd high are in no larger node
+    low, high = "shiftright(a + shiftleft(1L, level) - 1, level)", "shiftright(b, level)"
+    ends_of = f"array(if({low} < {high} and {low} % 2 = 1, {low}, null), if({low} < {high} and {high} % 2 = 1, {high} - 1, null))"
+    cover = f"flatten(transform(sequence(0, length(bin(n))), level -> transform(filter({ends_of}, x -> x is not null), x -> struct(level as level, x as node))))"
+    nodes = ranged.select("item_id", "uuid", "price", "configured_at", "valid_from", F.expr(f"inline({cover})"))
+    above = pieces.join(span, "item_id").select("item_id", "piece_start", "piece_end", F.expr("inline(transform(sequence(0, length(bin(n))), level -> struct(level as level, shiftright(i, level) as node)))"))
+    best = _best(nodes, "item_id", "level", "node")
+    return _best(above.join(best, ["item_id", "level", "node"]), "item_id", "piece_start").select("item_id", "piece_start", "piece_end", F.col("uuid").alias("price_id"), "price")
+
+
+def _best(rows: DataFrame, *keys: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*_latest_configured())
+    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+
+
+def exact_charge(quantity: Column, price: Column) -> Column:
+    """``quantity`` (a double, taken as the decimal number it prints as) times ``price``, exact, then
+    rounded once to 18 places; NULL where it does not fit ``CHARGE`` or the price is 10^8 or more.
+
+    The double's digits (17 at most) and the price are multiplied as decimals and the power of ten is put back
+    by the cast from text, so neither 10^13 byte-seconds nor a price of 10^-12 is rounded on the way."""
+    text = quantity.cast("string")
+    digits = F.split_part(text, F.lit("E"), F.lit(1))
+    power = F.coalesce(F.nullif(F.split_part(text, F.lit("E"), F.lit(2)), F.lit("")).try_cast("int"), F.lit(0))
+    places = F.length(digits) - F.instr(digits, ".")
+    whole = F.replace(digits, F.lit("."), F.lit("")).try_cast(DIGITS) * price.try_cast(MONEY_FACTOR)
+    return F.concat(whole.cast("string"), F.lit("E"), (power - places).cast("string")).try_cast(CHARGE)
 
 
 def price_usage(events: DataFrame, prices: DataFrame) -> DataFrame:
-    """Each event priced at its start with the effective price then; ``charge = quantity ×
-    price`` as a decimal (quantity to 6 places, price to 12), so sums do not depend on order;
-    events without a price keep NULLs."""
+    """Each event priced at its start with the effective price then. ``charge`` is the exact product
+    (``exact_charge``), so sums do not depend on order and rounding is left to the output. Where it is
+    NULL, ``charge_reason`` says why: ``no_price`` or ``out_of_range``."""
     tl = stored_dim(price_timeline(prices), "price-timeline")
     cond = (
         (events["item_id"] == tl["item_id"])
@@ -107,7 +137,7 @@ def price_usage(events: DataFrame, prices: DataFrame) -> DataFrame:
         & (tl["piece_end"].isNull() | (events["event_start"] < tl["piece_end"]))
     )
     j = events.join(tl, cond, "left")
-    return j.select(
+    priced = j.select(
         events["uuid"],
         events["event_start"],
         events["event_end"],
@@ -116,23 +146,26 @@ def price_usage(events: DataFrame, prices: DataFrame) -> DataFrame:
         events["quantity"],
         tl["price_id"],
         tl["price"],
-        (events["quantity"].cast(QUANTITY) * tl["price"].cast(MONEY_FACTOR)).cast(CHARGE).alias("charge"),
+        exact_charge(events["quantity"], tl["price"]).alias("charge"),
     )
+    reason = F.when(F.col("price_id").isNull(), F.lit("no_price")).when(F.col("charge").isNull(), F.lit("out_of_range"))
+    return priced.withColumn("charge_reason", reason)
 
 
 def account_charges(priced: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Charges per account and UTC month (events of unmapped workspaces are left out).
+    """Charges per account and UTC month; workspaces without an account stand under a NULL account.
+    ``uncharged`` counts the events without a charge (see ``charge_reason``).
 
     Charges are first summed per (workspace, month), map-side combined, so the join to the
     workspace map sees one row per workspace-month however many events a workspace has."""
     month = F.trunc(F.col("event_start").cast("date"), "month").cast("timestamp_ntz")
     per_ws = priced.groupBy("workspace", month.alias("month")).agg(
-        F.sum("charge").alias("charge"), F.count(F.lit(1)).alias("events")
+        F.sum("charge").alias("charge"), F.count(F.lit(1)).alias("events"), F.count("charge_reason").alias("uncharged")
     )
     return (
-        per_ws.join(accounts.select("workspace", "account"), "workspace")
+        per_ws.join(accounts.select("workspace", "account"), "workspace", "left")
         .groupBy("account", "month")
-        .agg(F.sum("charge").alias("charge"), F.sum("events").alias("events"))
+        .agg(F.sum("charge").alias("charge"), F.sum("events").alias("events"), F.sum("uncharged").alias("uncharged"))
     )
 
 

@@ -360,11 +360,14 @@ SELECT uuid, sku, item_id, price, valid_from, valid_until, configured_at FROM (
 
     out["effective_price"] = eff()
     out["price_known_at"] = eff(f"AND p.configured_at <= {_ts(q.KNOWN_AT)}")
+    # the whole and the broken part of the quantity are priced apart
     priced = """
 priced AS (
   SELECT uuid, event_start, event_end, item_id, workspace, quantity, price_id, price,
-         CAST(CAST(quantity AS DECIMAL(18,6)) * CAST(price AS DECIMAL(20,12)) AS DECIMAL(28,8)) AS charge FROM (
-    SELECT e.*, p.uuid AS price_id, p.price,
+         CAST(CAST(trunc(q) AS DECIMAL(18,0)) * CAST(price AS DECIMAL(18,12)) AS DECIMAL(38,18))
+           + CAST(CAST(q - trunc(q) AS DECIMAL(18,18)) * CAST(price AS DECIMAL(18,12)) AS DECIMAL(38,18)) AS charge,
+         CASE WHEN price_id IS NULL THEN 'no_price' END AS charge_reason FROM (
+    SELECT e.*, CAST(CAST(e.quantity AS VARCHAR) AS DECIMAL(36,18)) AS q, p.uuid AS price_id, p.price,
            row_number() OVER (PARTITION BY e.uuid ORDER BY p.configured_at DESC, p.valid_from DESC, p.uuid) AS rn
     FROM billing_event e LEFT JOIN billing_item_price p
       ON p.item_id = e.item_id AND p.valid_from <= e.event_start
@@ -373,13 +376,14 @@ priced AS (
     out["priced_usage"] = with_tables(
         ["billing_item_price", "billing_event"],
         f""",{priced}
-SELECT uuid, event_start, event_end, item_id, workspace, quantity, price_id, price, charge FROM priced""",
+SELECT uuid, event_start, event_end, item_id, workspace, quantity, price_id, price, charge, charge_reason FROM priced""",
     )
     out["account_charges"] = with_tables(
         ["billing_item_price", "billing_event", "workspace_account"],
         f""",{priced}
-SELECT a.account, date_trunc('month', p.event_start) AS month, CAST(sum(p.charge) AS DECIMAL(28,8)) AS charge, count(*) AS events
-FROM priced p JOIN workspace_account a ON a.workspace = p.workspace GROUP BY 1, 2""",
+SELECT a.account, date_trunc('month', p.event_start) AS month, CAST(sum(p.charge) AS DECIMAL(38,18)) AS charge, count(*) AS events,
+       count(p.charge_reason) AS uncharged
+FROM priced p LEFT JOIN workspace_account a ON a.workspace = p.workspace GROUP BY 1, 2""",
     )
     out["item_upsert"] = with_tables(
         ["billing_item"],

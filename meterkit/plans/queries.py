@@ -321,8 +321,7 @@ def priced_usage(spark, d):
 @register("account_charges")
 def account_charges(spark, d):
     """C6 (extension): charges per account and month."""
-    out = catalog.account_charges(_priced(spark, d), tm.workspace_account(spark, d))
-    return out.withColumn("charge", F.col("charge").cast(catalog.CHARGE))
+    return catalog.account_charges(_priced(spark, d), tm.workspace_account(spark, d))
 
 
 def _item_config(spark, d) -> DataFrame:

@@ -13,7 +13,7 @@ Phrases are counted length by length: one of n words is counted where both its p
 occur often enough, as any frequent phrase's do. The often enough shorter phrases are known to tasks
 as sorted 64-bit hashes, broadcast if they take ``BROADCAST_BYTES`` at most; beyond that, positions
 meet them in a shuffle join. Hashes only choose what is counted: counts are grouped by the words
-themselves. Occurrences are summed inside a block of chunks first, so a phrase in every document
+themselves (compared byte by byte inside a block, then by the shuffle's keys). Occurrences are summed inside a block of chunks first, so a phrase in every document
 reaches its task once per block.
 
 A phrase's score is its lowest cut's floor(1000 a n / (l r)) in exact decimals.
@@ -29,11 +29,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterkit.llm.common import blocks, map_arrow, mix64, texts_of, word_table, written
+from meterkit.llm.common import blocks, map_arrow, mix64, texts_of, written
 
 MOST_WORDS = 5
 OVERLAP = MOST_WORDS - 1
@@ -41,60 +42,143 @@ TRIGGER = 16  # one window in so many opens a chunk
 LEAST = 100
 TOP = 2000
 UNKNOWN = "und"
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 BROADCAST_BYTES = 32 << 20
 #: A-Z become a-z, the marks between pieces a line end.
 _CUT = bytes(0x0A if b in b".,;:!?" or 0x0A <= b <= 0x0D else b for b in range(256)).lower()
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(text: str) -> list[list[bytes]]:
-    """The words of each piece that has one."""
-    return [words for piece in text.encode().translate(_CUT).split(b"\n") if (words := piece.split())]
-
-
-def _hashes(distinct: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
-
-
-def _rolled(word: np.ndarray, at: np.ndarray, n: int, seed) -> np.ndarray:
-    """Hash of the n words from each position."""
-    h = np.zeros(len(at), np.uint64) + seed
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            h = h * _BASE + word[at + k]
-    return mix64(h)
-
-
-def parse(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, stop, owned) of the chunks of word lists, positions counted over all of them."""
-    row, ids, distinct = word_table(rows)
-    count = np.bincount(row, minlength=len(rows))
-    end = np.cumsum(count)
-    first = end - count
-    at = np.arange(len(ids))
-    inner = at[(at > first[row]) & (at + OVERLAP <= end[row])] if len(at) else at
-    opens = _rolled(_hashes(distinct)[ids], inner, OVERLAP, np.uint64(0)) % np.uint64(TRIGGER) == 0 if len(inner) else np.zeros(0, bool)
-    start = np.sort(np.concatenate([first[count > 0], inner[opens]]))
-    owner = row[start]
-    until = np.append(start[1:], len(ids))  # a row's first word follows the last one of the row before
-    return owner, start, np.minimum(until + OVERLAP, end[owner]), until - start
+_WORD, _SPACE, _BREAK = range(3)
+_KIND = np.array([_BREAK if b == 0x0A else _SPACE if b in b" \t" else _WORD for b in range(256)], np.int8)
+_CODE = mix64(np.arange(256))  # a random value of each byte
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0..n of the hash's base and of its inverse, modulo 2^64."""
+    if len(_POWERS[0]) <= n:
+        with np.errstate(over="ignore"):
+            for i, base in enumerate((_BASE, _INVERSE)):
+                _POWERS[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
+    return _POWERS
+
+
+class Words:
+    """The words of rows of text, as places in one buffer in which one byte (a space, or a line end
+    after a row's last word) follows each word; so a phrase is a stretch of the buffer."""
+
+    def __init__(self, raw: bytes):
+        """``raw``: rows that each end with a line end; spaces and tabs stand between words."""
+        data = np.frombuffer(raw, np.uint8)
+        kind = _KIND[data]
+        word = kind == _WORD
+        keep = word.copy()
+        keep[1:] |= word[:-1]
+        after = np.flatnonzero(keep & ~word)  # the byte after each word
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        self.at = np.flatnonzero(begins)  # where words begin in ``raw``
+        self.row = np.searchsorted(np.flatnonzero(kind == _BREAK), self.at)
+        self.data = data[keep]
+        length = after - self.at
+        self.end = np.cumsum(length + 1) - 1
+        self.start = self.end - length
+        same = np.zeros(len(self.end), bool)
+        same[:-1] = self.row[1:] == self.row[:-1]
+        self.data[self.end] = np.where(same, 0x20, 0x0A)
+        with np.errstate(over="ignore"):
+            power, self.inverse = _powers(len(self.data))
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_CODE[self.data] * power[: len(self.data)])])
+
+    def hashes(self, a: np.ndarray, b: np.ndarray, seed=np.uint64(0)) -> np.ndarray:
+        """Hash of the words a to b (exclusive) of each pair of word numbers."""
+        s, e = self.start[a], self.end[b - 1]
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[e] - self.sums[s]) * self.inverse[s] + (e - s).astype(np.uint64) * _BASE + seed)
+
+    def texts(self, a: np.ndarray, b: np.ndarray) -> pa.Array:
+        """The stretches as an Arrow column."""
+        s, e = self.start[a], self.end[b - 1]
+        offsets = np.concatenate([[0], np.cumsum(e - s)])
+        inside = np.arange(offsets[-1]) + np.repeat(s - offsets[:-1], e - s)
+        return pa.StringArray.from_buffers(len(a), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.data[inside].tobytes()))
+
+    def groups(self, a: np.ndarray, b: np.ndarray, h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, first): a sorting of the stretches that puts equal ones of equal ``other`` together,
+        and where groups begin. Equal hashes are compared byte by byte."""
+        order = np.argsort(h)
+        first = np.ones(len(h), bool)
+        first[1:] = h[order[1:]] != h[order[:-1]]
+        lead = np.flatnonzero(first)
+        head = np.repeat(order[lead], np.diff(np.append(lead, len(h))))
+        s, e, t, f = self.start[a[order]], self.end[b[order] - 1], self.start[a[head]], self.end[b[head] - 1]
+        more = np.flatnonzero(~first)
+        equal = (e - s == f - t) & (other[order] == other[head])
+        if equal.all():
+            n = (e - s)[more]
+            offsets = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(offsets, n)
+            equal = np.array_equal(self.data[np.repeat(s[more], n) + step], self.data[np.repeat(t[more], n) + step])
+        if not np.all(equal):  # two stretches with one hash: tell them apart by their bytes
+            keys = [(int(o), self.data[x:y].tobytes()) for o, x, y in zip(other, self.start[a], self.end[b - 1])]
+            code = pd.factorize(pd.Series(keys))[0]
+            order = np.argsort(code, kind="stable")
+            first[1:] = code[order[1:]] != code[order[:-1]]
+        return order, np.flatnonzero(first)
+
+
+def parse(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, owned) of the chunks of rows of words, as word numbers; a row is a piece."""
+    n_words = len(words.row)
+    at = np.arange(n_words)
+    opens = np.ones(n_words, bool)
+    opens[1:] = words.row[1:] != words.row[:-1]
+    first = np.flatnonzero(opens)
+    number = np.cumsum(opens) - 1
+    end = np.append(first[1:], n_words)[number] if n_words else at
+    inner = at[(at > first[number]) & (at + OVERLAP <= end)] if n_words else at
+    cut = words.hashes(inner, inner + OVERLAP) % np.uint64(TRIGGER) == 0 if len(inner) else np.zeros(0, bool)
+    start = np.sort(np.concatenate([first, inner[cut]]))
+    until = np.append(start[1:], n_words)  # a piece's first word follows the last one of the piece before
+    return start, np.minimum(until + OVERLAP, end[start]), until - start
+
+
+def _parts(batches):
+    """(bytes, languages, ends) of about BLOCK bytes of texts: a long text is cut after a piece."""
+    held, langs, ends, size = [], [], [], 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch, "text")):
+            raw = text.encode().translate(_CUT) + b"\n"
+            while raw:
+                cut = len(raw)
+                if size + cut > BLOCK:
+                    cut = raw.rfind(b"\n", 0, max(1, BLOCK - size)) + 1 or (len(raw) if size else raw.find(b"\n") + 1)
+                    if cut + size > BLOCK and size:
+                        yield b"".join(held), langs, ends
+                        held, langs, ends, size = [], [], [], 0
+                        continue
+                held.append(raw[:cut])
+                size += cut
+                langs.append(lang)
+                ends.append(size)
+                raw = raw[cut:]
+    if held:
+        yield b"".join(held), langs, ends
 
 
 def _dictionary_rows(batches):
-    for block in blocks(batches, "text", BLOCK):
-        found: dict = {}
-        lists, langs = [], []
-        for lang, text in zip(block.column("lang").to_pylist(), texts_of(block, "text")):
-            cut = pieces(text)
-            lists += cut
-            langs += [lang] * len(cut)
-        words = [w for piece in lists for w in piece]
-        for row, a, b, owned in zip(*(x.tolist() for x in parse(lists))):
-            key = (langs[row], b" ".join(words[a:b]), owned)
-            found[key] = found.get(key, 0) + 1
-        keys = list(found)
-        rows = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(found.values()), pa.int64())]
+    for raw, langs, ends in _parts(batches):
+        words = Words(raw)
+        start, stop, owned = parse(words)
+        of, names = pd.factorize(np.array(langs, dtype=object))
+        lang = of[np.searchsorted(ends, words.at[start], side="right")]
+        other = lang * (1 << 32) + owned
+        order, lead = words.groups(start, stop, words.hashes(start, stop, mix64(other)), other)
+        one = order[lead]
+        times = np.diff(np.append(lead, len(order)))
+        rows = [pa.array(names[lang[one]].tolist(), pa.string()), words.texts(start[one], stop[one]), pa.array(owned[one]), pa.array(times)]
         yield pa.RecordBatch.from_arrays(rows, names=["lang", "chunk", "owned", "times"])
 
 
@@ -107,26 +191,26 @@ def dictionary(df: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
 
 
 class _Block:
-    """The words of a block of chunks, flat."""
+    """The words of a block of chunks."""
 
     def __init__(self, block: pa.RecordBatch):
-        rows = [c.split(b" ") for c in (c.encode() for c in block.column("chunk").to_pylist())]
-        self.row, self.ids, distinct = word_table(rows)
-        self.words = [w for r in rows for w in r]
-        self.word, self.n_distinct = _hashes(distinct)[self.ids] if distinct else np.zeros(0, np.uint64), len(distinct)
-        count = np.bincount(self.row, minlength=len(rows))
+        whole = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column("chunk"))
+        self.words = Words(pc.binary_join(whole, "\n")[0].as_buffer().to_pybytes() + b"\n")
+        self.row = self.words.row
+        count = np.bincount(self.row, minlength=block.num_rows)
         self.end = np.cumsum(count)
         self.first = self.end - count
-        self.lang, self.langs = pd.factorize(np.array(block.column("lang").to_pylist(), dtype=object))
-        self.seed = _hashes([x.encode() for x in self.langs])[self.lang]
+        coded = block.column("lang").dictionary_encode()
+        self.langs, self.lang = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        self.seed = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs), np.uint64, len(self.langs))[self.lang]
 
     def starts(self, n: int) -> np.ndarray:
-        """Positions from which n words follow in the chunk."""
-        at = np.arange(len(self.ids))
-        return at[at + n <= self.end[self.row]] if len(at) else at
+        """Words from which n words follow in the chunk, themselves included."""
+        at = np.arange(len(self.row))
+        return at[at + n <= self.end[self.row]]
 
     def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
-        return _rolled(self.word, at, n, self.seed[self.row[at]]).view(np.int64)
+        return self.words.hashes(at, at + n, self.seed[self.row[at]]).view(np.int64)
 
 
 def _positions(n: int):
@@ -152,7 +236,7 @@ def _counts(n: int, shared=None):
             b = _Block(block)
             at = b.starts(n)
             if n > 1:
-                part = np.zeros(len(b.ids) + 1, bool)
+                part = np.zeros(len(b.row) + 1, bool)
                 if known is None:
                     places = block.column("at")
                     part[b.first[np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))] + places.flatten().to_numpy()] = True
@@ -163,16 +247,12 @@ def _counts(n: int, shared=None):
                 at = at[part[at] & part[at + 1]]
             owned = block.column("owned").to_numpy()
             at = at[at - b.first[b.row[at]] < owned[b.row[at]]]
-            code = b.lang[b.row[at]].astype(np.int64)
-            for k in range(n):  # exact: equal codes are equal words
-                code = pd.factorize(code * b.n_distinct + b.ids[at + k])[0].astype(np.int64)
-            order = np.argsort(code, kind="stable")
-            lead = np.flatnonzero(np.append(True, np.diff(code[order]) != 0)[: len(order)])
+            lang, h = b.lang[b.row[at]], b.hashes(at, n)
+            order, lead = b.words.groups(at, at + n, h, lang)
             f = np.add.reduceat(block.column("times").to_numpy()[b.row[at]][order], lead) if len(lead) else np.zeros(0, np.int64)
-            one = at[order[lead]]
-            phrases = [b" ".join(b.words[p : p + n]).decode() for p in one.tolist()]
-            lang = pa.array(b.langs[b.lang[b.row[one]]].tolist(), pa.string())
-            yield pa.RecordBatch.from_arrays([lang, pa.array(phrases, pa.string()), pa.array(b.hashes(one, n)), pa.array(f)], names=["lang", "phrase", "hash", "f"])
+            one = order[lead]
+            names = pa.DictionaryArray.from_arrays(pa.array(lang[one], pa.int32()), pa.array(b.langs, pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([names, b.words.texts(at[one], at[one] + n), pa.array(h[one]), pa.array(f)], names=["lang", "phrase", "hash", "f"])
 
     return run
 

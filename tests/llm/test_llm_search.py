@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from meterkit.llm import collocations as col
@@ -141,19 +142,43 @@ def test_collocations_of_nothing(spark):
 
 def test_chunks_cover_every_phrase_once():
     rng = random.Random(2)
-    lists = [[rng.choice("abcdefgh").encode() for _ in range(n)] for n in (1, 3, 4, 5, 40, 400, 0, 700)] + [[b"x"] * 300]
-    row, start, stop, owned = col.parse(lists)
-    words = [w for x in lists for w in x]
+    lists = [[rng.choice("abcdefgh") for _ in range(n)] for n in (1, 3, 4, 5, 40, 400, 0, 700)] + [["x"] * 300]
+    text = col.Words("".join(rng.choice([" ", "  ", "\t "]).join(x) + rng.choice(["\n", " \n\n"]) for x in lists).encode())
+    start, stop, owned = col.parse(text)
+    chunks = [c.split(" ") for c in text.texts(start, stop).to_pylist()]
     got = Counter()
-    for r, a, b, own in zip(row, start, stop, owned):
-        for i in range(a, a + own):
-            for n in range(1, col.MOST_WORDS + 1):
-                if i + n <= b:
-                    got[r, tuple(words[i : i + n])] += 1
-    assert got == Counter((r, tuple(x[i : i + n])) for r, x in enumerate(lists) for n in range(1, 6) for i in range(len(x) - n + 1))
+    for words, own in zip(chunks, owned):
+        for i in range(own):
+            got.update(tuple(words[i : i + n]) for n in range(1, col.MOST_WORDS + 1) if i + n <= len(words))
+    assert got == Counter(tuple(x[i : i + n]) for x in lists for n in range(1, 6) for i in range(len(x) - n + 1))
     assert len(start) > len(lists)  # long lists are cut
 
 
+def test_groups_compare_bytes():
+    words = col.Words(b"ab cd\nab cd\nef gh\n")
+    a = np.array([0, 2, 4])
+    for h in ([1, 1, 2], [1, 1, 1]):  # the second: one hash for all
+        order, lead = words.groups(a, a + 2, np.array(h, np.uint64), np.zeros(3, np.int64))
+        assert sorted(len(x) for x in np.split(order, lead[1:])) == [1, 2]
+        assert {0, 1} in [set(x.tolist()) for x in np.split(order, lead[1:])]
+
+
+def test_long_texts_are_cut_after_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(col, "BLOCK", 50)
+    texts = ["a b. " * 30, "", "x" * 120, "c d " * 40 + ", e", None, "f"]
+    batch = pa.RecordBatch.from_pydict({"lang": [str(i) for i in range(len(texts))], "text": texts})
+    parts = list(col._parts([batch]))
+    assert len(parts) > 4
+    got = Counter()
+    for raw, langs, ends in parts:
+        words = col.Words(raw)
+        lang = np.array(langs, dtype=object)[np.searchsorted(ends, words.at, side="right")]
+        got.update(zip(lang.tolist(), words.texts(np.arange(len(lang)), np.arange(len(lang)) + 1).to_pylist()))
+    assert got == Counter((str(i), w) for i, t in enumerate(texts) for w in re.findall(r"[^\s.,]+", t or ""))
+
+
 def test_scores_are_exact(spark):
     """Products beyond 64 bits, and a tie of cuts that goes to the shortest first part."""
     big = 3_037_000_499_123

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Fixed value that must match the metered service: namespace of estimated-event ids.
 ESTIMATE_NAMESPACE = "67f9a35c-567c-4a30-b51d-2fc64328bd55"
 
+CANONICAL = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+
 
 def _hyphenate(hex32: Column) -> Column:
     return F.concat_ws(
@@ -54,7 +56,8 @@ def canonical_uuid(text: Column) -> Column:
 
     Accepts what Python's ``uuid.UUID(text)`` accepts: ``urn:`` and ``uuid:`` removed,
     braces stripped from both ends, hyphens removed, any case; exactly 32 hex digits must
-    remain. Surrounding blanks are not accepted."""
+    remain. Surrounding blanks are not accepted. Text that is canonical already stays as it is;
+    only other text is rewritten."""
     h = F.replace(F.replace(text, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
     h = F.lower(F.replace(F.regexp_replace(h, r"^[{}]+|[{}]+$", ""), F.lit("-"), F.lit("")))
-    return F.when(h.rlike("^[0-9a-f]{32}$"), _hyphenate(h))
+    return F.when(text.rlike(CANONICAL), text).otherwise(F.when(h.rlike("^[0-9a-f]{32}$"), _hyphenate(h)))

@@ -17,6 +17,7 @@ DAY_US = 24 * HOUR_US
 _BASIC = r"^(\d{4})(\d{2})(\d{2})($|[T ].*$)"
 _BASIC_CLOCK = r"^(\d{4}-\d{2}-\d{2}[T ])(\d{2})(\d{2})(\d{2})"
 _SHORT_OFFSET = r"([+-]\d{2})(\d{2})$"
+_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}([.]\d{1,9})?(Z|[+-]\d{2}:\d{2})?$"
 _FULL = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s*(Z|z|[+-]\d{2}(:\d{2})?)?)?$"
 
 
@@ -44,12 +45,14 @@ def parse_ts(text: Column) -> Column:
 
     A whole date is required, extended (``2025-01-31``) or basic (``20250131``), with or without
     a time of day; anything else (a clock time, a year, a month) gives NULL and callers
-    quarantine it. Requires a UTC session, which every query function sets.
+    quarantine it. Requires a UTC session, which every query function sets. Text that is plain
+    extended ISO already is parsed as it stands; only other text is rewritten first.
     """
     whole = F.regexp_replace(F.trim(text), _BASIC, "$1-$2-$3$4")
     whole = F.regexp_replace(whole, _BASIC_CLOCK, "$1$2:$3:$4")
     whole = F.regexp_replace(whole, _SHORT_OFFSET, "$1:$2")
-    return F.when(whole.rlike(_FULL), F.try_to_timestamp(whole)).cast("timestamp_ntz")
+    known = F.when(text.rlike(_PLAIN), text).otherwise(F.when(whole.rlike(_FULL), whole))
+    return F.try_to_timestamp(known).cast("timestamp_ntz")
 
 
 def iso_z(ts: Column) -> Column:

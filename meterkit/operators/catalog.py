@@ -68,6 +68,26 @@ def effective_prices(prices: DataFrame, items: DataFrame, at, known_at=None) ->
     return best.join(it, "item_id").select("uuid", "sku", "item_id", "price", "valid_from", "valid_until", "configured_at")
 
 
+def record_prices(history: DataFrame, prices: DataFrame, at) -> DataFrame:
+    """The price history after the list became ``prices`` at ``at``: a row that was changed or
+    closed by the load keeps its old state with ``known_until``, its new state is added."""
+    columns = prices.columns
+    when = F.lit(at).cast("timestamp_ntz")
+    opened = history.filter(F.col("known_until").isNull())
+    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"p.{c}")) for c in columns]
+    unlike = lambda how: opened.alias("h").join(prices.alias("p"), same, how)
+    closed = unlike("left_anti").withColumn("known_until", when)
+    added = prices.alias("p").join(opened.alias("h"), same, "left_anti").select(*columns, when.alias("known_from"), F.lit(None).cast("timestamp_ntz").alias("known_until"))
+    return history.filter(F.col("known_until").isNotNull()).unionByName(closed).unionByName(unlike("left_semi")).unionByName(added)
+
+
+def prices_known(history: DataFrame, known_at) -> DataFrame:
+    """The price list as it stood at ``known_at``, overwritten and closed rows as they were then."""
+    at = F.lit(known_at).cast("timestamp_ntz")
+    rows = history.filter((F.col("known_from") <= at) & (F.col("known_until").isNull() | (F.col("known_until") > at)))
+    return rows.drop("known_from", "known_until")
+
+
 def price_violations(prices: DataFrame) -> DataFrame:
     """V4: price rows that break the range rule (``valid_until`` is NULL or not before
     ``valid_from``)."""

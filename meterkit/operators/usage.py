@@ -42,6 +42,12 @@ def period_bounds(ts: Column, period: str) -> tuple[Column, Column]:
     raise ValueError(f"unknown time aggregation {period!r}")
 
 
+def spark_period(spark, ts, period: str) -> tuple[dt.datetime, dt.datetime]:
+    """The day or month that holds ``ts`` (text or a time)."""
+    at = F.lit(ts).cast("timestamp_ntz")
+    return tuple(spark.range(1).select(*period_bounds(at, period)).first())
+
+
 def period_end(start: dt.datetime, period: str) -> dt.datetime:
     """The end of the day or month that begins at ``start``."""
     if period == "day":
@@ -152,13 +158,17 @@ def usage_query(
     if isinstance(events, DataFrame):
         source = raw = events.select(*columns)
     else:
-        # a table store: the range prunes month partitions. An overlapping event can have started
-        # at any time before the range, so only its upper side prunes then; an aggregated row
-        # overlaps with its whole period, which reaches past the range's end
+        # a table store: the range prunes partitions. An event that overlaps it ends after its start;
+        # an aggregated row does with its whole period, so its events start in the periods that meet it
         source = events.snapshot() if hasattr(events, "snapshot") else events
-        lower = start if mode == "contained" else None
-        upper = end if mode == "contained" or period is None else None
-        raw = source.read("billing_event", time_from=lower, time_until=upper).select(*columns)
+        if mode == "contained":
+            bounds = {"time_from": start, "time_until": end}
+        elif period is None:
+            bounds = {"time_until": end, "ends_after": start}
+        else:
+            lo, hi = (None if x is None else spark_period(source.spark, x, period) for x in (start, end))
+            bounds = {"time_from": lo and lo[0], "time_until": hi and hi[1]}
+        raw = source.read("billing_event", **bounds).select(*columns)
     # workspace and account are grouping keys, so filtering raw rows first is exact
     if workspace is not None:
         raw = raw.filter(F.col("workspace") == workspace)

@@ -29,6 +29,8 @@ BILLING_ITEM_PRICE = _s(
     ("valid_until", TS, True),
     ("configured_at", TS, False),
 )
+# the price list as it stood at any past moment: each state of a row with the time it was loaded and closed
+PRICE_HISTORY = StructType([*BILLING_ITEM_PRICE.fields, StructField("known_from", TS, False), StructField("known_until", TS, True)])
 BILLING_EVENT = _s(
     ("uuid", StringType(), False),
     ("event_start", TS, False),
@@ -99,6 +101,7 @@ TABLES = {
     "workspace_account": WORKSPACE_ACCOUNT,
     "billing_item": BILLING_ITEM,
     "billing_item_price": BILLING_ITEM_PRICE,
+    "price_history": PRICE_HISTORY,
     "billing_event": BILLING_EVENT,
     "rate_sample": RATE_SAMPLE,
     "event_quarantine": QUARANTINE,

@@ -58,8 +58,8 @@ def config_frames(doc: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_config(store, items_cfg: DataFrame, prices_cfg: DataFrame, configured_at) -> DataFrame:
-    """Items first, then prices, in one commit; nothing is written when any price row is
-    rejected. Returns the rejects (empty when the load was applied)."""
+    """Items first, then prices and their history, in one commit; nothing is written when any
+    price row is rejected. Returns the rejects (empty when the load was applied)."""
 
     def body(tx) -> DataFrame:
         items = catalog.upsert_items(tx.read("billing_item"), items_cfg)
@@ -68,6 +68,7 @@ def apply_config(store, items_cfg: DataFrame, prices_cfg: DataFrame, configured_
         if rejects.isEmpty():
             tx.replace("billing_item", items)
             tx.replace("billing_item_price", table)
+            tx.replace("price_history", catalog.record_prices(tx.read("price_history"), table, configured_at))
         return rejects
 
     return store.run(body)

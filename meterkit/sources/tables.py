@@ -8,7 +8,9 @@ meanwhile its commit raises ``CommitConflict``, and ``TableStore.run`` starts th
 the new snapshot. Rows appended without a read never conflict.
 
 Layout. Facts (``billing_event``, ``rate_sample``) are partitioned by UTC month of their time column
-and sorted within files by (workspace, time), so ranges prune partitions and row groups.
+and sorted within files by (workspace, time), so ranges prune partitions and row groups. Events are
+filed by the months of both their ends: a query for events that overlap a range reads the
+partitions whose months reach into it, not all older history, however long a few events last.
 Dimensions are small and replaced whole. The estimation state is kept in ``STATE_BUCKETS`` hash
 buckets of the key: a commit appends the new rows of the keys it moved as a delta to their
 buckets, and a bucket of ``FOLD`` deltas is folded when it is next written.
@@ -42,7 +44,8 @@ FACT_LAYOUT = {
 }
 STATE_KEYS = {"estimate_state": ["workspace", "item_id"]}
 APPEND_ONLY = {"billing_event", "rate_sample", "event_quarantine", "sample_quarantine", "workspace_quarantine"}
-MONTH_COL, BUCKET_COL, SEQ_COL = "_month", "_bucket", "_seq"
+MONTH_COL, UNTIL_COL, BUCKET_COL, SEQ_COL = "_month", "_until", "_bucket", "_seq"
+END_COLUMN = {"billing_event": "event_end"}  # facts that last
 KEEP_VERSIONS = 3
 LEDGER_BUCKETS = 16
 STATE_BUCKETS = 16
@@ -71,15 +74,20 @@ class Snapshot:
         base = f"{self.store.root}/{name}"
         return self.spark.read.schema(schema).option("basePath", base).parquet(*(f"{base}/{f}" for f in folders)).select(*schema.fieldNames())
 
-    def read(self, name: str, time_from=None, time_until=None, months: list[str] | None = None) -> DataFrame:
+    def _facts(self, name: str, folders: Iterable[str]) -> DataFrame:
+        parts = [StructField(c, StringType(), True) for c in _parts(name)]
+        return self._load(name, StructType([*schemas.TABLES[name].fields, *parts]), folders)
+
+    def read(self, name: str, time_from=None, time_until=None, months: list[str] | None = None, ends_after=None) -> DataFrame:
         """A table. For facts, ``time_from``/``time_until`` bound the time column (``event_start`` /
-        ``sample_time``) to [from, until), and ``months`` to these; both prune month partitions."""
+        ``sample_time``) to [from, until), ``months`` to these, and ``ends_after`` the end of an event
+        to after it; all prune partitions."""
         schema = schemas.TABLES[name]
         if name in STATE_KEYS:
             return self._folded(name, self._folders(name)).select(*schema.fieldNames())
         if name not in FACT_LAYOUT:
             return self._load(name, schema, self._folders(name))
-        df = self._load(name, StructType([*schema.fields, StructField(MONTH_COL, StringType(), True)]), self._folders(name))
+        df = self._facts(name, self._folders(name))
         tcol = F.col(FACT_LAYOUT[name][0])
         if months is not None:
             df = df.filter(F.col(MONTH_COL).isin(months)) if months else df.limit(0)
@@ -89,6 +97,9 @@ class Snapshot:
         if time_until is not None:
             hi = F.lit(time_until).cast("timestamp_ntz")
             df = df.filter((F.col(MONTH_COL) <= F.date_format(hi, "yyyy-MM")) & (tcol < hi))
+        if ends_after is not None:
+            end = F.lit(ends_after).cast("timestamp_ntz")
+            df = df.filter((F.col(UNTIL_COL) >= F.date_format(end, "yyyy-MM")) & (F.col(END_COLUMN[name]) > end))
         return df.select(*schema.fieldNames())
 
     # -- state kept as deltas
@@ -137,6 +148,10 @@ class Snapshot:
         return self.read(name, months=months).filter(F.col("uuid") == uuid)
 
 
+def _parts(name: str) -> list[str]:
+    return [MONTH_COL, UNTIL_COL] if name in END_COLUMN else [MONTH_COL]
+
+
 def _bucket(keys: list[str], n: int):
     return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
@@ -166,10 +181,10 @@ class Transaction(Snapshot):
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _write(self, name: str, df: DataFrame, part: str | None = None) -> str:
+    def _write(self, name: str, df: DataFrame, *parts: str) -> str:
         """A new folder of a table; nobody sees it before the commit."""
         folder = f"c={self.id}-{len(self.added.get(name, []))}"
-        w = df.write.partitionBy(part) if part else df.write
+        w = df.write.partitionBy(*parts) if parts else df.write
         w.parquet(f"{self.store.root}/{name}/{folder}")
         return folder
 
@@ -189,13 +204,15 @@ class Transaction(Snapshot):
             self._change(name, [self._write(name, df)])
             return
         tcol, sort = FACT_LAYOUT[name]
-        rows = df.withColumn(MONTH_COL, F.date_format(F.col(tcol), "yyyy-MM")).sortWithinPartitions(MONTH_COL, *sort)
-        folder = self._write(name, rows, MONTH_COL)
+        month = {MONTH_COL: F.date_format(F.col(tcol), "yyyy-MM")}
+        if name in END_COLUMN:
+            month[UNTIL_COL] = F.date_format(F.col(END_COLUMN[name]), "yyyy-MM")
+        rows = df.withColumns(month).sortWithinPartitions(*_parts(name), *sort)
+        folder = self._write(name, rows, *_parts(name))
         if not self.store._partitions(name, folder):
             return  # no rows
         self._change(name, [folder])
-        schema = StructType([schemas.TABLES[name]["uuid"], StructField(MONTH_COL, StringType(), True)])
-        self._write_ledger(name, self._load(name, schema, [folder]).select(F.xxhash64("uuid").alias("hash"), F.col(MONTH_COL).alias("month"), _bucket(["uuid"], self.store.ledger_buckets).alias(BUCKET_COL)))
+        self._write_ledger(name, self._facts(name, [folder]).select(F.xxhash64("uuid").alias("hash"), F.col(MONTH_COL).alias("month"), _bucket(["uuid"], self.store.ledger_buckets).alias(BUCKET_COL)))
 
     def _write_ledger(self, name: str, keys: DataFrame, gone: Iterable[str] = ()) -> None:
         rows = keys.repartition(self.store.ledger_buckets, BUCKET_COL).sortWithinPartitions(BUCKET_COL, "hash")
@@ -326,10 +343,10 @@ class TableStore:
         return name in self.log.latest()[1]
 
     # -- single reads and writes
-    def read(self, name: str, time_from=None, time_until=None) -> DataFrame:
+    def read(self, name: str, time_from=None, time_until=None, **more) -> DataFrame:
         now = self.snapshot()
         self._seen[name] = now.version
-        return now.read(name, time_from, time_until)
+        return now.read(name, time_from, time_until, **more)
 
     def append(self, name: str, df: DataFrame) -> None:
         self.run(lambda tx: tx.append(name, df))
@@ -369,9 +386,8 @@ class TableStore:
             if name not in FACT_LAYOUT:
                 tx._change(name, [tx._write(name, tx._load(name, schema, old))], old)
                 return
-            rows = tx._load(name, StructType([*schema.fields, StructField(MONTH_COL, StringType(), True)]), old)
-            rows = rows.repartition(MONTH_COL, F.pmod(F.xxhash64("workspace"), F.lit(64))).sortWithinPartitions(MONTH_COL, *FACT_LAYOUT[name][1])
-            tx._change(name, [tx._write(name, rows, MONTH_COL)], old)
+            rows = tx._facts(name, old).repartition(*_parts(name), F.pmod(F.xxhash64("workspace"), F.lit(64)))
+            tx._change(name, [tx._write(name, rows.sortWithinPartitions(*_parts(name), *FACT_LAYOUT[name][1]), *_parts(name))], old)
             tx._write_ledger(name, tx._load(ledger_of(name), LEDGER, keys), keys)
 
         self.run(body)

@@ -3,7 +3,7 @@ price upsert against a row-by-row statement of the rule on random configurations
 
 import datetime as dt
 import random
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 from meterkit.operators import catalog
 
@@ -137,3 +137,66 @@ def test_pricing_uses_latest_configured_price(spark):
     assert [(r.uuid, r.sku) for r in eff] == [("c", "sku1")]
     known = catalog.effective_prices(prices, items_df(spark), "2025-01-06 00:00:00", known_at="2025-01-15 00:00:00").collect()
     assert [r.uuid for r in known] == ["a"]
+
+
+EVENT = "uuid string, event_start timestamp_ntz, event_end timestamp_ntz, item_id string, workspace string, quantity double"
+
+
+def test_charges_are_exact(spark):
+    cases = [(1e13, "2.5"), (0.01, "0.000000412"), (5e-7, "1000000"), (123456789.123456, "99999999.999999999999"), (-3.0, "0.5"), (0.0, "7"), (1e19, "100"), (float("nan"), "1"), (1e-15, "0.001"), (2.0, "100000000")]
+    prices = spark.createDataFrame([(f"p{n}", f"i{n}", Decimal(p), T("2025-01-01"), None, T("2025-01-01")) for n, (_, p) in enumerate(cases)], PRICE_SCHEMA)
+    events = spark.createDataFrame([(f"e{n}", T("2025-01-02"), T("2025-01-02"), f"i{n}", "w", q) for n, (q, _) in enumerate(cases)] + [("x", T("2025-01-02"), T("2025-01-02"), "no", "w", 1.0)], EVENT)
+    got = {r.uuid: (r.charge, r.charge_reason) for r in catalog.price_usage(events, prices).collect()}
+    for n, (q, p) in enumerate(cases):
+        charge, reason = got[f"e{n}"]
+        if n in (6, 7, 9):  # beyond 20 digits before the point, no number, a price of 10^8
+            assert charge is None and reason == "out_of_range", n
+        else:
+            with localcontext() as c:
+                c.prec = 80
+                exact = Decimal(repr(q)) * Decimal(p)
+                assert reason is None and abs(charge - exact) <= Decimal("0.5e-18"), (n, charge, exact)
+    assert got["x"] == (None, "no_price")
+
+
+def test_unmapped_workspaces_are_charged_to_no_account(spark):
+    prices = spark.createDataFrame([("p", "i", Decimal("2"), T("2025-01-01"), None, T("2025-01-01"))], PRICE_SCHEMA)
+    events = spark.createDataFrame([(f"e{n}", T("2025-01-02"), T("2025-01-02"), i, w, 1.5) for n, (i, w) in enumerate([("i", "w1"), ("i", "w2"), ("no", "w2")])], EVENT)
+    accounts = spark.createDataFrame([("w1", "a")], "workspace string, account string")
+    got = {r.account: (r.charge, r.events, r.uncharged) for r in catalog.account_charges(catalog.price_usage(events, prices), accounts).collect()}
+    assert got == {"a": (Decimal(3), 1, 0), None: (Decimal(3), 2, 1)}
+
+
+def test_price_pieces_equal_the_plain_rule(spark):
+    rnd = random.Random(12)
+    rows = []
+    for n in range(150):
+        start = T("2025-01-01") + dt.timedelta(days=rnd.randint(0, 60))
+        end = None if rnd.random() < 0.2 else start + dt.timedelta(days=rnd.randint(0, 40))
+        rows.append((f"p{n:03d}", f"i{n % 4}", Decimal(n), start, end, T("2025-01-01") + dt.timedelta(days=rnd.randint(0, 9))))
+    got = {(r.item_id, r.piece_start): (r.piece_end, r.price_id) for r in catalog.price_timeline(spark.createDataFrame(rows, PRICE_SCHEMA)).collect()}
+    want = {}
+    for item in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == item]
+        points = sorted({p for r in mine for p in r[3:5] if p})
+        for a, b in zip(points, [*points[1:], None]):
+            live = [r for r in mine if r[3] <= a and (r[4] is None or a < r[4])]
+            if live:
+                want[item, a] = (b, min(live, key=lambda r: (-r[5].timestamp(), -r[3].timestamp(), r[0]))[0])
+    assert got == want
+
+
+def test_many_overlapping_prices_of_one_item(spark):
+    """100,000 prices of one item that all overlap: pairing prices with pieces would make 10^10 rows."""
+    n = 100_000
+    base = spark.range(n).selectExpr(
+        "concat('p', id) uuid", "'i' item_id", "cast(id as decimal(38,12)) price",
+        "timestamp_ntz'2025-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) valid_from",
+        "timestamp_ntz'2025-06-01 00:00:00' + make_dt_interval(0, 0, 0, id) valid_until",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, (id * 7919) % 100000) configured_at",
+    )
+    pieces = catalog.price_timeline(base)
+    # the piece that starts where all prices hold takes the latest configured one
+    full = pieces.where("piece_start = timestamp_ntz'2025-01-01 00:00:00' + make_dt_interval(0, 0, 0, 99999)").collect()
+    best = max(range(n), key=lambda i: (i * 7919) % 100000)
+    assert [r.price_id for r in full] == [f"p{best}"]

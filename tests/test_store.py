@@ -290,3 +290,49 @@ def test_ties_of_unnumbered_messages_go_by_content(spark):
     rows = spark.createDataFrame([("w", f"a{n}", None) for n in range(50)], "workspace string, account string, ingest_seq long").withColumn("ingest_at", at)
     kept = {ingest.first_wins(rows.repartition(n), "workspace").first().account for n in (1, 3, 7)}
     assert len(kept) == 1
+
+
+def test_overlap_reads_the_partitions_that_reach_into_the_range(spark):
+    _, store = new_root(spark)
+    rng = random.Random(6)
+    rows = []
+    for n in range(60):
+        start = T("2024-01-01") + dt.timedelta(days=rng.randrange(500), hours=rng.randrange(24))
+        length = dt.timedelta(days=200) if n % 20 == 0 else dt.timedelta(hours=rng.randrange(0, 60))
+        rows.append((_u(n), start, start + length, "item-a", None, "w", 1.0))
+    flat = spark.createDataFrame(rows, schemas.BILLING_EVENT)
+    store.append("billing_event", flat)
+    items, lo, hi = store.read("billing_item"), "2025-02-03 05:00:00", "2025-02-20 00:00:00"
+    for kw in ({}, {"time_aggregation": "day"}, {"time_aggregation": "month"}):
+        got = usage.usage_query(store, items, start=lo, end=hi, mode="overlap", limit=None, **kw)
+        want = usage.usage_query(flat, items, start=lo, end=hi, mode="overlap", limit=None, **kw)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() > 0
+        filters = plan(got).split("PartitionFilters: [")[1].split("]")[0]
+        assert ("_until" if not kw else "_month") in filters
+    read = store.snapshot().read("billing_event", time_until=hi, ends_after=lo)
+    months = {f.split("_month=")[1][:7] for f in read.inputFiles()}
+    older = {f.split("_month=")[1][:7] for f in store.read("billing_event").inputFiles()}
+    assert len(months) <= len(older)
+    assert plan(read).count("_until") > 0 and {r.uuid for r in read.collect()} == {r[0] for r in rows if r[1] < T(hi) and r[2] > T(lo)}
+
+
+def test_price_list_of_any_past_moment(spark):
+    """Random loads with overwrites and closings against the lists that a replay had after each load."""
+    from meterkit.operators import catalog
+
+    _, store = new_root(spark)
+    rng, lists = random.Random(8), []
+    for load in range(4):
+        prices = [("testsku", f"2025-01-{rng.randrange(1, 28):02d}", str(rng.randrange(1, 9))) for _ in range(2)]
+        at = f"2025-0{load + 1}-01 00:00:00"
+        doc = spark.createDataFrame([(None, sorted(prices, key=lambda p: p[1]))], schemas.CONFIG)
+        apply_config(store, *config_frames(doc), at)
+        lists.append((at, sorted(map(tuple, store.read("billing_item_price").collect()), key=str)))
+    assert len({str(x) for _, x in lists}) > 1
+    history = store.read("price_history")
+    for at, want in lists:
+        for moment in (at, at.replace("01 00:00:00", "15 00:00:00")):
+            got = catalog.prices_known(history, moment)
+            assert got.columns == schemas.BILLING_ITEM_PRICE.fieldNames()
+            assert sorted(map(tuple, got.collect()), key=str) == want
+    assert catalog.prices_known(history, "2024-12-31 00:00:00").count() == 0

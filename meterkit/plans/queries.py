@@ -195,16 +195,8 @@ def interval_samples(spark, d):
 @register("rate_at")
 def rate_at(spark, d):
     """Interpolated rate at the start of each requested interval (NULL outside the signal)."""
-    s = tm.rate_sample(spark, d)
-    frame = timeseries._sample_frame(s, timeseries.KEYS)
-    linked = timeseries.link_next(frame, timeseries.KEYS)
     iv = tm.requested_intervals(spark, d).select("interval_id", *timeseries.KEYS, to_us(F.col("start")).alias("x"))
-    hit = timeseries.asof_backward(iv, "x", linked, "t", timeseries.KEYS, ["t", "r", "nt", "nr"], tiebreak=["u"])
-    rate = (
-        F.when(F.col("x") == F.col("t"), F.col("r"))
-        .when(F.col("nt").isNotNull(), timeseries.rate_at(F.col("x"), F.col("t"), F.col("r"), F.col("nt"), F.col("nr")))
-    )
-    return hit.select("interval_id", F.round(rate, 6).alias("rate"))
+    return timeseries.rates_at(tm.rate_sample(spark, d), iv, "x").select("interval_id", F.round("rate", 6).alias("rate"))
 
 
 @register("consumption_interval")

@@ -469,6 +469,15 @@ SELECT CASE WHEN event_id % 101 = 0 THEN 'bad-' || CAST(event_id AS VARCHAR) ELS
        ingest_seq,
        CASE WHEN event_id % 101 = 0 THEN 'bad_uuid' ELSE 'end_before_start' END AS reason
 FROM message_copies WHERE event_id % 101 = 0 OR event_id % 103 = 0""",
+    )
+    out["ingest_events_json"] = with_tables(["message_copies"], f""",{_VALID_EVENTS}
+SELECT uuid, event_start, event_end, sku, "user", workspace, quantity FROM valid_events""")
+    out["quarantine_repair"] = with_tables(
+        ["message_copies"],
+        f"""
+SELECT {U("'ev:' || CAST(event_id AS VARCHAR)")} AS uuid, make_timestamp({_MSG_START} - {HOUR}) AS event_start, make_timestamp({_MSG_START}) AS event_end,
+       {_MSG_SKU} AS sku, {_MSG_USER} AS "user", 'ws-' || CAST(user_id AS VARCHAR) AS workspace, value AS quantity, ingest_seq
+FROM message_copies WHERE event_id % 101 <> 0 AND event_id % 103 = 0""",
     )
     out["quarantine_bad_times"] = f"""
 SELECT {U("'ev:' || CAST(event_id AS VARCHAR)")} AS uuid,

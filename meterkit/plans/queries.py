@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterkit import schemas
 from meterkit.functions import to_us
 from meterkit.operators import access, catalog, ingest, timeseries, usage
 from meterkit.session import ensure_utc
@@ -444,6 +445,29 @@ def workspace_quarantine(spark, d):
     return ingest.workspace_quarantine(tm.workspace_messages_with_errors(spark, d))
 
 
+@register("quarantine_repair")
+def quarantine_repair(spark, d):
+    """V3: messages that end before they start, read back from the payload that quarantine keeps, with
+    their ends swapped, and parsed again."""
+    rejected = ingest.quarantine(ingest.parse_event_messages(tm.event_messages(spark, d), payload=True))
+    back = ingest_stream.letters(rejected, schemas.EVENT_MESSAGE).filter("reason = 'end_before_start'").drop("reason", "digest")
+    fixed = back.select("uuid", F.col("event_end").alias("event_start"), F.col("event_start").alias("event_end"), "sku", "user", "workspace", "quantity", "ingest_seq")
+    return ingest.valid(ingest.parse_event_messages(fixed))
+
+
+@register("ingest_events_json")
+def ingest_events_json(spark, d):
+    """Broker messages, JSON text in binary values, parsed and validated (all copies)."""
+    m = tm.event_messages(spark, d)
+    fields = [c for c in m.columns if c != "ingest_seq"]
+    raw = m.select(
+        F.encode(F.to_json(F.struct(*fields)), "UTF-8").alias("value"),
+        F.timestamp_millis(F.lit(1_735_689_600_000)).alias("timestamp"), F.lit(0).alias("partition"), F.col("ingest_seq").alias("offset"),
+    )
+    rows = ingest_stream.broker_messages(raw, schemas.EVENT_MESSAGE)
+    return ingest.valid(ingest.parse_event_messages(rows, payload=True)).drop("ingest_seq", "ingest_at")
+
+
 @register("stream_events_replay")
 def stream_events_replay(spark, d):
     """Resume points asked for by a batch in which stored uuids and re-sent copies with other

@@ -57,10 +57,10 @@ def read_kafka_stream(spark: SparkSession, servers: str, topic: str, schema, **o
         .options(**options)
         .load()
     )
-    return _broker_messages(raw, schema)
+    return broker_messages(raw, schema)
 
 
-def _broker_messages(raw: DataFrame, schema) -> DataFrame:
+def broker_messages(raw: DataFrame, schema) -> DataFrame:
     """Fields, position and ``raw`` text (for the quarantine) of a broker's messages."""
     fields = [f for f in schema.fieldNames() if f != "ingest_seq"]
     value = F.col("value").cast("string")
@@ -271,12 +271,15 @@ def _add_quarantine(tx: Transaction, table: str, rejected: DataFrame) -> None:
     tx.append(table, rejected.alias("r").join(old.alias("q"), same, "left_anti"))
 
 
+def letters(quarantined: DataFrame, schema) -> DataFrame:
+    """The messages of quarantined rows, read back from their payload, with ``reason`` and ``digest``."""
+    return quarantined.select("reason", "digest", F.from_json("payload", schema).alias("m")).select("m.*", "reason", "digest")
+
+
 def dead_letters(store: TableStore | Snapshot, table: str, schema) -> DataFrame:
-    """The messages of a quarantine table, read back from their payload, with ``reason`` and ``digest``.
-    Corrected rows go through the same body again (``EventBatch(store)(corrected, epoch)``): the uuid
-    ledger bills a row once however often it is sent."""
-    rows = store.read(table).select("reason", "digest", F.from_json("payload", schema).alias("m"))
-    return rows.select("m.*", "reason", "digest")
+    """The messages of a quarantine table. Corrected rows go through the same body again
+    (``EventBatch(store)(corrected, epoch)``): the uuid ledger bills a row once however often it is sent."""
+    return letters(store.read(table), schema)
 
 
 def start_event_ingest(spark: SparkSession, store: TableStore, source: DataFrame, name: str = "events", trigger=None):

@@ -279,7 +279,7 @@ def test_bad_workspace_messages_are_quarantined(spark):
 def test_broker_message_that_is_no_json_keeps_its_text(spark):
     raw = spark.createDataFrame([(bytearray(b"{broken"), 0, 1)], "value binary, partition int, offset long").withColumn("timestamp", F.timestamp_millis(F.lit(1_700_000_000_000)))
     _, store = new_root(spark)
-    st.EventBatch(store)(st._broker_messages(raw, schemas.EVENT_MESSAGE), 0)
+    st.EventBatch(store)(st.broker_messages(raw, schemas.EVENT_MESSAGE), 0)
     assert [(r.reason, r.payload) for r in store.read("event_quarantine").collect()] == [("bad_uuid", "{broken")]
 
 

@@ -8,18 +8,20 @@ runs ``length:flag`` in code points, flag 1 for an assistant's words and the end
 Defined cases: rows without a conversation id belong to none. A null text renders as empty, a null
 role as ``unknown``; nulls are equal to nulls. Repeated turns stay, as repeated turns. A pair whose
 other side is missing has an empty prompt and null on that side. Identical conversations have
-everything in the prompt and empty completions. An empty table gives an empty result. Columns
-besides the four named ones are ignored.
+everything in the prompt and empty completions. An empty table gives an empty result. Ids
+that are no whole numbers are dealt by their hash. A conversation is one row, with all its turns and whole
+texts. Columns besides the four named ones are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
-PARTS = 1024  # of the conversations that share a first turn
+PARTS = 1024  # of the conversations that share a first turn; also the most rows of its count table
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -36,7 +38,8 @@ def pairs_by_first_turn(convs: DataFrame) -> DataFrame:
     Ranks are counted per part and added up over the parts, so a first turn that very many
     conversations share is never ranked in one task."""
     first = F.sha2(F.to_json(F.struct(F.col("turns")[0].alias("t")), {"ignoreNullFields": "false"}), 256)
-    light = convs.select("conv_id", first.alias("key"), F.pmod("conv_id", F.lit(PARTS)).alias("part"))
+    number = F.col("conv_id") if isinstance(convs.schema["conv_id"].dataType, IntegralType) else F.xxhash64("conv_id")
+    light = convs.select("conv_id", first.alias("key"), F.pmod(number, F.lit(PARTS)).alias("part"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = light.groupBy("key", "part").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")
     own = F.row_number().over(Window.partitionBy("key", "part").orderBy("conv_id"))

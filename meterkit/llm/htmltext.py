@@ -13,7 +13,8 @@ pages), and all articles of what is a part by its element or role (nav, aside, f
 
 Defined cases: null and empty html gives an empty text. Broken markup (unclosed, cut off) is read
 as far as it goes. Rows are read one by one: repeated rows get equal results, a null id stays
-null, an empty table gives an empty result. Columns besides the named ones are ignored.
+null, an empty table gives an empty result. A very long page is read
+whole. Columns besides the named ones are ignored.
 """
 
 from __future__ import annotations

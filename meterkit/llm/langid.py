@@ -12,7 +12,8 @@ curve, which needs no exponentials.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. A null lang never
 trains; without any labelled row every text is ``und``. Rows are judged one by one: repeated rows
 get equal results, a null id stays null (and does not train), an empty table gives an empty
-result. Columns besides the named ones are ignored.
+result. Equal probabilities go to the language that sorts first. A very long text is
+read whole, in windows. Columns besides the named ones are ignored.
 """
 
 from __future__ import annotations

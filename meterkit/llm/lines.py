@@ -13,8 +13,8 @@ task as one row per block. The others are known to be later ones.
 
 Defined cases: null and empty texts have no units (a null text stays null). Units without a word
 belong to no run but are removed when they stand inside one. Rows that repeat an id with the same
-text are one occurrence and get equal results. An empty table gives an empty result. All columns
-are kept.
+text are one occurrence and get equal results. An empty table gives an empty result. A very long text
+is cut into its units whole. All columns are kept.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ is dropped. Offsets are code points, the end exclusive.
 
 Defined cases: null and empty texts have no spans. Rows are judged one by one: repeated rows get
 equal results, a null id stays null, an empty table gives an empty result. Spans are listed by
-start, then by kind in the order of ``KINDS``. ``redact`` keeps all columns and a null text null.
+start, then by kind in the order of ``KINDS``. A very long text is read whole, in
+time that grows with its length. ``redact`` keeps all columns and a null text null.
 """
 
 from __future__ import annotations

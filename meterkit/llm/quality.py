@@ -7,7 +7,8 @@ word by word before they count.
 
 Defined cases: a null or empty text has no words, counts of 0 and fails the base rule. Rows are
 judged one by one, so repeated rows get equal results, a null id stays null and an empty table
-gives an empty result. Columns besides the id and the text are ignored.
+gives an empty result. A very long text is judged whole, alone in its block.
+Columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations

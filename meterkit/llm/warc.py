@@ -15,7 +15,8 @@ named by url and payload alone. Rows are converted one by one: repeated rows get
 empty table gives an empty result. A payload that is not encoded as its headers say is read as it
 is, a broken one as far as it goes; one in another encoding (br, zstd) has no text unless it is
 UTF-8 as it stands. A block without an HTTP head is all payload. Line ends within
-header values become spaces. Columns besides the named ones are ignored.
+header values become spaces. A record whose stated length is missing or no number reaches to the next
+record. A very long page is one record, held whole by its task. Columns besides the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def decoded(headers: list[tuple[str, str]], payload: bytes) -> str:
 
 def record(kind: str, record_id: str, date: str, target: str | None, content_type: str, block: bytes, more: list[tuple[str, str]]) -> bytes:
     """One WARC/1.1 record, with the two line ends after its block."""
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date)]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{_line(record_id or '')}>"), ("WARC-Date", _line(date))]
     head += [("WARC-Target-URI", _line(target))] if target is not None else []
     head += [*more, ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
     return ("WARC/1.1" + LINE + "".join(f"{k}: {v}{LINE}" for k, v in head) + LINE).encode() + block + b"\r\n\r\n"
@@ -153,7 +154,7 @@ def derive_one(record_id: str, target: str | None, date: str, block: bytes, stat
     fields = [*source, ("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in headers)]
     fields += [("title", entities.unescape(title[1])) if title else ("title", ""), ("conversion", f"<{conversion_id}>")]
     about = "".join(f"{k}: {_line(v)}{LINE}" for k, v in fields).encode()
-    refers = [("WARC-Refers-To", f"<{record_id}>")]
+    refers = [("WARC-Refers-To", f"<{_line(record_id)}>")]
     out = []
     for kind, name, content_type, body in (("metadata", metadata_id, "application/warc-fields", about), ("conversion", conversion_id, "text/plain; charset=utf-8", text)):
         out.append({
@@ -227,9 +228,14 @@ def _records(data: bytes) -> list[tuple[dict, bytes, str]]:
             return out
         lines = re.sub(r"\r\n[ \t]+", " ", data[at:end].decode("utf-8", "replace")).split(LINE)[1:]
         head = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines if ":" in line)}
-        size = int(head.get("content-length", 0))
-        out.append((head, data[end + 4 : end + 4 + size], LINE.join(lines)))
-        at = end + 4 + size
+        stated = head.get("content-length", "")
+        if stated.isascii() and stated.isdigit():
+            stop = end + 4 + int(stated)
+        else:  # missing, negative or no number: up to the next record
+            stop = data.find(b"\r\n\r\nWARC/", end + 4)
+            stop = stop if stop >= 0 else len(data)
+        out.append((head, data[end + 4 : stop], LINE.join(lines)))
+        at = stop
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:

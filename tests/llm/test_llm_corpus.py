@@ -196,6 +196,13 @@ def test_every_conversation_is_in_one_pair(spark):
     assert sum(r.rejected_id is None for r in pairs) == sum(i % 3 == 0 for i in range(-50, 900)) + sum(i % 3 != 0 for i in range(-50, 900)) % 2
 
 
+def test_text_conversation_ids(spark):
+    rows = [(c, 0, "user", "hi") for c in "abc"] + [(c, 1, "assistant", c) for c in "abc"]
+    convs = chat.conversations(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))
+    pairs = chat.pairs_by_first_turn(convs).collect()
+    assert sorted(x for p in pairs for x in (p.chosen_id, p.rejected_id) if x) == ["a", "b", "c"] and len(pairs) == 2
+
+
 def test_chat_plan_is_native(spark):
     convs = chat.conversations(spark.read.parquet(f"{SF}/conversations.parquet"))
     plan = chat.preference_examples(chat.pairs_by_first_turn(convs), convs)._jdf.queryExecution().executedPlan().toString()
@@ -205,6 +212,17 @@ def test_chat_plan_is_native(spark):
 # ---- WARC ----
 
 
+def test_malformed_warc_headers():
+    good = warc.record("response", "urn:x\r\nEvil: 1", "2025\r\nEvil: 2", "http://a/", "text/plain", b"body", [])
+    (head, body), = warc.parse(good)
+    assert body == b"body" and "evil" not in head
+    for wrong in (b"abc", b"-5", b"", "²".encode()):
+        broken = good.replace(b"Content-Length: 4", b"Content-Length: " + wrong)
+        got = warc.parse(broken + good)
+        assert [b for _, b in got] == [b"body", b"body"], wrong
+    assert [b for _, b in warc.parse(good.replace(b"Content-Length: 4", b"X: 4"))] == [b"body\r\n\r\n"]
+
+
 def test_warc_derivatives_are_linked(spark, tmp_path):
     rows = [(1, "http://a.example/é x", "<html><title>T &amp;\n U</title><body><p>Hello <b>w</b>orld</p><p>two\r\n\r\nlines</p></body>"), (2, None, None), (None, "u", ""), (3, "v\nw", "plain"), (3, "v\nw", "plain")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id int, url string, html string, record_id string")

@@ -68,7 +68,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), pii.train())
     counts = [F.expr(f"cast(size(filter(split(base, ','), x -> startswith(x, '{k}:'))) as bigint)").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+    more = "cast(size(filter(split(spans, ','), x -> x <> ''{0})) as bigint)"
+    secret, every = F.expr(more.format(" and startswith(x, 'secret:')")), F.expr(more.format(""))
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", secret.alias("n_secret"), every.alias("n_spans"))
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

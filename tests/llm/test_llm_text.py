@@ -377,6 +377,7 @@ def test_pii_registered_and_edges(spark, edge, empty, field):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.BASE)
         assert set(listed.split(",")) - {""} <= set(r.spans.split(","))
+        assert r.n_spans == len([x for x in r.spans.split(",") if x]) and r.n_secret == sum(x.startswith("secret:") for x in r.spans.split(","))
     clean = pii.redact(edge, field)
     assert clean.columns == edge.columns and [r.text for r in clean.collect()] == [r[1] for r in edge_rows()]
     assert pii.find(empty, field).count() == 0

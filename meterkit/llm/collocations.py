@@ -1,11 +1,11 @@
 """Phrase collocations by prefix-free parsing.
 
 A text (A-Z lower-cased) is split into pieces and these into words. Where the hash of a window of
-``OVERLAP`` words falls on a multiple of ``TRIGGER``, a new chunk opens with that window, and the
-chunk before it ends with it; so chunks are cut by content, and copies of a passage give copies of
-its chunks. The distinct chunks of a language with the number of times each was parsed are the
+``OVERLAP`` words of a piece falls on a multiple of ``TRIGGER``, a new chunk opens with that window, and
+the chunk before it ends with it; so chunks are cut by content, and copies of a passage give copies
+of its chunks. A chunk may span pieces, which stay on lines of their own in it. The distinct chunks of a language with the number of times each was parsed are the
 dictionary. A chunk owns the positions up to the next chunk's first word: every phrase of up to
-``OVERLAP`` + 1 words that starts at an owned position lies whole inside the chunk, and the window
+``OVERLAP`` + 1 words of a piece that starts at an owned position lies whole inside the chunk, and the window
 two chunks share is owned by the later one, so each occurrence is counted once. Phrases are counted
 inside distinct chunks only, weighted by the chunk's frequency.
 
@@ -129,20 +129,20 @@ class Words:
         return order, np.flatnonzero(first)
 
 
-def parse(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, owned) of the chunks of rows of words, as word numbers; a row is a piece."""
+def parse(words: Words, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, owned) of the chunks of the texts (``text``: the ascending number of each word's
+    text; a row is a piece), as word numbers. Triggering windows lie inside pieces, chunks may span several."""
     n_words = len(words.row)
     at = np.arange(n_words)
+    end_of = lambda group: np.searchsorted(group, group, side="right")
+    piece_end, text_end = end_of(words.row), end_of(text)
     opens = np.ones(n_words, bool)
-    opens[1:] = words.row[1:] != words.row[:-1]
-    first = np.flatnonzero(opens)
-    number = np.cumsum(opens) - 1
-    end = np.append(first[1:], n_words)[number] if n_words else at
-    inner = at[(at > first[number]) & (at + OVERLAP <= end)] if n_words else at
+    opens[1:] = text[1:] != text[:-1]
+    inner = at[~opens & (at + OVERLAP <= piece_end)]
     cut = words.hashes(inner, inner + OVERLAP) % np.uint64(TRIGGER) == 0 if len(inner) else np.zeros(0, bool)
-    start = np.sort(np.concatenate([first, inner[cut]]))
-    until = np.append(start[1:], n_words)  # a piece's first word follows the last one of the piece before
-    return start, np.minimum(until + OVERLAP, end[start]), until - start
+    start = np.sort(np.concatenate([np.flatnonzero(opens), inner[cut]]))
+    until = np.append(start[1:], n_words)  # a text's first word follows the last one of the text before
+    return start, np.minimum(until + OVERLAP, text_end[start]), until - start
 
 
 def _parts(batches):
@@ -171,9 +171,10 @@ def _parts(batches):
 def _dictionary_rows(batches):
     for raw, langs, ends in _parts(batches):
         words = Words(raw)
-        start, stop, owned = parse(words)
+        text = np.searchsorted(ends, words.at, side="right")
+        start, stop, owned = parse(words, text)
         of, names = pd.factorize(np.array(langs, dtype=object))
-        lang = of[np.searchsorted(ends, words.at[start], side="right")]
+        lang = of[text[start]]
         other = lang * (1 << 32) + owned
         order, lead = words.groups(start, stop, words.hashes(start, stop, mix64(other)), other)
         one = order[lead]
@@ -190,38 +191,53 @@ def dictionary(df: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     return written(found.withColumn("number", F.monotonically_increasing_id()), "chunks")
 
 
+def _gathered(batches):
+    """Blocks of about BLOCK bytes of chunks, made of as many batches as that takes."""
+    held, size = [], 0
+    for block in blocks(batches, "chunk", BLOCK):
+        n = pc.sum(pc.binary_length(block.column("chunk"))).as_py()
+        if held and size + n > BLOCK:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(block)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class _Block:
-    """The words of a block of chunks."""
+    """The words of a block of chunks, whose pieces stand on lines of their own."""
 
     def __init__(self, block: pa.RecordBatch):
-        whole = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column("chunk"))
+        chunks = block.column("chunk")
+        whole = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), chunks)
         self.words = Words(pc.binary_join(whole, "\n")[0].as_buffer().to_pybytes() + b"\n")
-        self.row = self.words.row
-        count = np.bincount(self.row, minlength=block.num_rows)
-        self.end = np.cumsum(count)
-        self.first = self.end - count
+        ends = np.cumsum(pc.binary_length(chunks).to_numpy().astype(np.int64) + 1)
+        self.chunk = np.searchsorted(ends, self.words.at, side="right")
+        self.first = np.searchsorted(self.chunk, np.arange(block.num_rows))
+        self.end = np.searchsorted(self.words.row, self.words.row, side="right")
         coded = block.column("lang").dictionary_encode()
         self.langs, self.lang = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         self.seed = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs), np.uint64, len(self.langs))[self.lang]
 
     def starts(self, n: int) -> np.ndarray:
-        """Words from which n words follow in the chunk, themselves included."""
-        at = np.arange(len(self.row))
-        return at[at + n <= self.end[self.row]]
+        """Words from which n words follow in the piece, themselves included."""
+        at = np.arange(len(self.chunk))
+        return at[at + n <= self.end]
 
     def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
-        return self.words.hashes(at, at + n, self.seed[self.row[at]]).view(np.int64)
+        return self.words.hashes(at, at + n, self.seed[self.chunk[at]]).view(np.int64)
 
 
 def _positions(n: int):
     """(hash, number, pos) of every phrase of n words in the chunks, owned or not."""
 
     def run(batches):
-        for block in blocks(batches, "chunk", BLOCK):
+        for block in _gathered(batches):
             b = _Block(block)
             at = b.starts(n)
-            number = block.column("number").to_numpy()[b.row[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(b.hashes(at, n)), pa.array(number), pa.array(at - b.first[b.row[at]])], names=["hash", "number", "pos"])
+            number = block.column("number").to_numpy()[b.chunk[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(b.hashes(at, n)), pa.array(number), pa.array(at - b.first[b.chunk[at]])], names=["hash", "number", "pos"])
 
     return run
 
@@ -232,11 +248,11 @@ def _counts(n: int, shared=None):
 
     def run(batches):
         known = None if shared is None else shared.value
-        for block in blocks(batches, "chunk", BLOCK):
+        for block in _gathered(batches):
             b = _Block(block)
             at = b.starts(n)
             if n > 1:
-                part = np.zeros(len(b.row) + 1, bool)
+                part = np.zeros(len(b.chunk) + 1, bool)
                 if known is None:
                     places = block.column("at")
                     part[b.first[np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))] + places.flatten().to_numpy()] = True
@@ -246,10 +262,10 @@ def _counts(n: int, shared=None):
                     part[short] = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
                 at = at[part[at] & part[at + 1]]
             owned = block.column("owned").to_numpy()
-            at = at[at - b.first[b.row[at]] < owned[b.row[at]]]
-            lang, h = b.lang[b.row[at]], b.hashes(at, n)
+            at = at[at - b.first[b.chunk[at]] < owned[b.chunk[at]]]
+            lang, h = b.lang[b.chunk[at]], b.hashes(at, n)
             order, lead = b.words.groups(at, at + n, h, lang)
-            f = np.add.reduceat(block.column("times").to_numpy()[b.row[at]][order], lead) if len(lead) else np.zeros(0, np.int64)
+            f = np.add.reduceat(block.column("times").to_numpy()[b.chunk[at]][order], lead) if len(lead) else np.zeros(0, np.int64)
             one = order[lead]
             names = pa.DictionaryArray.from_arrays(pa.array(lang[one], pa.int32()), pa.array(b.langs, pa.string())).cast(pa.string())
             yield pa.RecordBatch.from_arrays([names, b.words.texts(at[one], at[one] + n), pa.array(h[one]), pa.array(f)], names=["lang", "phrase", "hash", "f"])

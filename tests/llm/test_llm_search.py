@@ -143,13 +143,18 @@ def test_collocations_of_nothing(spark):
 def test_chunks_cover_every_phrase_once():
     rng = random.Random(2)
     lists = [[rng.choice("abcdefgh") for _ in range(n)] for n in (1, 3, 4, 5, 40, 400, 0, 700)] + [["x"] * 300]
-    text = col.Words("".join(rng.choice([" ", "  ", "\t "]).join(x) + rng.choice(["\n", " \n\n"]) for x in lists).encode())
-    start, stop, owned = col.parse(text)
-    chunks = [c.split(" ") for c in text.texts(start, stop).to_pylist()]
+    texts = [lists[:3], lists[3:5], lists[5:6], lists[6:]]  # rows are pieces, some texts have several
+    rows = ["".join(rng.choice([" ", "  ", "\t "]).join(x) + rng.choice(["\n", " \n\n"]) for x in t) for t in texts]
+    words = col.Words("".join(rows).encode())
+    start, stop, owned = col.parse(words, np.searchsorted(np.cumsum([len(r) for r in rows]), words.at, side="right"))
     got = Counter()
-    for words, own in zip(chunks, owned):
-        for i in range(own):
-            got.update(tuple(words[i : i + n]) for n in range(1, col.MOST_WORDS + 1) if i + n <= len(words))
+    for chunk, own in zip(words.texts(start, stop).to_pylist(), owned):
+        before = 0
+        for piece in chunk.split("\n"):
+            ws = piece.split(" ")
+            for i in range(min(len(ws), own - before)):
+                got.update(tuple(ws[i : i + n]) for n in range(1, col.MOST_WORDS + 1) if i + n <= len(ws))
+            before += len(ws)
     assert got == Counter(tuple(x[i : i + n]) for x in lists for n in range(1, 6) for i in range(len(x) - n + 1))
     assert len(start) > len(lists)  # long lists are cut
 

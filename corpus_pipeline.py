@@ -4,6 +4,10 @@ personal data, tokens.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what a stage
 returns as Parquet under the shared checkpoint folder and gives it to the next one, so a lost
 executor costs at most the current stage. All stages but the last return the columns of ``docs``.
+
+Defined cases, for every stage: an empty table gives an empty result, further columns (also with the
+names that a stage uses inside) are kept, a null id stays null, and very long texts are read whole.
+Rows are judged one by one but in ``near_duplicates``, so equal rows share their fate.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ from meterkit.llm.queries import byte_vocabulary
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: not ``und``, and a mean probability of MIN_SCORE at
-    least. The model learns from the labelled documents that are not held out."""
+    least. The model learns from the labelled documents that are not held out. A null text, or one
+    without a letter, is ``und`` and goes; equal probabilities go to the language that sorts first."""
     model = langid.train(docs)
     lang, score = fresh(docs, "__lang"), fresh(docs, "__score")
     found = langid.predict(docs, model, lang_name=lang, score_name=score)
@@ -25,17 +30,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at five words and a Jaccard similarity of 0.8: the smallest id."""
+    """One document of each group linked at five words and a Jaccard similarity of 0.8: the smallest id.
+    Null, empty and wordless texts are in no group and stay; of rows with the same id and text one
+    stays; rows without an id are judged by their text."""
     return jaccard.keep_one(docs, n=5, percent=80)
 
 
 def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark. Null, empty and wordless texts stay; items
+    without words contaminate nothing."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the new text."""
+    """All documents, personal data replaced by its kind; n_chars follows the new text (a null text or
+    n_chars stays null). Of overlapping spans the base patterns' stay."""
     from pyspark.sql import functions as F
 
     clean = pii.redact(docs, pii.train())
@@ -46,7 +55,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's columns besides the text, its number of tokens, and digests of ids and decoded bytes."""
+    """Every document's columns besides the text, its number of tokens, and digests of ids and decoded bytes.
+    A null or empty text has no tokens."""
     return bpe.token_digests(docs, *byte_vocabulary())
 
 

@@ -44,7 +44,7 @@ def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the new text (a null text or
-    n_chars stays null). Of overlapping spans the base patterns' stay."""
+    n_chars stays null). Overlapping spans become one stretch, named after the first."""
     from pyspark.sql import functions as F
 
     clean = pii.redact(docs, pii.train())

@@ -215,7 +215,7 @@ class Transaction(Snapshot):
         self._write_ledger(name, self._facts(name, [folder]).select(F.xxhash64("uuid").alias("hash"), F.col(MONTH_COL).alias("month"), _bucket(["uuid"], self.store.ledger_buckets).alias(BUCKET_COL)))
 
     def _write_ledger(self, name: str, keys: DataFrame, gone: Iterable[str] = ()) -> None:
-        rows = keys.repartition(self.store.ledger_buckets, BUCKET_COL).sortWithinPartitions(BUCKET_COL, "hash")
+        rows = keys.repartition(BUCKET_COL).sortWithinPartitions(BUCKET_COL, "hash")
         self._change(ledger_of(name), [self._write(ledger_of(name), rows, BUCKET_COL)], gone)
 
     def replace(self, name: str, df: DataFrame) -> None:
@@ -244,7 +244,7 @@ class Transaction(Snapshot):
             if gone:
                 kept = self._folded(name, gone).join(df.select(*keys).distinct(), keys, "left_anti")
                 rows = rows.unionByName(kept.select(*rows.columns))
-        folder = self._write(name, rows.repartition(n, BUCKET_COL), BUCKET_COL)
+        folder = self._write(name, rows.repartition(BUCKET_COL), BUCKET_COL)
         self._change(name, [f"{folder}/{p}" for p in self.store._partitions(name, folder)], gone)
 
     def commit(self) -> int:

@@ -34,7 +34,7 @@ from meterkit.llm.common import blocks, fields, kept_state, map_arrow, texts_of
 
 VOCAB_BYTES = 64 << 20
 CHUNK_BYTES = 256 << 10  # of distinct pieces in one recursive query; a longer piece stands alone
-CACHE_BYTES = 30 << 20  # of remembered pieces with their ids and bytes, twice at most
+CACHE_BYTES = 60 << 20  # of remembered pieces with their ids and bytes, twice at most, unless a caller asks for less
 SHORT = 64
 BLOCK = 4 << 20  # bytes of text whose new pieces go into the queries together
 DECODE = """
@@ -85,7 +85,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """The vocabulary and its merges as DuckDB tables, and the pieces encoded so far."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int | None = None):
         import duckdb
         import pandas as pd
         import regex
@@ -107,6 +107,7 @@ class Encoder:
         known = pd.DataFrame({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]})
         self.db.execute("CREATE TABLE vocab AS SELECT id::INT id, hex FROM known")
         self.ranks = ranks
+        self.cache_bytes = cache_bytes
         self.cache: dict[str, tuple[int, str, bytes]] = {}
         self.older: dict[str, tuple[int, str, bytes]] = {}
         self.size = 0
@@ -161,7 +162,7 @@ class Encoder:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Have all the pieces in the cache. What was not used for a whole cache's length is forgotten."""
-        if self.size > CACHE_BYTES:
+        if self.size > (self.cache_bytes or CACHE_BYTES):
             self.older, self.cache, self.size = self.cache, {}, 0
         new = []
         for p in dict.fromkeys(pieces):
@@ -183,9 +184,9 @@ class Encoder:
         return self.split(text)
 
 
-def _encoder(key: str, shared, pattern: str) -> Encoder:
+def _encoder(key: str, shared, pattern: str, cache_bytes: int | None = None) -> Encoder:
     """One encoder per Python worker and vocabulary, until another operator starts there."""
-    return kept_state(key, lambda: Encoder(shared.value, pattern))
+    return kept_state(key, lambda: Encoder(shared.value, pattern, cache_bytes))
 
 
 def _share(df: DataFrame, path: str, pattern: str):
@@ -234,19 +235,21 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", name: s
     return map_arrow(df, run, f"{fields(df)}, `{name}` binary", state=key)
 
 
-def token_digests(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def token_digests(df: DataFrame, path: str, pattern: str, text_col: str = "text", cache_bytes: int | None = None) -> DataFrame:
     """``df`` without its text, with the number of tokens, a digest of the ids and one of the bytes
     decoded from them. A document's bytes are those of its pieces' tokens in order, so each
-    distinct piece is decoded once. Columns of those names are replaced."""
+    distinct piece is decoded once. Columns of those names are replaced. ``cache_bytes`` bounds what a
+    worker remembers (CACHE_BYTES by default): less memory, more pieces encoded again."""
     df = df.drop("n_tokens", "ids_sha256", "decoded_sha256")
     key, shared = _share(df, path, pattern)
+    key = f"{key}-{cache_bytes}"
     rest = df.drop(text_col)
     keep = rest.columns
     names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
         for block in blocks(batches, text_col, BLOCK):
-            encoder = _encoder(key, shared, pattern)
+            encoder = _encoder(key, shared, pattern, cache_bytes)
             n, ids, decoded = [], [], []
             for row in _cut(encoder, texts_of(block, text_col)):
                 got = [encoder.cache[p] for p in row]

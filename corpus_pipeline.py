@@ -57,7 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's columns besides the text, its number of tokens, and digests of ids and decoded bytes.
     A null or empty text has no tokens."""
-    return bpe.token_digests(docs, *byte_vocabulary())
+    return bpe.token_digests(docs, *byte_vocabulary(), cache_bytes=30 << 20)  # beside what Spark holds after four stages
 
 
 STAGES = [

@@ -11,6 +11,9 @@ A dimension is broadcast only when its size in bytes is known to be small:
   then does the same with the size of the files written. A derived table whose estimate is
   far too large (a join with itself, say) gets its true size that way, and is computed once
   however often the query reads it.
+* ``measured_dim(df, name)`` does so only where the planner's size is too large for a broadcast. The
+  size of an aggregate is that of its input, so items derived from a fact table look as large as
+  the table; left unhinted, the facts would be shuffled by the few items there are.
 """
 
 from __future__ import annotations
@@ -38,3 +41,7 @@ def stored_dim(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"dim-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return small_dim(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def measured_dim(df: DataFrame, name: str) -> DataFrame:
+    return F.broadcast(df) if plan_bytes(df) <= DIM_BYTES else stored_dim(df, name)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterkit.functions import canonical_uuid, md5_uuid, parse_ts
-from meterkit.operators.dims import small_dim
+from meterkit.operators.dims import measured_dim
 
 EVENT_FIELDS = ["uuid", "event_start", "event_end", "sku", "user", "workspace", "quantity"]
 SAMPLE_FIELDS = ["uuid", "sample_time", "sku", "user", "workspace", "rate"]
@@ -143,7 +143,7 @@ def stub_items(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def resolve_items(rows: DataFrame, items: DataFrame) -> DataFrame:
     """V5: SKU → item id (NULL when unknown). Items are one row per SKU."""
-    it = small_dim(items.select("sku", F.col("uuid").alias("item_id")))
+    it = measured_dim(items.select("sku", F.col("uuid").alias("item_id")), "sku-items")
     return rows.join(it, "sku", "left")
 
 

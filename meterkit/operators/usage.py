@@ -1,8 +1,9 @@
 """Usage queries over billing events: filter, account join, range, order, top-k, keyset paging,
 day/month totals, daily compaction, midnight split, latest/earliest lookups and export.
 
-All functions return lazy DataFrames. The only driver action is the single-row cursor
-lookup of ``usage_query(after=...)``.
+All functions return lazy DataFrames. The only driver actions are the single-row cursor
+lookup of ``usage_query(after=...)`` and, where the planner takes the items for large, storing
+their ids and SKUs (``dims.measured_dim``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterkit.functions import DAY_US, floor_div, from_us, iso_z, to_us
-from meterkit.operators.dims import small_dim
+from meterkit.operators.dims import measured_dim, small_dim
 
 ORDER_KEYS = ["event_start", "event_end", "workspace", "sku", "uuid"]
 EVENT_COLUMNS = ["uuid", "event_start", "event_end", "item_id", "sku", "user", "workspace", "quantity"]
@@ -27,8 +28,16 @@ class CursorNotFound(LookupError):
 
 def with_sku(events: DataFrame, items: DataFrame) -> DataFrame:
     """Q1: inner join to items; events whose item is unknown are dropped."""
-    it = small_dim(items.select(F.col("uuid").alias("item_id"), "sku"))
-    return events.join(it, "item_id", "inner")
+    return _with_sku(events, sku_dim(items))
+
+
+def sku_dim(items: DataFrame) -> DataFrame:
+    """(item_id, sku) of the items, broadcast where it is small in fact."""
+    return measured_dim(items.select(F.col("uuid").alias("item_id"), "sku"), "item-skus")
+
+
+def _with_sku(events: DataFrame, skus: DataFrame) -> DataFrame:
+    return events.join(skus, "item_id", "inner")
 
 
 def period_bounds(ts: Column, period: str) -> tuple[Column, Column]:
@@ -90,7 +99,7 @@ def page_size(limit: int | None) -> int:
     return limit or API_PAGE_SIZE
 
 
-def _find_cursor(source, items: DataFrame, after, period: str | None) -> dict:
+def _find_cursor(source, skus: DataFrame, after, period: str | None) -> dict:
     """Q8: the order keys of the row named by ``after``, looked up among all rows, whatever the
     other filters are. A store finds the uuid through its ledger. An aggregated row's uuid is that
     of one of its events, so only that event's own group is aggregated. A row of an earlier page
@@ -110,7 +119,7 @@ def _find_cursor(source, items: DataFrame, after, period: str | None) -> dict:
             group = group.filter((start == F.lit(g.start)) & F.col("item_id").eqNullSafe(g.item_id) & F.col("workspace").eqNullSafe(g.workspace))
             group = group.filter((F.col("event_start") >= lo) & (F.col("event_start") < hi))
             row = aggregate_usage(group, period).filter(F.col("uuid") == after)
-    found = with_sku(row, items).select(*ORDER_KEYS).limit(1).collect()
+    found = _with_sku(row, skus).select(*ORDER_KEYS).limit(1).collect()
     if not found:
         raise CursorNotFound(f"No records matching after={after} found")
     return found[0].asDict()
@@ -190,14 +199,15 @@ def usage_query(
                 raw = raw.filter(F.col("event_start") < end_c)
         src = aggregate_usage(raw, period)
 
-    rows = with_sku(src, items)
+    skus = sku_dim(items)
+    rows = _with_sku(src, skus)
     if start_c is not None:
         rows = rows.filter(F.col("event_start") >= start_c if mode == "contained" else F.col("event_end") > start_c)
     if end_c is not None:
         rows = rows.filter(F.col("event_end") < end_c if mode == "contained" else F.col("event_start") < end_c)
 
     if after is not None:
-        rows = _keyset_after(rows, _find_cursor(source, items, after, period))
+        rows = _keyset_after(rows, _find_cursor(source, skus, after, period))
 
     rows = rows.select(*EVENT_COLUMNS)
     if limit is not None:

@@ -176,3 +176,31 @@ def test_dimension_joins_leave_facts_unshuffled(spark):
             assert df.count() == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _derived_items(spark):
+    """Two items derived from a fact table so long that the planner takes them for large."""
+    facts = spark.range(3_000_000).select(F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("sku"))
+    return facts.distinct().select(F.concat(F.lit("i-"), F.col("sku")).alias("uuid"), "sku", F.lit("").alias("name"), F.lit("").alias("unit"))
+
+
+def test_items_derived_from_a_long_table_leave_facts_unshuffled(spark):
+    """The few items of a fact table are broadcast by their true size: the facts are not dealt to as many tasks as there are items."""
+    ev = spark.createDataFrame([(f"e{n}", T("2025-01-10"), T("2025-01-10 01:00"), f"i-s{n}", None, "w", 1.0) for n in range(3)], schemas.BILLING_EVENT)
+    items = _derived_items(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        messages = ev.select("uuid", F.expr("substr(item_id, 3)").alias("sku"))
+        for df, rows in (
+            (usage.usage_query(ev, items, limit=None), 2),
+            (usage.usage_query(ev, items, limit=5), 2),
+            (usage.usage_query(ev, items, limit=5, after="e0"), 1),
+            (usage.with_sku(ev, items), 2),
+            (ingest.resolve_items(messages, items), 3),
+        ):
+            p = plan(df)
+            assert "BroadcastHashJoin" in p and "hashpartitioning" not in p
+            assert df.count() == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -1,6 +1,6 @@
 """Column functions (JVM-side expressions only; no Python UDFs)."""
 
-from meterkit.functions.ids import canonical_uuid, md5_uuid, uuid5_col
+from meterkit.functions.ids import canonical_uuid, md5_uuid, uuid5_col, uuid5_name, uuid5_of
 from meterkit.functions.timeutil import (
     DAY_US,
     HOUR_US,
@@ -26,4 +26,6 @@ __all__ = [
     "parse_ts",
     "to_us",
     "uuid5_col",
+    "uuid5_name",
+    "uuid5_of",
 ]

@@ -243,7 +243,7 @@ def _positions(n: int):
 
 
 def _counts(n: int, shared=None):
-    """(lang, phrase, hash, f) of a block's phrases of n words whose parts of n-1 are known: those in
+    """(key, f) of a block's phrases of n words whose parts of n-1 are known: those in
     the sorted hashes ``shared``, or at the positions ``at`` of the chunk where it is None."""
 
     def run(batches):
@@ -268,15 +268,30 @@ def _counts(n: int, shared=None):
             f = np.add.reduceat(block.column("times").to_numpy()[b.chunk[at]][order], lead) if len(lead) else np.zeros(0, np.int64)
             one = order[lead]
             names = pa.DictionaryArray.from_arrays(pa.array(lang[one], pa.int32()), pa.array(b.langs, pa.string())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([names, b.words.texts(at[one], at[one] + n), pa.array(h[one]), pa.array(f)], names=["lang", "phrase", "hash", "f"])
+            key = pc.binary_join_element_wise(b.words.texts(at[one], at[one] + n), names, "\n")
+            yield pa.RecordBatch.from_arrays([key, pa.array(f)], names=["key", "f"])
+
+    return run
+
+
+def _hashed(n: int):
+    """(lang, phrase, hash, f) of phrases (lang, phrase, f) of n words."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                b = _Block(batch.rename_columns(["lang", "chunk", "f"]))
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("phrase"), pa.array(b.hashes(b.first, n)), batch.column("f")], names=["lang", "phrase", "hash", "f"])
 
     return run
 
 
 def frequent(chunks: DataFrame, n: int, shorter: DataFrame | None, least: int) -> DataFrame:
     """(lang, phrase, hash, f) of the phrases of n words that occur ``least`` times, written;
-    ``shorter``: those of n-1 words."""
-    schema = "lang string, phrase string, hash long, f long"
+    ``shorter``: those of n-1 words. The shuffle carries a phrase and its language as one
+    key (a line end, which no phrase holds, between them) and no hash, as that does not compress:
+    the phrases that are left get theirs afterwards."""
+    schema = "key string, f long"
     if shorter is None:
         rows = map_arrow(chunks, _counts(n), schema)
     elif 8 * shorter.count() <= BROADCAST_BYTES:
@@ -286,8 +301,10 @@ def frequent(chunks: DataFrame, n: int, shorter: DataFrame | None, least: int) -
         met = map_arrow(chunks.select("lang", "chunk", "number"), _positions(n - 1), "hash long, number long, pos long")
         met = met.join(shorter.select("hash").distinct(), "hash", "left_semi").groupBy("number").agg(F.collect_list("pos").alias("at"))
         rows = map_arrow(chunks.join(met, "number"), _counts(n), schema)
-    found = rows.groupBy("lang", "phrase").agg(F.first("hash").alias("hash"), F.sum("f").alias("f")).where(F.col("f") >= least)
-    return written(found, f"phrases-{n}")
+    found = rows.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    end = F.instr("key", "\n")
+    found = found.select(F.substring(F.col("key"), end + 1, F.length("key")).alias("lang"), F.substring(F.col("key"), F.lit(1), end - 1).alias("phrase"), "f")
+    return written(map_arrow(found, _hashed(n), "lang string, phrase string, hash long, f long"), f"phrases-{n}")
 
 
 def scores(phrases: DataFrame, totals: DataFrame) -> DataFrame:

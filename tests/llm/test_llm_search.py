@@ -292,11 +292,11 @@ def test_phrases_are_shuffled_without_hashes(spark):
     import pyarrow as pa
 
     block = pa.RecordBatch.from_pydict({"lang": ["a\nb", "und"], "chunk": ["x y\nx", "x y"], "owned": [3, 2], "times": [2, 1], "number": [0, 1]})
-    out = pa.Table.from_batches(collocations._counts(1)([block]))
+    out = pa.Table.from_batches(col._counts(1)([block]))
     assert out.schema.names == ["key", "f"]
     assert sorted(zip(*out.to_pydict().values())) == [("x\na\nb", 4), ("x\nund", 1), ("y\na\nb", 2), ("y\nund", 1)]
     chunks = spark.createDataFrame([tuple(r.values()) for r in block.to_pylist()], "lang string, chunk string, owned long, times long, number long")
-    got = collocations.frequent(chunks, 1, None, 2).collect()
-    b = collocations._Block(block)
+    got = col.frequent(chunks, 1, None, 2).collect()
+    b = col._Block(block)
     hashes = dict(zip([("a\nb", "x"), ("a\nb", "y"), ("a\nb", "x"), ("und", "x"), ("und", "y")], b.hashes(b.starts(1), 1)))
     assert sorted((r.lang, r.phrase, r.f, r.hash) for r in got) == [("a\nb", "x", 4, hashes["a\nb", "x"]), ("a\nb", "y", 2, hashes["a\nb", "y"])]

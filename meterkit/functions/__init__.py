@@ -1,6 +1,6 @@
 """Column functions (JVM-side expressions only; no Python UDFs)."""
 
-from meterkit.functions.ids import canonical_uuid, md5_uuid, uuid5_col, uuid5_name, uuid5_of
+from meterkit.functions.ids import canonical_uuid, md5_uuid, packed_uuid, unpacked_uuid, uuid5_col, uuid5_name, uuid5_of
 from meterkit.functions.timeutil import (
     DAY_US,
     HOUR_US,
@@ -23,8 +23,10 @@ __all__ = [
     "iso_z",
     "isoformat_utc",
     "md5_uuid",
+    "packed_uuid",
     "parse_ts",
     "to_us",
+    "unpacked_uuid",
     "uuid5_col",
     "uuid5_name",
     "uuid5_of",

@@ -6,7 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from meterkit.functions import canonical_uuid, floor_div, isoformat_utc, iso_z, parse_ts, to_us, uuid5_col
+from meterkit.functions import (
+    canonical_uuid,
+    floor_div,
+    isoformat_utc,
+    iso_z,
+    packed_uuid,
+    parse_ts,
+    to_us,
+    unpacked_uuid,
+    uuid5_col,
+)
 
 NS = uuid.UUID("67f9a35c-567c-4a30-b51d-2fc64328bd55")
 
@@ -20,6 +30,21 @@ def test_uuid5_matches_python(spark):
     assert got == [str(uuid.uuid5(NS, n)) for n in names]
 
 
+def test_packed_uuid_gives_any_text_back(spark):
+    short = ["abcdef01-2345-6789-abcd-ef0123456789", "00000000-0000-0000-0000-000000000000"]
+    other = [
+        short[0].upper(), short[0] + "\n", short[0][:-1], short[0].replace("-", ""), "g" + short[0][1:],
+        "ab", "", "----", "0123456789abcdef", "ä" * 36, None,
+    ]
+    df = spark.createDataFrame([(c,) for c in short + other], "s string").repartition(1)
+    packed = df.select("s", *packed_uuid(F.col("s"), "x"))
+    back = unpacked_uuid(packed, "x").collect()
+    assert [r.x for r in back] == [r.s for r in back] and len(back) == len(short + other)
+    rows = packed.collect()
+    assert {r.s: len(r.x_packed) for r in rows if r.x_packed is not None} == dict.fromkeys(short, 16)
+    assert all(r.x_text is None for r in rows if r.s in short)
+
+
 def test_canonical_uuid_matches_python(spark):
     cases = [
         "ABCDEF01-2345-6789-abcd-ef0123456789", "{abcdef0123456789abcdef0123456789}",

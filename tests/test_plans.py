@@ -46,6 +46,20 @@ def test_hourly_estimates_never_shuffles_samples_by_key_alone(spark):
     assert "Generate" in p
 
 
+def test_hourly_estimates_shuffle_samples_twice_and_no_id_text(spark):
+    """A sample is written to disk by two shuffles, with its id as bytes; parts of an hour go to the key's
+    step directly and say nothing twice."""
+    rows = [(T("2025-01-01") + dt.timedelta(minutes=7 * i), "i", "w", i % 5) for i in range(50)]
+    blocks = plan(timeseries.hourly_estimates(samples(spark, rows))).split("\n\n")
+    shuffled = [
+        [c.split("#")[0] for c in line[line.index(": [") + 3 : -1].split(", ")]
+        for blk in blocks if ") Exchange" in blk.splitlines()[0] for line in blk.splitlines() if line.startswith("Input")
+    ]
+    assert sorted(map(sorted, shuffled)) == [
+        ["fr", "ft", "item_id", "more", "workspace"], ["item_id", "r", "sb", "t", "u_packed", "u_text", "workspace"],
+    ]
+
+
 def test_first_wins_and_latest_limit_before_shuffle(spark):
     ev = spark.createDataFrame(
         [(f"u{i % 3}", T("2025-01-01"), T("2025-01-01"), "i", None, "w", 1.0, i) for i in range(9)],
